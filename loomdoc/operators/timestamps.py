@@ -60,60 +60,65 @@ def _fold(s: Column) -> Column:
     return F.regexp_replace(s, r"^date: ", "")
 
 
-def stamp_parts(header: Column) -> Column:
-    """Struct ``local_s`` (wall time as if UTC, seconds), ``epoch_s``, ``offset_min``, ``zone_name`` of a header.
+def with_stamp_parts(df: DataFrame, header: str) -> DataFrame:
+    """Add ``_local_s`` (wall time as if UTC, seconds), ``_epoch_s``, ``_offset_min``, ``_zone_name`` and ``_has_rest``.
 
-    ``epoch_s`` is set for counts since 1970 (seconds, milli-, micro- or nanoseconds by their number of
+    ``_epoch_s`` is set for counts since 1970 (seconds, milli-, micro- or nanoseconds by their number of
     digits).  All fields are null where no existing date with an existing time of day is stated: void,
     null or empty headers, days without a time, the 30th of February, hour 24.  Second 60 is not a time
-    of day here.  ``zone_name`` is the lower-case place name still to be looked up.
+    of day here.  ``_zone_name`` is the lower-case place name still to be looked up.
+
+    The steps are separate projections on purpose: each text is matched once and referred to by name.
     """
-    s = _fold(header)
+    df = df.withColumn("_ts_s", _fold(F.col(header)))
+    s = F.col("_ts_s")
     text = F.lit(None).cast("string")
     for pattern, order in reversed(_FORMS):
         text = F.when(s.rlike(pattern), F.regexp_replace(s, pattern, order)).otherwise(text)
-    p = F.split(text, r"\|", 8)
+    df = df.withColumn("_ts_p", F.split(text, r"\|", 8))
+    p = F.col("_ts_p")
     num = lambda i: F.get(p, F.lit(i)).try_cast("int")
     months = F.create_map(*[F.lit(x) for kv in _MONTH_NO.items() for x in kv])
     raw_m = F.regexp_replace(F.get(p, F.lit(1)), r"-$", "")
-    month = F.coalesce(raw_m.try_cast("int"), F.try_element_at(months, raw_m))
-    year = F.when(num(0) < 100, num(0) + 2000).otherwise(num(0))
     half = F.substring(F.get(p, F.lit(6)), 1, 1)
-    h = num(3)
-    hour = F.when(half == "", h).when(~h.between(1, 12), None).when(half == "p", h % 12 + 12).otherwise(h % 12)
-    sec = F.when(F.get(p, F.lit(5)) == "", 0).otherwise(num(5))
-    ok = hour.between(0, 23) & num(4).between(0, 59) & sec.between(0, 59) & year.between(1, 9999)
-    date = F.when(ok, F.to_date(F.try_to_timestamp(
-        F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(num(2).cast("string"), 2, "0")),
-        F.lit("yyyy-MM-dd"))))
-    local = F.unix_date(date).cast("long") * 86400 + hour.cast("long") * 3600 + num(4) * 60 + sec
-
+    digits = F.regexp_extract(s, r"^(\d{9,19})(?:\.\d+)?$", 1)
     rest = F.trim(F.get(p, F.lit(7)))
     off = r"^(?:gmt|utc|ut)? ?([+-])(\d{1,2})[:']?(\d{2})?'?"
-    sign = F.regexp_extract(rest, off, 1)
-    oh, om = F.regexp_extract(rest, off, 2).try_cast("int"), F.regexp_extract(rest, off, 3).try_cast("int")
-    letters = F.create_map(*[F.lit(x) for kv in ZONE_LETTERS.items() for x in kv])
-    word = F.regexp_extract(rest, r"^([a-z]+)\.?(?: |$)", 1)
-    offset = (
-        F.when(sign != "", F.when((oh <= 23) & (F.coalesce(om, F.lit(0)) <= 59), F.when(sign == "-", -1).otherwise(1) * (oh * 60 + F.coalesce(om, F.lit(0)))))
-        .otherwise(F.try_element_at(letters, word))
+    df = df.select(
+        "*",
+        F.coalesce(raw_m.try_cast("int"), F.try_element_at(months, raw_m)).alias("_ts_mon"),
+        F.when(num(0) < 100, num(0) + 2000).otherwise(num(0)).alias("_ts_y"),
+        F.when(half == "", num(3)).when(~num(3).between(1, 12), None).when(half == "p", num(3) % 12 + 12).otherwise(num(3) % 12).alias("_ts_h"),
+        num(4).alias("_ts_mi"), F.when(F.get(p, F.lit(5)) == "", 0).otherwise(num(5)).alias("_ts_sec"), num(2).alias("_ts_d"),
+        rest.alias("_ts_rest"), F.regexp_extract(rest, off, 1).alias("_ts_sign"),
+        F.regexp_extract(rest, off, 2).try_cast("int").alias("_ts_oh"), F.coalesce(F.regexp_extract(rest, off, 3).try_cast("int"), F.lit(0)).alias("_ts_om"),
+        F.length(digits).alias("_ts_size"), digits.try_cast("long").alias("_ts_n"),
     )
-    place = F.regexp_extract(rest, r"^\[?([a-z]+(?:[/_+-][a-z0-9_+-]+)*)\]?$", 1)
-    place = F.when(offset.isNull() & (sign == "") & (place != ""), place)
-
-    digits = F.regexp_extract(s, r"^(\d{9,19})(?:\.\d+)?$", 1)
-    n, size = digits.try_cast("long"), F.length(digits)
+    c = lambda n: F.col(f"_ts_{n}")
+    ok = c("h").between(0, 23) & c("mi").between(0, 59) & c("sec").between(0, 59) & c("y").between(1, 9999)
+    iso = F.concat_ws("-", F.lpad(c("y").cast("string"), 4, "0"), F.lpad(c("mon").cast("string"), 2, "0"), F.lpad(c("d").cast("string"), 2, "0"))
+    local = F.when(ok, F.unix_date(iso.try_cast("date")).cast("long") * 86400 + c("h").cast("long") * 3600 + c("mi") * 60 + c("sec"))
+    letters = F.create_map(*[F.lit(x) for kv in ZONE_LETTERS.items() for x in kv])
+    word = F.regexp_extract(c("rest"), r"^([a-z]+)\.?(?: |$)", 1)
+    numeric = F.when((c("oh") <= 23) & (c("om") <= 59), F.when(c("sign") == "-", -1).otherwise(1) * (c("oh") * 60 + c("om")))
+    offset = F.when(c("sign") != "", numeric).otherwise(F.try_element_at(letters, word))
+    place = F.regexp_extract(c("rest"), r"^\[?([a-z]+(?:[/_+-][a-z0-9_+-]+)*)\]?$", 1)
+    size, n = c("size"), c("n")
     epoch = (
         F.when(size.between(9, 11), n)
-        .when(size.between(12, 14) & ~s.rlike(_FORMS[1][0]), F.floor(n / F.lit(1000).cast("long")))
-        .when(size.between(15, 17), F.floor(n / F.lit(1_000_000).cast("long")))
-        .when(size.between(18, 19), F.floor(n / F.lit(1_000_000_000).cast("long")))
+        .when(size.between(12, 14) & p.isNull(), F.expr("_ts_n div 1000"))
+        .when(size.between(15, 17), F.expr("_ts_n div 1000000"))
+        .when(size.between(18, 19), F.expr("_ts_n div 1000000000"))
     )
-    return F.struct(
-        F.when(epoch.isNull(), local).alias("local_s"), epoch.cast("long").alias("epoch_s"),
-        F.when(epoch.isNull(), offset).alias("offset_min"), F.when(epoch.isNull(), place).alias("zone_name"),
-        (F.length(rest) > 0).alias("has_rest"),
-    )
+    df = df.select("*", local.alias("_ts_local"), epoch.alias("_ts_epoch"), offset.alias("_ts_off"), place.alias("_ts_place0"))
+    whole = c("epoch").isNull()
+    parts = [
+        F.when(whole, c("local")).alias("_local_s"), c("epoch").alias("_epoch_s"), F.when(whole, c("off")).alias("_offset_min"),
+        F.when(whole & c("off").isNull() & (c("sign") == "") & (c("place0") != ""), c("place0")).alias("_zone_name"),
+        (F.length(c("rest")) > 0).alias("_has_rest"),
+    ]
+    inner = "s p mon y h mi sec d rest sign oh om size n local epoch off place0"
+    return df.select("*", *parts).drop(*[f"_ts_{x}" for x in inner.split()])
 
 
 def iso_utc(seconds: Column) -> Column:
@@ -137,7 +142,8 @@ def zone_names(spark) -> DataFrame:
     """All zone ids the JVM knows (about 600, bounded by the zone database): ``place``, ``zone``."""
     ids = sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
     known = {i.lower(): i for i in ids if not i.startswith("SystemV")}
-    return spark.createDataFrame(list(known.items()), "place string, zone string")
+    pairs = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values())))
+    return spark.range(1, numPartitions=1).select(F.explode(pairs).alias("place", "zone"))
 
 
 def estimate_zones(df: DataFrame, source: str, local_s: str, seen_s: str, candidates: list[str], lag_s: int = 86_400) -> DataFrame:
@@ -146,17 +152,18 @@ def estimate_zones(df: DataFrame, source: str, local_s: str, seen_s: str, candid
     ``local_s`` is wall time as if UTC, ``seen_s`` the second at which the row was ingested.  Under a
     candidate zone a row is violated if it was ingested before it was written or later than ``lag_s``
     after.  Every row counts in one pass: the aggregate keeps one counter per candidate and source and
-    is combined before the shuffle, so a source with a third of all rows costs one partial row per task.
+    is combined before the shuffle, so a source with a third of all rows costs a few partial rows per task.
 
     Returns ``source, zone, violations, rows``; ties go to the earlier candidate.  Rows with null
     source, local time or ingestion time are ignored; an empty input gives an empty result.
     """
     use = df.where(F.col(source).isNotNull() & F.col(local_s).isNotNull() & F.col(seen_s).isNotNull())
-    lag = lambda z: F.col(seen_s) - wall_to_epoch(F.col(local_s), F.lit(z))
-    sums = [F.sum(F.when(lag(z).between(0, lag_s), 0).otherwise(1)).alias(f"_v{i}") for i, z in enumerate(candidates)]
-    agg = use.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("rows"), *sums)
-    best = F.array_min(F.array(*[F.struct(F.col(f"_v{i}").alias("v"), F.lit(i).alias("i"), F.lit(z).alias("z")) for i, z in enumerate(candidates)]))
-    return agg.select("source", "rows", best.alias("b")).select("source", F.col("b.z").alias("zone"), F.col("b.v").alias("violations"), "rows")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(z).alias("z")) for i, z in enumerate(candidates)])).alias("c")
+    tried = use.select(F.col(source).alias("source"), F.col(local_s).alias("l"), F.col(seen_s).alias("seen"), each)
+    lag = F.col("seen") - wall_to_epoch(F.col("l"), F.col("c.z"))
+    per = tried.groupBy("source", "c.i", "c.z").agg(F.sum(F.when(lag.between(0, lag_s), 0).otherwise(1)).alias("v"), F.count(F.lit(1)).alias("rows"))
+    best = per.groupBy("source").agg(F.min(F.struct("v", "i", "z")).alias("b"), F.max("rows").alias("rows"))
+    return best.select("source", F.col("b.z").alias("zone"), F.col("b.v").alias("violations"), "rows")
 
 
 def lag_bound(df: DataFrame, sent_s: str, seen_s: str, share: float = 0.9) -> DataFrame:
@@ -186,12 +193,12 @@ def normalise_timestamps(
     A trailing text that is none of these makes the row void.
 
     Null, empty and very long headers give null; repeated rows are kept; names used inside are
-    prefixed with ``_ts`` so that other columns may be called anything else.
+    begin with ``_`` so that other columns may be called anything else.
     """
     spark = df.sparkSession
-    p = df.withColumn("_ts", stamp_parts(F.col(header)))
+    p = with_stamp_parts(df, header)
     names = zone_names(spark).select(F.col("place").alias("_ts_place"), F.col("zone").alias("_ts_zone"))
-    p = p.join(F.broadcast(names), F.col("_ts.zone_name") == F.col("_ts_place"), "left")  # bounded by the zone database
+    p = p.join(F.broadcast(names), F.col("_zone_name") == F.col("_ts_place"), "left")  # bounded by the zone database
     if source is not None:
         given = spark.createDataFrame([], "source string, zone string") if zones is None else zones.select("source", "zone")
         known = zone_names(spark).select("place", F.col("zone").alias("known"))
@@ -199,20 +206,21 @@ def normalise_timestamps(
         given = given.groupBy("source").agg(F.min("known").alias("zone"))
         if seen is not None:
             bare = df.join(given.select(F.col("source").alias("_ts_source")), F.col(source) == F.col("_ts_source"), "left_anti")
-            bare = bare.select(F.col(source).alias("s"), stamp_parts(F.col(header)).alias("p"), F.unix_seconds(F.col(seen).cast("timestamp")).alias("seen"))
-            bare = bare.where(F.col("p.local_s").isNotNull() & F.col("p.offset_min").isNull() & F.col("p.zone_name").isNull())
-            bare = bare.select("s", F.col("p.local_s").alias("l"), "seen")
-            found = estimate_zones(bare, "s", "l", "seen", candidates or DEFAULT_CANDIDATES, lag_s)
+            bare = bare.select(F.col(source).alias("s"), F.col(header).alias("h"), F.unix_seconds(F.col(seen).cast("timestamp")).alias("seen"))
+            bare = with_stamp_parts(bare, "h")
+            bare = bare.where("_local_s is not null and not _has_rest")
+            found = estimate_zones(bare, "s", "_local_s", "seen", candidates or DEFAULT_CANDIDATES, lag_s)
             given = given.unionByName(found.select("source", "zone"))
         given = given.select(F.col("source").alias("_ts_source"), F.col("zone").alias("_ts_host"))
         p = p.join(given, F.col(source) == F.col("_ts_source"), "left")
     else:
         p = p.withColumn("_ts_source", F.lit(None).cast("string")).withColumn("_ts_host", F.lit(None).cast("string"))
-    void = F.col("_ts.has_rest") & F.col("_ts.offset_min").isNull() & F.col("_ts_zone").isNull()
+    void = F.col("_has_rest") & F.col("_offset_min").isNull() & F.col("_ts_zone").isNull()
     zone = F.coalesce(F.col("_ts_zone"), F.col("_ts_host"))
-    wall = F.col("_ts.local_s")
+    wall = F.col("_local_s")
     sec = F.coalesce(
-        F.col("_ts.epoch_s"),
-        F.when(void, None).when(F.col("_ts.offset_min").isNotNull(), wall - F.col("_ts.offset_min") * 60).otherwise(wall_to_epoch(wall, zone)),
+        F.col("_epoch_s"),
+        F.when(void, None).when(F.col("_offset_min").isNotNull(), wall - F.col("_offset_min") * 60).otherwise(wall_to_epoch(wall, zone)),
     )
-    return p.withColumn(out, iso_utc(sec)).drop("_ts", "_ts_place", "_ts_zone", "_ts_source", "_ts_host")
+    p = p.withColumn("_utc_s", sec).withColumn(out, iso_utc(F.col("_utc_s")))
+    return p.drop("_utc_s", "_local_s", "_epoch_s", "_offset_min", "_zone_name", "_has_rest", "_ts_place", "_ts_zone", "_ts_source", "_ts_host")

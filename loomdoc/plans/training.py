@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.operators.intervals import interval_runs
-from loomdoc.operators.timestamps import estimate_zones, normalise_timestamps, stamp_parts
+from loomdoc.operators.timestamps import estimate_zones, normalise_timestamps, with_stamp_parts
 from loomdoc.session import table
 
 
@@ -19,10 +19,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_zones(spark: SparkSession, sf: str) -> DataFrame:
     """The zone of each archive as its local header dates and fetch times show it, beside the stated one."""
-    e = table(spark, sf, "emails").select("source", stamp_parts(F.col("date_hdr")).alias("p"), F.unix_seconds(F.col("fetched_at").cast("timestamp")).alias("seen"))
-    bare = e.where("p.local_s is not null and p.offset_min is null and p.zone_name is null and not p.has_rest").select("source", F.col("p.local_s").alias("local_s"), "seen")
+    e = table(spark, sf, "emails").select("source", "date_hdr", F.unix_seconds(F.col("fetched_at").cast("timestamp")).alias("seen"))
+    e = with_stamp_parts(e, "date_hdr")
+    bare = e.where("_local_s is not null and not _has_rest")
     boxes = table(spark, sf, "mailboxes").select("source", "host_zone")
-    return estimate_zones(bare, "source", "local_s", "seen", CANDIDATES).join(boxes, "source", "left").select("source", "zone", "host_zone", "violations", "rows")
+    return estimate_zones(bare, "source", "_local_s", "seen", CANDIDATES).join(boxes, "source", "left").select("source", "zone", "host_zone", "violations", "rows")
 
 
 #: Offset histories between which :func:`p1_zones` chooses.
