@@ -157,9 +157,10 @@ def estimate_zones(df: DataFrame, source: str, local_s: str, seen_s: str, candid
     Returns ``source, zone, violations, rows``; ties go to the earlier candidate.  Rows with null
     source, local time or ingestion time are ignored; an empty input gives an empty result.
     """
-    use = df.where(F.col(source).isNotNull() & F.col(local_s).isNotNull() & F.col(seen_s).isNotNull())
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(z).alias("z")) for i, z in enumerate(candidates)])).alias("c")
-    tried = use.select(F.col(source).alias("source"), F.col(local_s).alias("l"), F.col(seen_s).alias("seen"), each)
+    use = F.col(source).isNotNull() & F.col(local_s).isNotNull() & F.col(seen_s).isNotNull()
+    tries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(z).alias("z")) for i, z in enumerate(candidates)])
+    each = F.explode(F.when(use, tries)).alias("c")  # no filter: it would be pushed into the parser and repeat it
+    tried = df.select(F.col(source).alias("source"), F.col(local_s).alias("l"), F.col(seen_s).alias("seen"), each)
     lag = F.col("seen") - wall_to_epoch(F.col("l"), F.col("c.z"))
     per = tried.groupBy("source", "c.i", "c.z").agg(F.sum(F.when(lag.between(0, lag_s), 0).otherwise(1)).alias("v"), F.count(F.lit(1)).alias("rows"))
     best = per.groupBy("source").agg(F.min(F.struct("v", "i", "z")).alias("b"), F.max("rows").alias("rows"))
@@ -182,7 +183,7 @@ DEFAULT_CANDIDATES = [
 
 def normalise_timestamps(
     df: DataFrame, header: str, *, source: str | None = None, seen: str | None = None, zones: DataFrame | None = None,
-    candidates: list[str] | None = None, lag_s: int = 86_400, out: str = "utc_second",
+    candidates: list[str] | None = None, lag_s: int = 86_400, out: str = "utc_second", drop_void: bool = False,
 ) -> DataFrame:
     """Add ``out``: the UTC second (text) that ``header`` states, null where it states none.
 
@@ -190,7 +191,7 @@ def normalise_timestamps(
     ``zones`` (columns ``source, zone``, one row per source) gives for the row's source; for sources it
     does not list, the zone estimated from the ingestion times ``seen`` (see :func:`estimate_zones`).
     Text in round brackets is a comment.  Without any of these the wall time stays unresolved (null).
-    A trailing text that is none of these makes the row void.
+    A trailing text that is none of these makes the row void.  ``drop_void`` leaves void rows out.
 
     Null, empty and very long headers give null; repeated rows are kept; names used inside are
     begin with ``_`` so that other columns may be called anything else.
@@ -208,7 +209,7 @@ def normalise_timestamps(
             bare = df.join(given.select(F.col("source").alias("_ts_source")), F.col(source) == F.col("_ts_source"), "left_anti")
             bare = bare.select(F.col(source).alias("s"), F.col(header).alias("h"), F.unix_seconds(F.col(seen).cast("timestamp")).alias("seen"))
             bare = with_stamp_parts(bare, "h")
-            bare = bare.where("_local_s is not null and not _has_rest")
+            bare = bare.withColumn("_local_s", F.when(~F.col("_has_rest"), F.col("_local_s")))
             found = estimate_zones(bare, "s", "_local_s", "seen", candidates or DEFAULT_CANDIDATES, lag_s)
             given = given.unionByName(found.select("source", "zone"))
         given = given.select(F.col("source").alias("_ts_source"), F.col("zone").alias("_ts_host"))
@@ -222,5 +223,7 @@ def normalise_timestamps(
         F.col("_epoch_s"),
         F.when(void, None).when(F.col("_offset_min").isNotNull(), wall - F.col("_offset_min") * 60).otherwise(wall_to_epoch(wall, zone)),
     )
-    p = p.withColumn("_utc_s", sec).withColumn(out, iso_utc(F.col("_utc_s")))
+    p = p.withColumn("_utc_s", sec)
+    iso = iso_utc(F.col("_utc_s"))
+    p = p.withColumn(out, F.explode(F.array_compact(F.array(iso))) if drop_void else iso)
     return p.drop("_utc_s", "_local_s", "_epoch_s", "_offset_min", "_zone_name", "_has_rest", "_ts_place", "_ts_zone", "_ts_source", "_ts_host")

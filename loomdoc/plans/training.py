@@ -13,15 +13,15 @@ from loomdoc.session import table
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     zones = table(spark, sf, "mailboxes").select("source", F.col("host_zone").alias("zone"))
     emails = table(spark, sf, "emails").select("email_id", "date_hdr", "source", "fetched_at")
-    out = normalise_timestamps(emails, "date_hdr", source="source", seen="fetched_at", zones=zones)
-    return out.where("utc_second is not null").select("email_id", "utc_second").distinct()
+    out = normalise_timestamps(emails, "date_hdr", source="source", seen="fetched_at", zones=zones, drop_void=True)
+    return out.select("email_id", "utc_second").distinct()
 
 
 def p1_zones(spark: SparkSession, sf: str) -> DataFrame:
     """The zone of each archive as its local header dates and fetch times show it, beside the stated one."""
     e = table(spark, sf, "emails").select("source", "date_hdr", F.unix_seconds(F.col("fetched_at").cast("timestamp")).alias("seen"))
     e = with_stamp_parts(e, "date_hdr")
-    bare = e.where("_local_s is not null and not _has_rest")
+    bare = e.withColumn("_local_s", F.when(~F.col("_has_rest"), F.col("_local_s")))
     boxes = table(spark, sf, "mailboxes").select("source", "host_zone")
     return estimate_zones(bare, "source", "_local_s", "seen", CANDIDATES).join(boxes, "source", "left").select("source", "zone", "host_zone", "violations", "rows")
 
