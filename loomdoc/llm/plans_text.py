@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomdoc.llm.leakage import leaked_items
 from loomdoc.llm.lookalike import lookalike_pairs
 from loomdoc.session import table
 
@@ -12,5 +13,10 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p10_found": p10_found}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items").select("item_id", "passage")
+    return leaked_items(docs, "doc_id", "text", items, "item_id", "passage", n_words=12)
+
+
+QUERIES = {"p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
