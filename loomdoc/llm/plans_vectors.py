@@ -1,4 +1,18 @@
-"""Queries."""
+"""Queries on voice embeddings."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomdoc.llm.neighbours import nearest
+from loomdoc.session import table
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    enr = table(spark, sf, "enrollments").select("enrollment_id", "embedding")
+    spk = table(spark, sf, "speakers").select("id", "centroid")
+    return nearest(enr, "enrollment_id", "embedding", extra=spk, extra_id="id", extra_vec="centroid", k=5).select("vec_id", "neighbor_id")
+
+
+QUERIES = {"p5_found": p5_found}
+SQL: dict[str, str] = {}
