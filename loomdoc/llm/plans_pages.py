@@ -1,4 +1,18 @@
-"""Queries."""
+"""Queries on web pages and scanned pages."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomdoc.llm.mainbody import main_body
+from loomdoc.session import table
+
+SQL: dict[str, str] = {}
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "web_pages").select("page_id", "html")
+    return main_body(pages, "page_id", "html").select("page_id", "block_md5").distinct()
+
+
+QUERIES = {"p2_found": p2_found}
