@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomdoc.llm.leakage import leaked_items
 from loomdoc.llm.lookalike import lookalike_pairs
+from loomdoc.llm.turns import speaker_turns
 from loomdoc.session import table
 
 
@@ -13,10 +14,16 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    segments = table(spark, sf, "transcript_segments").select("seg_id", "clip_id", "start_s", "end_s", "speaker", "text")
+    turns = speaker_turns(segments, table(spark, sf, "clip_speakers"))
+    return turns.where("speaker_no is not null").select("clip_id", "first_seg", "speaker_no", "n_words").distinct()
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items").select("item_id", "passage")
     return leaked_items(docs, "doc_id", "text", items, "item_id", "passage", n_words=12)
 
 
-QUERIES = {"p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
