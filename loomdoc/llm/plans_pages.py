@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomdoc.llm.mainbody import main_body
+from loomdoc.llm.scans import repair_evidence
 from loomdoc.session import table
 
 SQL: dict[str, str] = {}
@@ -16,3 +17,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found}
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_evidence(table(spark, sf, "pdf_pages").select("pdf_id", "page", "text", "ocr_used"))
+
+
+QUERIES["p7_found"] = p7_found
