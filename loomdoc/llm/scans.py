@@ -24,7 +24,7 @@ from loomdoc.session import BROADCAST_ROWS, cut
 CONFUSIONS = [
     ("e", "c"), ("s", "5"), ("n", "ri"), ("a", "o"), ("t", "f"), ("i", "!"), ("l", "1"), ("d", "cl"), ("o", "0"), ("m", "rn"), ("u", "ii"),
     ("in", "m"), ("g", "9"), ("b", "6"), ("h", "b"), ("w", "vv"), ("rn", "m"), ("cl", "d"), ("i", "1"), ("l", "!"), ("i", "l"), ("l", "i"), ("c", "e"), ("o", "a"), ("f", "t"),
-    ("b", "h"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("g", "q"), ("q", "g"), ("z", "2"), ("b", "8"), ("s", "8"), ("li", "h"), ("h", "li"), ("nn", "m"), ("m", "nn"), ("m", "in"), ("n", "u"), ("u", "n"), ("y", "v"), ("v", "y"),
+    ("b", "h"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("g", "q"), ("q", "g"), ("z", "2"), ("b", "8"), ("s", "8"), ("li", "h"), ("h", "li"), ("nn", "m"), ("m", "nn"), ("m", "in"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("n", "u"), ("u", "n"), ("y", "v"), ("v", "y"),
 ]
 HYPHENS = "-‐­"
 
