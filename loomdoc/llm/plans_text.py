@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomdoc.llm.leakage import leaked_items
 from loomdoc.llm.lookalike import lookalike_pairs
+from loomdoc.llm.newmail import new_lines
 from loomdoc.llm.turns import speaker_turns
 from loomdoc.session import table
 
@@ -14,6 +15,11 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    mails = table(spark, sf, "emails").select("email_id", "message_id", "in_reply_to", "msg_from", "body")
+    return new_lines(mails).select("email_id", "line_no").distinct()
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     segments = table(spark, sf, "transcript_segments").select("seg_id", "clip_id", "start_s", "end_s", "speaker", "text")
     turns = speaker_turns(segments, table(spark, sf, "clip_speakers"))
@@ -25,5 +31,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(docs, "doc_id", "text", items, "item_id", "passage", n_words=12)
 
 
-QUERIES = {"p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
