@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from loomdoc.llm.leakage import leaked_items
 from loomdoc.llm.lookalike import lookalike_pairs
 from loomdoc.llm.newmail import new_lines
+from loomdoc.llm.packing import pack
 from loomdoc.llm.turns import speaker_turns
 from loomdoc.session import table
 
@@ -26,10 +29,18 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return turns.where("speaker_no is not null").select("clip_id", "first_seg", "speaker_no", "n_words").distinct()
 
 
+#: The tokenizer's vocabulary file; a parameter, never part of this repository.
+VOCABULARY = os.environ.get("LOOMDOC_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", VOCABULARY, capacity=2048)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items").select("item_id", "passage")
     return leaked_items(docs, "doc_id", "text", items, "item_id", "passage", n_words=12)
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
