@@ -56,3 +56,76 @@ def merge_runs(
     rim = rim.withColumn("_isle", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, 0)))
     rim = rim.groupBy(*keys, value, "_isle").agg(*parts("_seq", True))
     return whole.select(*names).unionByName(rim.select(*names))
+
+
+def gap_merge(df: DataFrame, keys: Sequence[str], start: str, end: str, speaker: str, *, merge_gap: float = 0.3, order: Sequence[str] = ()) -> DataFrame:
+    """Segments in order of ``start`` joined to the one before them when the speaker is the same and the gap at most ``merge_gap``.
+
+    Only the last merged segment counts, so another speaker in between ends a run; the end of a merged
+    segment is the largest of its parts.  Output ``*keys, speaker, start, end, n_rows`` under the input's names.
+    """
+    w = Window.partitionBy(*keys).orderBy(start, *order)
+    d = df.withColumn("_turn", F.when(F.col(speaker).eqNullSafe(F.lag(speaker).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1))
+    d = d.withColumn("_run", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    v = Window.partitionBy(*keys, "_run").orderBy(start, *order)
+    reach = F.max(end).over(v.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_cut", F.when(reach.isNull() | (F.col(start) - reach > merge_gap), 1).otherwise(0))
+    d = d.withColumn("_part", F.sum("_cut").over(v.rowsBetween(Window.unboundedPreceding, 0)))
+    out = d.groupBy(*keys, "_run", "_part", speaker).agg(F.min(start).alias("_s"), F.max(end).alias("_e"), F.count(F.lit(1)).alias("n_rows"))
+    return out.select(*keys, speaker, F.col("_s").alias(start), F.col("_e").alias(end), "n_rows")
+
+
+#: Ends of sentences, a fixed value.
+SENTENCE_ENDS = "。！？.!?"
+
+
+def cut_phrases(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, end: str, text: str, *, max_s: float = 15.0, gap_s: float = 0.4) -> DataFrame:
+    """Words grouped into phrases: ``*keys, phrase_no, start_s, end_s, text, n_words``.
+
+    A phrase ends after a word that ends a sentence, before a silence longer than ``gap_s`` and before a
+    word that would end more than ``max_s`` after the phrase began.  Words without start or end are left out.
+    Silences and sentence ends are found by a window; only the greedy length rule is a fold, and it runs
+    within those shorter stretches.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    d = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_i", F.row_number().over(w))
+    before = Window.partitionBy(*keys).orderBy("_i")
+    hard = (F.col(start) - F.lag(end).over(before) > gap_s) | F.coalesce(F.right(F.lag(text).over(before), F.lit(1)).isin(*SENTENCE_ENDS), F.lit(False))
+    d = d.withColumn("_hard", F.sum(F.when(hard, 1).otherwise(0)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    words = F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.col(text).alias("t"))))
+    part = d.groupBy(*keys, "_hard").agg(words.alias("ws"))
+    empty = F.expr("named_struct('from', cast(null as double), 'parts', array(array(cast(null as struct<i:int,s:double,e:double,t:string>))))")
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = acc["from"].isNotNull() & (x["e"] - acc["from"] > max_s)
+        last = F.element_at(acc["parts"], -1)
+        opened = F.concat(acc["parts"], F.array(F.array(x)))
+        grown = F.concat(F.slice(acc["parts"], 1, F.size(acc["parts"]) - 1), F.array(F.concat(last, F.array(x))))
+        return F.struct(F.when(fresh | acc["from"].isNull(), x["s"]).otherwise(acc["from"]).alias("from"), F.when(fresh, opened).otherwise(grown).alias("parts"))
+
+    folded = part.withColumn("_p", F.aggregate("ws", empty, step, lambda a: F.transform(a["parts"], lambda p: F.filter(p, lambda q: q.isNotNull()))))
+    each = folded.select(*keys, "_hard", F.posexplode("_p").alias("_k", "p"))
+    v = Window.partitionBy(*keys).orderBy("_hard", "_k")
+    return each.select(
+        *keys, F.row_number().over(v).alias("phrase_no"), F.get("p", F.lit(0))["s"].alias("start_s"), F.element_at("p", -1)["e"].alias("end_s"),
+        F.trim(F.array_join(F.transform("p", lambda q: q["t"]), " ")).alias("text"), F.size("p").alias("n_words"),
+    )
+
+
+def overlap_assign(
+    left: DataFrame, right: DataFrame, key: str, left_id: str, l_start: str, l_end: str, right_id: str, r_start: str, r_end: str, label: str, *, bucket: float = 60.0, default: int = 0,
+) -> DataFrame:
+    """``key, left_id, label``: for each left interval the label of the right one that overlaps it longest.
+
+    Ties go to the smaller ``right_id``; without any overlap the label is ``default``.  Both sides are put into
+    time buckets, so the join is an equi-join on key and bucket and one key's rows are spread over
+    its buckets; a pair that shares several buckets is counted in the first one only.
+    """
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / bucket), F.floor(F.greatest(F.col(a), F.col(b)) / bucket))
+    a = left.where(F.col(l_start).isNotNull() & F.col(l_end).isNotNull()).select(key, F.col(left_id).alias("_l"), F.col(l_start).alias("_ls"), F.col(l_end).alias("_le"), F.explode(span(l_start, l_end)).alias("_b"))
+    b = right.where(F.col(r_end) > F.col(r_start)).select(key, F.col(right_id).alias("_r"), F.col(r_start).alias("_rs"), F.col(r_end).alias("_re"), F.col(label).alias("_v"), F.explode(span(r_start, r_end)).alias("_b"))
+    over = F.least("_le", "_re") - F.greatest("_ls", "_rs")
+    met = a.join(b, [key, "_b"]).where((over > 0) & (F.col("_b") == F.greatest(F.floor(F.col("_ls") / bucket), F.floor(F.col("_rs") / bucket))))
+    best = met.groupBy(key, "_l").agg(F.max_by("_v", F.struct(over.alias("o"), (-F.col("_r")).alias("r"))).alias("_v"))
+    out = left.where(F.col(l_start).isNotNull() & F.col(l_end).isNotNull()).select(key, left_id).join(best.withColumnRenamed("_l", left_id), [key, left_id], "left")
+    return out.select(key, left_id, F.coalesce("_v", F.lit(default)).alias(label))
