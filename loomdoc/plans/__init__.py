@@ -1,5 +1,5 @@
 """Named queries and, where SQL can state them, their oracles."""
 
-from loomdoc.plans import training
+from loomdoc.plans import documents, training
 
-PLANS = [training]
+PLANS = [documents, training]
