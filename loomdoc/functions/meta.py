@@ -15,13 +15,14 @@ KEY_ORDER = (
 SPECIAL = r"""[:#{}\[\]&*?|\->!%@`"',\n]"""
 # Converter of each file suffix.
 CONVERTERS = {
-    "pdf": "pdf", "png": "img", "jpg": "img", "jpeg": "img", "gif": "img", "webp": "img", "bmp": "img", "tiff": "img", "html": "html", "htm": "html",
-    "docx": "doc", "pptx": "doc", "xlsx": "doc", "epub": "doc", "odt": "doc", "rtf": "doc", "rst": "rst", "csv": "csv", "tsv": "csv", "db": "db", "sqlite": "db", "sqlite3": "db",
+    "pdf": "pdf", "png": "img", "jpg": "img", "jpeg": "img", "gif": "img", "webp": "img", "bmp": "img", "tiff": "img", "tif": "img", "heic": "img", "html": "html", "htm": "html",
+    "docx": "doc", "pptx": "doc", "xlsx": "doc", "epub": "doc", "odt": "doc", "rtf": "doc", "rst": "rst", "rest": "rst", "csv": "csv", "tsv": "csv", "db": "db", "sqlite": "db", "sqlite3": "db",
     "srt": "sub", "vtt": "sub", "ass": "sub", "ssa": "sub", "ipynb": "nb", "eml": "eml", "mbox": "eml", "org": "org", "tex": "tex", "json": "data", "jsonl": "data",
-    "ndjson": "data", "yaml": "data", "yml": "data", "mp3": "yt", "wav": "yt", "m4a": "yt", "mp4": "yt", "mkv": "yt", "webm": "yt", "flac": "yt", "ogg": "yt", "aac": "yt", "mov": "yt", "avi": "yt",
-    **{str(n): "man" for n in range(1, 9)}, "man": "man",
+    "yaml": "data", "yml": "data", "mp3": "yt", "wav": "yt", "m4a": "yt", "mp4": "yt", "mkv": "yt", "webm": "yt", "flac": "yt", "ogg": "yt", "aac": "yt", "mov": "yt", "avi": "yt",
+    **{str(n): "man" for n in range(1, 10)},
 }
-_VIDEO_URL = r"(?:youtube\.com/(?:watch\?(?:.*&)?v=|embed/|v/|shorts/|live/)|youtu\.be/)([A-Za-z0-9_-]{11})"
+# Fixed value: where a video id stands in a URL.
+_VIDEO_URL = r"(?:youtube\.com/(?:[^/\n\s]+/\S+/|(?:v|e(?:mbed)?)/|\S*?[?&]v=)|youtu\.be/)([a-zA-Z0-9_-]{11})"
 
 
 def yaml_scalar(v: Column, kind: str = "string") -> Column:

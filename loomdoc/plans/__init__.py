@@ -1,5 +1,5 @@
 """Named queries and, where SQL can state them, their oracles."""
 
-from loomdoc.plans import documents, training
+from loomdoc.plans import documents, sequences, training
 
-PLANS = [documents, training]
+PLANS = [documents, sequences, training]
