@@ -1,5 +1,5 @@
 """Named queries and, where SQL can state them, their oracles."""
 
-from loomdoc.plans import documents, sequences, training
+from loomdoc.plans import conversion, documents, sequences, training
 
-PLANS = [documents, sequences, training]
+PLANS = [conversion, documents, sequences, training]
