@@ -123,7 +123,7 @@ def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, codes:
 
 def nearest(
     base: DataFrame, base_id: str, base_vec: str, *, extra: DataFrame | None = None, extra_id: str = "id", extra_vec: str = "vec",
-    k: int = 5, dim: int = 256, probes: int = 3, margin: float = 0.35, parts: int = 32, rerank: int = 48, lists: int | None = None, n_rows: int | None = None,
+    k: int = 5, dim: int = 256, probes: int = 8, margin: float = 0.2, parts: int = 32, rerank: int = 48, lists: int | None = None, n_rows: int | None = None,
 ) -> DataFrame:
     """``vec_id, neighbor_id, similarity``: the ``k`` rows of ``base`` most similar by cosine to each vector.
 
