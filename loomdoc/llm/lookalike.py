@@ -54,8 +54,18 @@ def tables() -> tuple[dict[int, str | None], str]:
         if len(d) > 1 and ord(d[0]) in one:
             folded[c] = unicodedata.normalize("NFC", "".join(one.get(ord(x), x) or "" for x in d))
     one |= folded
-    no = [c for c in range(0x80, 0x3000) if unicodedata.normalize("NFC", chr(c)) != chr(c)]  # quick check: no
-    unstable = sorted({*one, *no, *(c for c in range(0x300, 0x3100) if unicodedata.combining(chr(c)))})
+    no, maybe = set(), set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))  # quick check: no, and maybe (Hangul vowels and finals)
+    for c in range(0x80, 0x30000):
+        ch = chr(c)
+        if unicodedata.combining(ch):
+            maybe.add(c)
+        d = unicodedata.decomposition(ch)
+        if d and d[0] != "<":
+            if unicodedata.normalize("NFC", ch) != ch:
+                no.add(c)
+            elif " " in d:
+                maybe.add(int(d.split()[1], 16))
+    unstable = sorted({*one, *no, *maybe} - set(range(0x80)))
     return one, "".join(_ranges(unstable))
 
 
@@ -65,7 +75,7 @@ def _ranges(codes: list[int]) -> Iterator[str]:
         j = i
         while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
             j += 1
-        yield f"\\u{codes[i]:04x}" + (f"-\\u{codes[j]:04x}" if j > i else "")
+        yield f"\\U{codes[i]:08x}" + (f"-\\U{codes[j]:08x}" if j > i else "")
         i = j + 1
 
 
