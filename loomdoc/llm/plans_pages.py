@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomdoc.llm.mainbody import main_body
-from loomdoc.llm.scans import repair_evidence
+from loomdoc.llm.scans import repair_evidence, repaired_pages
 from loomdoc.session import table
 
 SQL: dict[str, str] = {}
@@ -24,3 +24,10 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["p7_found"] = p7_found
+
+
+def p7_text(spark: SparkSession, sf: str) -> DataFrame:
+    return repaired_pages(table(spark, sf, "pdf_pages").select("pdf_id", "page", "text", "ocr_used"))
+
+
+QUERIES["p7_text"] = p7_text

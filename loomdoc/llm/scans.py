@@ -222,3 +222,63 @@ def repair_evidence(df: DataFrame) -> DataFrame:
     chars = tokens.join(bad, "word").select("pdf_id", "page", "line_no", F.lit("char").alias("kind"), F.col("fixed").alias("word"))
     drops = parsed.where("kind = 'drop'").select("pdf_id", "page", "line_no", "kind", F.lit("").alias("word"))
     return drops.unionByName(joins).unionByName(chars).distinct()
+
+
+def _cased(word: str, like: str) -> str:
+    return word.capitalize() if like[:1].isupper() else word
+
+
+def repair_text(text: str, marks: list[tuple[int, str, str]]) -> str:
+    """The page as paragraphs: marked lines dropped, divided words whole, misread words replaced, lines of a paragraph on one line."""
+    lines = text.split("\n")
+    gone = {n - 1 for n, kind, _ in marks if kind == "drop"}
+    joins = {n - 1: w for n, kind, w in marks if kind == "join"}
+    for n, kind, w in marks:
+        if kind == "char":
+            toks = lines[n - 1].split(" ")
+            scored = [(difflib.SequenceMatcher(None, _CORE.sub("", t).lower(), w).ratio(), i) for i, t in enumerate(toks) if _CORE.sub("", t).lower() != w]
+            if scored and max(scored)[0] >= 0.5:
+                i = max(scored)[1]
+                core = _CORE.sub("", toks[i])
+                toks[i] = toks[i].replace(core, _cased(w, core))
+                lines[n - 1] = " ".join(toks)
+    paras: list[list[str]] = [[]]
+    carry = False
+    for i, line in enumerate(lines):
+        if i in gone:
+            continue
+        if not line.strip():
+            if not carry and paras[-1]:
+                paras.append([])
+            continue
+        words = line.split()
+        if carry and words:
+            tail = _CORE.search(words[0])
+            paras[-1][-1] += tail[0] if tail and words[0].endswith(tail[0]) else ""
+            words = words[1:]
+        carry = False
+        if i in joins and words:
+            words[-1] = _cased(joins[i], _CORE.sub("", words[-1]))
+            carry = True
+        paras[-1] += words
+    return "\n\n".join(" ".join(p) for p in paras if p)
+
+
+def repaired_pages(df: DataFrame) -> DataFrame:
+    """``pdf_id, page, text`` of every page: scanned ones repaired into paragraphs, others as they are.
+
+    The second half of a word divided over two pages stays with the first page.  See :func:`repair_evidence`
+    for which rows count; marks are gathered per page, so their number is bounded by the page.
+    """
+    marks = repair_evidence(df).groupBy("pdf_id", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "kind", "word"))).alias("m"))
+    pages = df.where(F.col("pdf_id").isNotNull() & F.col("page").isNotNull() & (F.col("text") != "")).select(F.col("pdf_id").cast("long").alias("pdf_id"), F.col("page").cast("int").alias("page"), "text")
+    pages = pages.groupBy("pdf_id", "page").agg(F.min("text").alias("text"))
+
+    def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["text"] = [repair_text(t, [(x["line_no"], x["kind"], x["word"]) for x in m]) for t, m in zip(b["text"].tolist(), b["m"].tolist(), strict=True)]
+            yield b[["pdf_id", "page", "text"]]
+
+    met = pages.join(marks, ["pdf_id", "page"], "left")
+    done = met.where("m is not null").mapInPandas(fix, "pdf_id long, page int, text string")
+    return met.where("m is null").select("pdf_id", "page", "text").unionByName(done)

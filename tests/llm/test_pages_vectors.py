@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import loomdoc.llm.neighbours as nb
 from loomdoc.llm.mainbody import main_blocks, main_body
-from loomdoc.llm.scans import _hash, anagram_hash, corrections, edge_lines, repair_evidence
+from loomdoc.llm.scans import _hash, anagram_hash, corrections, edge_lines, repair_evidence, repair_text, repaired_pages
 
 PAGE = """<html><head><title>T | Site</title><style>p{}</style></head><body>
 <div id="nav"><ul><li><a href="/h">Home</a></li></ul></div>
@@ -64,6 +64,10 @@ def test_repair(spark):
     got = {tuple(r) for r in repair_evidence(df).collect()}
     assert got == {(1, 1, 1, "join", "compiler"), (1, 1, 3, "char", "modern"), (1, 1, 3, "join", "single-column"), (1, 1, 5, "drop", ""), (1, 2, 1, "drop", ""), (1, 2, 5, "drop", "")}
     assert repair_evidence(df.limit(0)).count() == 0
+    text = {(r.pdf_id, r.page): r.text for r in repaired_pages(df).collect()}
+    assert text[1, 1] == "The modern office of the hidden compiler is here in a row that is wide and the modern office has a single-column and stays so for a long time, a"
+    assert text[1, 2] == "well known thing that is of this width, so it ends." and text[1, 3] == clean
+    assert repair_text("a b\n\nc", []) == "a b\n\nc"
 
 
 def _voices(rng, n, dim=32):
