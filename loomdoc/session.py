@@ -45,6 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/loomdoc-{spark.sparkContext.applicationId}"
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Remove the tables that :func:`cut` has written for this application; call it once their results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
@@ -52,7 +62,7 @@ def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     of executors, and later scans prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/cut-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -71,3 +71,12 @@ def test_overlap(spark):
     for bucket in (1.0, 60.0):
         got = {r.i: r.v for r in overlap_assign(left, right, "k", "i", "s", "e", "r", "s", "e", "v", bucket=bucket).collect()}
         assert got == {1: 11, 2: 0}
+
+
+def test_cut_writes_and_clears(spark):
+    from loomdoc.session import clear_cuts, cut
+
+    df = cut(spark.range(10))
+    assert df.agg(F.sum("id")).first()[0] == 45
+    assert "loomdoc-" in df.inputFiles()[0]
+    clear_cuts(spark)
