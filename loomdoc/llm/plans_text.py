@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from loomdoc.llm.leakage import leaked_items
-from loomdoc.llm.lookalike import lookalike_pairs
+from loomdoc.llm.lookalike import lookalike_pairs, tables
 from loomdoc.llm.newmail import new_lines
 from loomdoc.llm.packing import pack
 from loomdoc.llm.turns import speaker_turns
@@ -44,3 +44,28 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
+
+
+def _form_sql(column: str) -> str:
+    """The canonical form in SQL: one-to-one letters by translate, ligatures by replace, composition by NFC."""
+    one = tables()[0]
+    quote = lambda s: s.replace("'", "''")
+    pairs = [(chr(a), b) for a, b in one.items() if b and len(b) == 1]
+    gone = "".join(chr(a) for a, b in one.items() if not b)
+    text = f"translate({column}, '{quote(''.join(a for a, _ in pairs) + gone)}', '{quote(''.join(b for _, b in pairs))}')"
+    for a, b in one.items():
+        if b and len(b) > 1:
+            text = f"replace({text}, '{quote(chr(a))}', '{quote(b)}')"
+    return f"nfc_normalize({text})"
+
+
+SQL["p10_found"] = f"""
+WITH f AS (SELECT doc_id, text, {_form_sql("text")} AS form FROM documents WHERE text <> '')
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE a.form <> ''"""
+
+SQL["p9_found"] = f"""
+WITH t AS (
+  SELECT 'd' AS k, doc_id AS id, regexp_extract_all(lower(regexp_replace({_form_sql("text")}, '</?[a-zA-Z][^<>]{{0,200}}>|&(?:nbsp|amp|lt|gt|quot|#[0-9]+);', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text <> ''
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower({_form_sql("passage")}), '[\\p{{L}}\\p{{N}}]+') FROM eval_items),
+g AS (SELECT k, id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT k, id, w, unnest(range(1, len(w) - 10)) AS i FROM t WHERE len(w) >= 12))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g AND d.k = 'd' AND i.k = 'i'"""
