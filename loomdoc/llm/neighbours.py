@@ -171,7 +171,9 @@ def nearest(
 
     totals = rows.mapInArrow(count, "list long, held long, asked long").groupBy("list").agg(F.sum("held").alias("held"), F.sum("asked").alias("asked")).collect()
     blocks = np.ones((len(quant.centroids), 2), np.int64)  # as many rows as there are lists
+    size = np.zeros(len(quant.centroids), np.int64)
     for t in totals:
+        size[t["list"]] = t["held"]
         blocks[t["list"]] = max(1, -(-t["held"] // CELL)), max(1, -(-t["asked"] // CELL))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +183,8 @@ def nearest(
             if not len(y):
                 continue
             ids = batch.column("id").take(pa.array(at))
+            before = np.cumsum(size[top], axis=1) - size[top]
+            near |= before <= 2 * k  # further lists where the nearest hold too few rows
             code = shared.value.encode(y, top[:, 0])
             h = np.array([hash_id(i) for i in ids.to_pylist()], np.int64)
             out: list[list] = [[], [], [], []]  # row, list, cell, role: 1 row, 2 query, 3 both
