@@ -25,11 +25,11 @@ def json_convert(spark, sf):
 
 
 def documents_convert(spark, sf):
-    """Documents as files of the format they name; the converter's row of each."""
+    """Documents as files of the format they name; the converter's row of each, CSV tables with all their rows."""
     d = table(spark, sf, "documents").where("text is not null")
     ext = F.element_at(F.create_map(*[F.lit(x) for x in ("org", "org", "tex", "tex", "rst", "rst", "man", "1", "html", "html", "eml", "eml", "sub", "srt", "csv", "csv")]), F.col("converter"))
     d = d.select(F.concat(F.lit("document-"), F.col("doc_id").cast("string"), F.lit("."), F.coalesce(ext, F.lit("org"))).alias("source"), F.encode("text", "UTF-8").alias("content"))
-    return convert(d).select("source", "converter", F.length("content").alias("n_chars"), F.col("error").isNull().alias("ok"))
+    return convert(d, max_rows=0).select("source", "converter", F.length("content").alias("n_chars"), F.col("error").isNull().alias("ok"))
 
 
 def event_sessions(spark, sf):

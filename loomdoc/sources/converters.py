@@ -21,6 +21,8 @@ from loomdoc.functions.meta import detect_converter
 
 DOCUMENT = "source string, converter string, frontmatter string, content string, error string"
 MIME = {"w": "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}", "a": "{http://schemas.openxmlformats.org/drawingml/2006/main}", "s": "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"}
+#: Width up to which columns of CSV tables are padded where cells are not cut.
+PADDED = 80
 
 
 def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -132,6 +134,28 @@ def parse_csv(text: str, delimiter: str | None = None) -> list[list[str]]:
     return list(csv.reader(text.splitlines(), delimiter=delimiter or sniff_delimiter(text)))
 
 
+def csv_table(rows: list[list[str]], max_rows: int = 500, max_col_width: int = 0) -> str:
+    """Rows (the first is the header) as a padded pipe table of ``max_rows`` data rows, cells cut to ``max_col_width``; 0 is no limit.
+
+    Cells are taken by position, so equal header names stay columns of their own.  Short rows are filled, what a
+    row has beyond the header is dropped.  Where cells have no limit, columns are padded to ``PADDED`` at most.
+    """
+    if not rows or not rows[0]:
+        return ""
+
+    def cell(v: str) -> str:
+        v = v.replace("\r\n", " ").replace("\r", " ").replace("\n", " ").replace("|", "\\|")
+        return v[: max_col_width - 1] + "…" if 0 < max_col_width < len(v) else v
+
+    n, body = len(rows[0]), rows[1:] if max_rows <= 0 else rows[1 : max_rows + 1]
+    cells = [[cell(v) for v in [*r, *[""] * (n - len(r))][:n]] for r in (rows[0], *body)]
+    most = max_col_width if max_col_width > 0 else PADDED
+    widths = [max(3, min(most, max(len(r[i]) for r in cells))) for i in range(n)]
+    lines = ["| " + " | ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)) + " |" for r in cells]
+    lines.insert(1, "| " + " | ".join("-" * w for w in widths) + " |")
+    return "\n".join([*lines, *(["", f"> **Note:** Table truncated to {len(body)} of {len(rows) - 1} rows."] if len(body) < len(rows) - 1 else [])])
+
+
 def load_data(text: str, kind: str) -> object:
     """The value of JSON, JSON lines or YAML text."""
     if kind == "json":
@@ -177,7 +201,7 @@ def render_data(x: object, kind: str = "json", max_items: int = 100) -> str:
     return f"```json\n{json.dumps(x, indent=2, ensure_ascii=False, default=str)}\n```"
 
 
-def _convert(name: str, tool: str, data: bytes) -> tuple[str, dict]:
+def _convert(name: str, tool: str, data: bytes, max_rows: int = 500, max_col_width: int = 0) -> tuple[str, dict]:
     ext = name.rsplit(".", 1)[-1].lower()
     text = lambda: data.decode("utf-8", "replace")
     simple = {"org": markup.org, "tex": markup.tex, "man": markup.man, "rst": markup.rst}
@@ -194,8 +218,7 @@ def _convert(name: str, tool: str, data: bytes) -> tuple[str, dict]:
         return "\n\n".join(f"**[{a // 60000:02d}:{a // 1000 % 60:02d}]** {t}" for a, _, _, t in ev if t.strip()), {"events": len(ev), "duration": round(max((b for _, b, _, _ in ev), default=0) / 1000, 3)}
     if tool == "csv":
         rows = parse_csv(text())
-        table = [dict(zip(rows[0], [*r, *[""] * len(rows[0])], strict=False)) for r in rows[1:]] if rows else []
-        return render_data(table) if table else "", {"rows": len(table), "columns": len(rows[0]) if rows else 0}
+        return csv_table(rows, max_rows, max_col_width), {"rows": max(0, len(rows) - 1), "columns": len(rows[0]) if rows else 0}
     if tool == "data":
         kind = {"yml": "yaml"}.get(ext, ext)
         v = load_data(text(), kind)
@@ -210,8 +233,11 @@ def _convert(name: str, tool: str, data: bytes) -> tuple[str, dict]:
     raise ValueError(f"no converter for {name}")
 
 
-def convert(df: DataFrame, source: str = "source", content: str = "content") -> DataFrame:
-    """Document rows ``source, converter, frontmatter (JSON), content, error`` of file rows; a file that cannot be read is an error row, the others go on."""
+def convert(df: DataFrame, source: str = "source", content: str = "content", *, max_rows: int = 500, max_col_width: int = 0) -> DataFrame:
+    """Document rows ``source, converter, frontmatter (JSON), content, error`` of file rows; a file that cannot be read is an error row, the others go on.
+
+    ``max_rows`` and ``max_col_width`` limit the rows and cells of CSV tables, 0 is no limit; a note under a table says how many rows it lacks.
+    """
     use = df.where(F.col(source).isNotNull() & F.col(content).isNotNull()).select(F.col(source).alias("s"), detect_converter(F.col(source)).alias("t"), F.col(content).cast("binary").alias("c"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,7 +245,7 @@ def convert(df: DataFrame, source: str = "source", content: str = "content") ->
             rows = []
             for s, t, c in b.itertuples(index=False):
                 try:
-                    body, meta = _convert(s, t, bytes(c))
+                    body, meta = _convert(s, t, bytes(c), max_rows, max_col_width)
                     rows.append((s, t, json.dumps(meta, ensure_ascii=False, default=str), body, None))
                 except Exception as e:  # noqa: BLE001
                     rows.append((s, t, None, None, json.dumps({"code": "CONVERSION_FAILED", "message": str(e), "recoverable": False})))

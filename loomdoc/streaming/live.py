@@ -25,9 +25,9 @@ def windowed_counts(events: DataFrame, kind: str, ts: str, *, width: str = "1 da
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n_rows")).select(F.col("w.start").alias("start_ts"), kind, "n_rows")
 
 
-def watch_files(spark: SparkSession, folder: str, out: str, checkpoint: str, *, pattern: str = "*"):
+def watch_files(spark: SparkSession, folder: str, out: str, checkpoint: str, *, pattern: str = "*", max_rows: int = 500, max_col_width: int = 0):
     """Convert the files that are new in ``folder`` since the last run and append their documents to ``out``."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     new = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
-    docs = convert(new, "path", "content")
+    docs = convert(new, "path", "content", max_rows=max_rows, max_col_width=max_col_width)
     return docs.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -89,6 +89,25 @@ def test_data():
         converters.load_data("{", "json")
 
 
+def test_csv_rows(spark):
+    text = "a,b,a\n" + "".join(f"{i},x|{i},z{i}\n" for i in range(599)) + "599," + "w" * 90
+    df = spark.createDataFrame([("table-number-1.csv", text.encode())], "source string, content binary")
+
+    def lines(**limits):
+        r = converters.convert(df, **limits).first()
+        assert json.loads(r.frontmatter) == {"rows": 600, "columns": 3}
+        return r.content.split("\n")
+
+    whole = lines(max_rows=0)
+    assert len(whole) == 602 and whole[0].split() == ["|", "a", "|", "b", "|", "a", "|"]
+    assert [x.split(" | ")[0].strip("| ") for x in whole[2:]] == [str(i) for i in range(600)]
+    assert [x.strip() for x in whole[300].strip("|").split(" | ")] == ["298", "x\\|298", "z298"] and "w" * 90 in whole[601]
+    some = lines()
+    assert len(some) == 504 and some[501].split(" | ")[2] == "z499 |" and some[503] == "> **Note:** Table truncated to 500 of 600 rows."
+    assert "w" * 79 + "… |" in lines(max_rows=0, max_col_width=80)[601]
+    assert converters.csv_table([["a"]]) == "| a   |\n| --- |" and converters.csv_table([]) == ""
+
+
 def _office(kind):
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
