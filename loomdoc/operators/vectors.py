@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from loomdoc.session import BROADCAST_ROWS
 
 # Distances up to which a match is of high confidence or accepted, accepted in plain matching, and rows a gallery keeps.
 HIGH, LOW, MATCH, KEEP = 0.15, 0.30, 0.55, 20
+#: Most rows and queries (about) that one cell of the exact search compares.
+CELL = 4096
 
 
 def doubles(v: Column) -> Column:
@@ -73,6 +77,76 @@ def nearest_centroid(queries: DataFrame, query_id: str, vec: str, centroids: Dat
     return queries.select(query_id).join(best, query_id, "left").select(query_id, F.when(ok, F.col("m.n")).alias(name), F.when(ok, F.col("m.d")).alias("distance"))
 
 
+def knn(queries: DataFrame, query_id: str, vec: str, base: DataFrame, base_id: str, base_vec: str, *, k: int = 5) -> DataFrame:
+    """``query_id, base_id, distance, rank``: the ``k`` rows of ``base`` with the least cosine distance to each query.
+
+    Exact: all pairs are compared, in cells of about ``CELL`` rows by ``CELL`` queries, so no task holds a whole side.
+    Null ids and vectors that are null, empty, not finite or shorter than 1e-10 neither ask nor answer; vectors of
+    different length are not compared.  Rows of one id count once.  Distances are rounded to 12 digits, ties go to the smaller id.
+    """
+
+    def side(df: DataFrame, key: str, v: str, asks: bool) -> DataFrame:
+        d = df.select(F.col(key).cast("string").alias("id"), doubles(F.col(v)).alias("v"), F.lit(asks).alias("asks"))
+        n = norm(F.col("v"))
+        return d.where(F.col("id").isNotNull() & (F.size("v") > 0) & (n >= 1e-10) & (n < float("inf")))
+
+    q, b = side(queries, query_id, vec, True), side(base, base_id, base_vec, False)
+    nq, nb = (max(1, -(-d.count() // CELL)) for d in (q, b))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    asked = q.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("cell", F.col("cell") * nq + mine(nq))
+    held = b.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("cell", mine(nb) * nq + F.col("cell"))
+
+    def search(t: pa.Table) -> pa.Table:
+        asks, ids = t.column("asks").to_numpy(), np.array(t.column("id").to_pylist(), object)
+        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        x = x / np.sqrt((x * x).sum(1))[:, None]
+        rows, ask = np.flatnonzero(~asks), np.flatnonzero(asks)
+        rows = rows[np.unique(ids[rows], return_index=True)[1]]  # sorted by id: ties go to the smaller
+        got: list[tuple] = []
+        for i in range(0, len(ask) if len(rows) else 0, 256):
+            d = np.round(1 - x[ask[i : i + 256]] @ x[rows].T, 12)
+            m = min(k, len(rows))
+            a, r = np.nonzero(d <= np.partition(d, m - 1, axis=1)[:, m - 1 : m])
+            order = np.lexsort((r, d[a, r], a))
+            a, r = a[order], r[order]
+            first = np.arange(len(a)) - np.searchsorted(a, a) < m
+            a, r = a[first], r[first]
+            got.append((ids[ask[i + a]], ids[rows[r]], d[a, r]))
+        a, r, d = (np.concatenate(c) if got else [] for c in (zip(*got, strict=True) if got else ((), (), ())))
+        return pa.table({"q": pa.array(a, pa.string()), "b": pa.array(r, pa.string()), "d": pa.array(d, pa.float64())})
+
+    cells = asked.unionByName(held).groupBy("cell", F.size("v").alias("dim"))
+    hits = cells.applyInArrow(search, "q string, b string, d double").groupBy("q", "b").agg(F.min("d").alias("d"))
+    w = Window.partitionBy("q").orderBy("d", "b")
+    top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select(F.col("q").cast(queries.schema[query_id].dataType).alias(query_id), F.col("b").cast(base.schema[base_id].dataType).alias(base_id), F.col("d").alias("distance"), "rank")
+
+
+def nearest_enrollments(queries: DataFrame, query_id: str, vec: str, enrollments: DataFrame, speakers: DataFrame, *, k: int = 5) -> DataFrame:
+    """``query_id, rank, enrollment_id, speaker_id, distance``: the ``k`` nearest enrollments among those of ``speakers``.
+
+    A filter on speakers is the choice of the rows of ``speakers``; it holds before the nearest are taken.
+    """
+    e = enrollments.join(speakers.select(F.col("id").alias("speaker_id")).distinct(), "speaker_id", "left_semi")
+    top = knn(queries, query_id, vec, e, "enrollment_id", "embedding", k=k)
+    return top.join(e.groupBy("enrollment_id").agg(F.min("speaker_id").alias("speaker_id")), "enrollment_id").select(query_id, "rank", "enrollment_id", "speaker_id", "distance")
+
+
+def match_speaker(queries: DataFrame, query_id: str, vec: str, enrollments: DataFrame, speakers: DataFrame, *, k: int = 5, threshold: float = MATCH) -> DataFrame:
+    """``query_id, speaker_id, name, distance, enrollment_id`` of the nearest enrollment of ``speakers`` within ``threshold``, else nulls.
+
+    A query that no enrollment can be compared with is matched with the centroids of speakers that count enrollments
+    (``enrollment_id`` is null then).  ``speakers`` has ``id, name, centroid, enrollment_count``.
+    """
+    ids = queries.select(query_id).distinct()
+    near = nearest_enrollments(queries, query_id, vec, enrollments, speakers, k=k).where("rank = 1").drop("rank")
+    rest = queries.join(near.select(query_id), query_id, "left_anti")
+    c = knn(rest, query_id, vec, speakers.where("enrollment_count > 0").select(F.col("id").alias("speaker_id"), "centroid"), "speaker_id", "centroid", k=1)
+    best = near.unionByName(c.drop("rank"), allowMissingColumns=True).where(F.col("distance") <= threshold)
+    named = best.join(speakers.select(F.col("id").alias("speaker_id"), "name"), "speaker_id")
+    return ids.join(named, query_id, "left").select(query_id, "speaker_id", "name", "distance", "enrollment_id")
+
+
 def classify(distance: Column) -> Column:
     """``high``, ``medium`` or ``none`` by distance."""
     return F.when(distance <= HIGH, "high").when(distance <= LOW, "medium").otherwise("none")

@@ -114,6 +114,25 @@ def speaker_classify(spark, sf):
     return m.select("vec_id", "label", F.round("distance", 6).alias("distance"), vectors.classify(F.round("distance", 6)).alias("confidence"))
 
 
+def _catalog(spark, sf):
+    """Enrollments, and of the speakers those in 20 meetings or more: the filter of the matching queries."""
+    return table(spark, sf, "enrollments").select("enrollment_id", "speaker_id", "embedding"), table(spark, sf, "speakers").where("meeting_count >= 20")
+
+
+def knn_top5(spark, sf):
+    """The five nearest enrollments of the filtered speakers to the centroid of every speaker."""
+    e, s = _catalog(spark, sf)
+    n = vectors.nearest_enrollments(table(spark, sf, "speakers").select(F.col("id").alias("vec_id"), "centroid"), "vec_id", "centroid", e, s)
+    return n.select("vec_id", "rank", "enrollment_id", "speaker_id", F.round("distance", 6).alias("distance"))
+
+
+def speaker_identify(spark, sf):
+    """The filtered speaker that the centroid of every speaker is matched with, and how surely."""
+    e, s = _catalog(spark, sf)
+    m = vectors.match_speaker(table(spark, sf, "speakers").select(F.col("id").alias("vec_id"), "centroid"), "vec_id", "centroid", e, s, threshold=vectors.LOW)
+    return m.select("vec_id", "speaker_id", "name", "enrollment_id", F.round("distance", 6).alias("distance"), vectors.classify(F.round("distance", 6)).alias("confidence"))
+
+
 def gallery_prune(spark, sf):
     e = table(spark, sf, "enrollments").where("enrollment_id is not null and speaker_id is not null").select("enrollment_id", "speaker_id", "created_at").distinct()
     kept = vectors.prune_gallery(e, "speaker_id", [F.desc_nulls_last("created_at"), F.asc("enrollment_id"), F.desc_nulls_last("created_at")])
@@ -156,7 +175,7 @@ def merge_speakers(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     run_merge, gap_merge, diarization_merge, phrase_cut, overlap_assign, dialog_srt, dialog_markdown, dialog_text, timestamp_formats, speaker_order, attendance, page_dates, vec_normalize,
-    centroid_stats, weighted_centroid, speaker_classify, gallery_prune, group_member_counts, group_members, correlated_count, next_unknown, speakers_by_name, merge_speakers,
+    centroid_stats, weighted_centroid, speaker_classify, knn_top5, speaker_identify, gallery_prune, group_member_counts, group_members, correlated_count, next_unknown, speakers_by_name, merge_speakers,
 )}
 
 _E = "SELECT *, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events"
@@ -182,6 +201,15 @@ p AS (SELECT label, i, avg(v[i]) AS m FROM u, range(1, (SELECT max(len(embedding
 m AS (SELECT label, list(m ORDER BY i) AS c FROM p GROUP BY label),
 k AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM m)"""
 
+_KNN = """
+b AS (SELECT enrollment_id, min(speaker_id) AS speaker_id, any_value(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM enrollments
+  WHERE enrollment_id IS NOT NULL AND len(embedding) > 0 AND speaker_id IN (SELECT id FROM speakers WHERE meeting_count >= 20) GROUP BY enrollment_id),
+q AS (SELECT id AS vec_id, list_transform(centroid, lambda x: x::DOUBLE) AS v FROM speakers WHERE len(centroid) > 0),
+bu AS (SELECT enrollment_id, speaker_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM b WHERE sqrt(list_dot_product(v, v)) >= 1e-10),
+qu AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM q WHERE sqrt(list_dot_product(v, v)) >= 1e-10),
+d AS (SELECT vec_id, enrollment_id, speaker_id, round(CASE WHEN len(qu.v) = len(bu.v) THEN 1 - list_dot_product(qu.v, CASE WHEN len(qu.v) = len(bu.v) THEN bu.v ELSE qu.v END) END, 12) AS distance FROM qu, bu),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, enrollment_id) AS INT) AS rank FROM d WHERE distance IS NOT NULL QUALIFY rank <= 5)"""
+
 SQL = {
     "run_merge": f"""
 WITH e AS ({_E}), a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
@@ -213,6 +241,9 @@ SELECT o.o_custkey, o.o_orderkey, coalesce(t.label, 0) AS label FROM o LEFT JOIN
     "centroid_stats": f"WITH {_CENT}, d AS (SELECT label, 1 - list_dot_product(u.v, k.c) AS d FROM u JOIN k USING (label)) SELECT label, count(*) AS enrollment_count, round(avg(d), 6) AS mean_distance, round(stddev_pop(d), 6) AS std_distance FROM d GROUP BY label",
     "speaker_classify": f"""WITH {_CENT}, d AS (SELECT vec_id, min((round(1 - list_dot_product(u.v, k.c), 12), k.label)) AS b FROM u, k GROUP BY vec_id), r AS (SELECT vec_id, b[2] AS label, round(b[1], 6) AS distance FROM (SELECT vec_id, [b[1]::DOUBLE, b[2]::DOUBLE] AS b FROM d))
 SELECT vec_id, CAST(label AS INT) AS label, distance, CASE WHEN distance <= 0.15 THEN 'high' WHEN distance <= 0.3 THEN 'medium' ELSE 'none' END AS confidence FROM r""",
+    "knn_top5": f"WITH {_KNN} SELECT vec_id, rank, enrollment_id, speaker_id, round(distance, 6) AS distance FROM t",
+    "speaker_identify": f"""WITH {_KNN}, m AS (SELECT vec_id, t.speaker_id, name, enrollment_id, round(distance, 6) AS distance FROM t JOIN speakers ON id = t.speaker_id WHERE rank = 1 AND distance <= 0.3)
+SELECT id AS vec_id, speaker_id, m.name, enrollment_id, distance, CASE WHEN distance <= 0.15 THEN 'high' WHEN distance <= 0.3 THEN 'medium' ELSE 'none' END AS confidence FROM speakers LEFT JOIN m ON vec_id = id""",
     "gallery_prune": "SELECT speaker_id, enrollment_id FROM (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY created_at DESC NULLS LAST, enrollment_id) AS r FROM (SELECT DISTINCT enrollment_id, speaker_id, created_at FROM enrollments WHERE enrollment_id IS NOT NULL AND speaker_id IS NOT NULL)) WHERE r <= 20",
     "group_member_counts": "SELECT n_name AS name, count(c_custkey) AS member_count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 GROUP BY n_name",
     "group_members": "SELECT n_name, string_agg(s_name, ',' ORDER BY s_name) AS members FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name",

@@ -166,6 +166,23 @@ def test_vectors(spark):
     assert got == {1: "x", 2: None}
 
 
+def test_match_speaker(spark, monkeypatch):
+    """A voice is matched with enrollments, the filter before the five nearest; centroids only where no enrollment compares."""
+    s = spark.createDataFrame([("A", "Al", [0.0, 0.0, 1.0], 7), ("B", "Bo", [0.0, 0.0, 0.0], 2), ("C", "Cy", [0.0, 1.0], 1)], "id string, name string, centroid array<double>, enrollment_count int")
+    near = [(f"a{i}", "A", [1.0, 0.01 * i, 0.0]) for i in range(6)]
+    rows = [*near, ("b0", "B", [1.0, 0.3, 0.0]), ("b0", "B", [1.0, 0.3, 0.0]), ("b1", "B", [0.0, 0.0, 0.0]), ("b2", "B", None), ("x", "gone", [1.0, 0.0, 0.0])]
+    e = spark.createDataFrame(rows, "enrollment_id string, speaker_id string, embedding array<double>")
+    q = spark.createDataFrame([(1, [2.0, 0.0, 0.0]), (2, [0.0, 0.0, -1.0]), (3, [0.1, 1.0]), (4, None), (5, [0.0, 0.0, 0.0])], "q long, v array<double>")
+    for cell in (4096, 2):
+        monkeypatch.setattr(vectors, "CELL", cell)
+        top = vectors.nearest_enrollments(q.where("q = 1"), "q", "v", e, s).orderBy("rank").collect()
+        assert [(r.rank, r.enrollment_id) for r in top] == [(i + 1, f"a{i}") for i in range(5)]
+        got = {r.q: (r.name, r.enrollment_id) for r in vectors.match_speaker(q, "q", "v", e, s).collect()}
+        assert got == {1: ("Al", "a0"), 2: (None, None), 3: ("Cy", None), 4: (None, None), 5: (None, None)}
+        only = vectors.match_speaker(q.where("q = 1"), "q", "v", e, s.where("name = 'Bo'")).first()
+        assert (only.name, only.enrollment_id) == ("Bo", "b0") and only.distance == pytest.approx(1 - 1 / 1.09**0.5)
+
+
 def test_catalog(spark):
     s = spark.createDataFrame([("1", "Al"), ("2", "Bo"), ("3", "Unknown_4")], "id string, name string")
     e = spark.createDataFrame([("e1", "1"), ("e2", "2")], "id string, speaker_id string")
