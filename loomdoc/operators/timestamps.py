@@ -6,7 +6,9 @@ missing zones, which is one aggregate per source with a constant number of count
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Month names as mail programs write them (English, German, French, Spanish).
@@ -166,6 +168,65 @@ def estimate_zones(df: DataFrame, source: str, local_s: str, seen_s: str, candid
     return best.select("source", F.col("b.z").alias("zone"), F.col("b.v").alias("violations"), "rows")
 
 
+def zone_histories(spark) -> dict[str, str]:
+    """Every zone id the JVM knows and the id that stands for its offset history: one of ``DEFAULT_CANDIDATES`` where possible, else the first by name."""
+    of = spark._jvm.java.time.ZoneId
+    held: dict[int, list] = {}
+    out = {}
+    for z in dict.fromkeys([*DEFAULT_CANDIDATES, *sorted(of.getAvailableZoneIds())]):
+        rules = of.of(z).getRules()
+        same = held.setdefault(rules.hashCode(), [])
+        out[z] = next((n for r, n in same if r.equals(rules)), z)
+        if out[z] == z:
+            same.append((rules, z))
+    return out
+
+
+#: Half hours of lag that are told apart, and how many times as likely the best zones must be as others.
+LAG_BINS, LIKELIER = 672, 20
+
+
+def _lag_bin(lag: Column) -> Column:
+    """The half hour of a lag: -1 is fetched before it was written, ``LAG_BINS`` two weeks after or later."""
+    return F.greatest(F.lit(-1), F.least(F.lit(LAG_BINS), F.floor(lag / 1800))).cast("int")
+
+
+def lag_counts(df: DataFrame, sent_s: str, seen_s: str) -> DataFrame:
+    """One row ``held`` (half hour of lag to number of rows) and ``total``, of the rows with a stated zone; at most ``LAG_BINS + 2`` entries."""
+    per = df.groupBy(_lag_bin(F.col(seen_s) - F.col(sent_s)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "n")))
+    return per.agg(F.map_from_entries(pairs).alias("held"), F.coalesce(F.sum(F.when(F.col("b").isNotNull(), F.col("n"))), F.lit(0)).alias("total"))
+
+
+def possible_zones(df: DataFrame, source: str, local_s: str, seen_s: str, lags: DataFrame, candidates: list[str] | None = None) -> DataFrame:
+    """``source, zone, zones, violations, rows``: the zones of each source among all offset histories, with ties shown.
+
+    ``lags`` is the row of :func:`lag_counts`: a candidate is as likely as the lags it gives the rows are there.
+    ``zones`` are the candidates that are not ``LIKELIER`` times less likely than the best, the likeliest first.
+    ``zone`` is the first of them if all give the same instants for all rows of the source, else null.
+    ``violations`` counts the rows with lags that no row with a stated zone has.
+    """
+    names = candidates or list(dict.fromkeys(zone_histories(df.sparkSession).values()))
+    use = F.col("source").isNotNull() & F.col("l").isNotNull() & F.col("seen").isNotNull()
+    tries = F.split(F.lit(",".join(names)), ",")  # as one literal: hundreds of structs exceed what is compiled
+    rows = df.groupBy(F.col(source).alias("source"), F.col(local_s).alias("l"), F.col(seen_s).alias("seen")).agg(F.count(F.lit(1)).alias("c"))
+    tried = rows.select("*", F.posexplode(F.when(use, tries)).alias("i", "z")).withColumn("at", wall_to_epoch(F.col("l"), F.col("z")))
+    tried = tried.withColumn("b", _lag_bin(F.col("seen") - F.col("at"))).crossJoin(F.broadcast(lags))  # one row
+    n = F.coalesce(F.try_element_at("held", F.col("b")), F.lit(0))
+    width = F.when(F.col("b") < 0, 1440).when(F.col("b") == LAG_BINS, 17_520).otherwise(1)  # a month and a year of half hours
+    # the sums of offsets and of hashes stand for the instants of all rows
+    per = tried.groupBy("source", "i", "z").agg(
+        F.sum(F.col("c") * F.log((n + 0.5) / (F.col("total") + 0.5 * (LAG_BINS + 2)) / width)).alias("s"), F.sum(F.when(n == 0, F.col("c")).otherwise(0)).alias("v"),
+        F.sum("c").alias("rows"), F.sum(F.col("l") - F.col("at")).alias("o"), F.sum(F.xxhash64("l", "at").cast("decimal(20,0)")).alias("h"),
+    )
+    top = per.withColumn("m", F.max("s").over(Window.partitionBy("source"))).where(F.col("s") >= F.col("m") - math.log(LIKELIER))
+    best = top.groupBy("source").agg(
+        F.array_sort(F.collect_list(F.struct(-F.round("s", 6), "i", "z", "v"))).alias("b"), F.count_distinct("o", "h").alias("k"), F.max("rows").alias("rows")
+    )
+    first = F.get("b", F.lit(0))
+    return best.select("source", F.when(F.col("k") == 1, first["z"]).alias("zone"), F.transform("b", lambda x: x["z"]).alias("zones"), first["v"].alias("violations"), "rows")
+
+
 def lag_bound(df: DataFrame, sent_s: str, seen_s: str, share: float = 0.9) -> DataFrame:
     """One row ``lag_s``: the lag below which ``share`` of the rows with a stated zone were ingested."""
     lag = (F.col(seen_s) - F.col(sent_s)).cast("double")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.operators.intervals import interval_runs
-from loomdoc.operators.timestamps import estimate_zones, normalise_timestamps, with_stamp_parts
+from loomdoc.operators.timestamps import lag_counts, normalise_timestamps, possible_zones, with_stamp_parts
 from loomdoc.session import table
 
 
@@ -18,19 +18,16 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_zones(spark: SparkSession, sf: str) -> DataFrame:
-    """The zone of each archive as its local header dates and fetch times show it, beside the stated one."""
+    """The zone of each archive as its local header dates and fetch times show it, beside the stated one.
+
+    All offset histories of the zone database are tried; how long after they are fetched is taken from those that state an offset.
+    """
     e = table(spark, sf, "emails").select("source", "date_hdr", F.unix_seconds(F.col("fetched_at").cast("timestamp")).alias("seen"))
     e = with_stamp_parts(e, "date_hdr")
+    lags = lag_counts(e.withColumn("_sent_s", F.col("_local_s") - F.col("_offset_min") * 60), "_sent_s", "seen")
     bare = e.withColumn("_local_s", F.when(~F.col("_has_rest"), F.col("_local_s")))
     boxes = table(spark, sf, "mailboxes").select("source", "host_zone")
-    return estimate_zones(bare, "source", "_local_s", "seen", CANDIDATES).join(boxes, "source", "left").select("source", "zone", "host_zone", "violations", "rows")
-
-
-#: Offset histories between which :func:`p1_zones` chooses.
-CANDIDATES = [
-    "UTC", "Europe/London", "Europe/Berlin", "Europe/Helsinki", "Asia/Kolkata", "Asia/Tokyo", "Australia/Sydney",
-    "America/New_York", "America/Chicago", "America/Los_Angeles",
-]
+    return possible_zones(bare, "source", "_local_s", "seen", lags).join(boxes, "source", "left").select("source", "zone", "host_zone", "violations", "rows", "zones")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

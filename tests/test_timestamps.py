@@ -4,7 +4,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from loomdoc.operators.timestamps import estimate_zones, normalise_timestamps
+from loomdoc.operators.timestamps import estimate_zones, lag_counts, normalise_timestamps, possible_zones, zone_histories
 
 CASES = [
     ("Thu, 20 Feb 2025 20:15:23 +0000", "2025-02-20T20:15:23Z"),
@@ -83,3 +83,26 @@ def test_empty_and_clashing_names(spark):
     assert [r.utc_second for r in normalise_timestamps(one, "h", source="s").collect()] == ["2024-01-01T00:00:00Z"] * 2
     empty = spark.createDataFrame([], "s string, l long, seen long")
     assert estimate_zones(empty, "s", "l", "seen", ["UTC"]).count() == 0
+
+
+def test_zones_outside_the_list_and_ties(spark):
+    """Any zone of the database can be found, and sources whose rows fit several are not given one of them."""
+    def rows(name, zone, n, step, lags):
+        z, out = ZoneInfo(zone), []
+        for i in range(n):
+            sent = datetime(2023, 1, 1, tzinfo=UTC) + timedelta(hours=step * i)
+            wall = sent.astimezone(z).replace(tzinfo=UTC)
+            out.append((name, int(wall.timestamp()), int(sent.timestamp()) + lags[i % len(lags)]))
+        return out
+
+    wide = [0, 60, 3000, 7000]
+    data = [*rows("kathmandu", "Asia/Kathmandu", 300, 29, wide), *rows("la", "America/Los_Angeles", 300, 29, wide), *rows("few", "Asia/Tokyo", 2, 5, [3000])]
+    df = spark.createDataFrame(data, "s string, l long, seen long")
+    lag = lag_counts(spark.createDataFrame([(0, x) for x in wide * 50] + [(None, 5)], "sent long, seen long"), "sent", "seen")
+    got = {r.source: r for r in possible_zones(df, "s", "l", "seen", lag).collect()}
+    same = zone_histories(spark)
+    assert got["kathmandu"].zone == same["Asia/Kathmandu"] and got["la"].zone == "America/Los_Angeles"
+    assert got["kathmandu"].violations == got["la"].violations == 0 and got["la"].rows == 300
+    assert got["few"].zone is None and {"Asia/Tokyo", "Australia/Sydney"} - set(got["few"].zones) == {"Australia/Sydney"} and len(got["few"].zones) > 1
+    none = lag_counts(spark.createDataFrame([], "sent long, seen long"), "sent", "seen")
+    assert possible_zones(df, "s", "l", "seen", none).count() == 3 and possible_zones(df.limit(0), "s", "l", "seen", none).count() == 0
