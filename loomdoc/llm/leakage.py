@@ -69,7 +69,7 @@ class Index:
 
 
 def build_index(items: list[tuple[int, str]], n_words: int, edits: int) -> Index:
-    """The longest q for which the lemma still asks for some shared q-grams is used."""
+    """The longest q for which the lemma still asks for some shared q-grams is used; passages too short for any raise ``ValueError``."""
     texts, ids, least = [], [], 10**9
     for i, passage in items:
         w = words_of(passage or "")
@@ -78,7 +78,11 @@ def build_index(items: list[tuple[int, str]], n_words: int, edits: int) -> Index
         least = min(least, *(len(" ".join(w[j : j + n_words]).encode()) + 2 for j in range(len(w) - n_words + 1)))
         texts.append((" " + " ".join(w) + " ").encode())
         ids.append(i)
+    least -= 2 if edits else 0  # with edits the blanks on either side need not match
     q = next((q for q in range(LONGEST, STEP, -STEP) if least + 1 - q * (edits + 1) >= STEP), STEP)
+    bound = least + 1 - q * (edits + 1)
+    if bound < 1:
+        raise ValueError(f"{n_words} words of {least} bytes are too few for {edits} edits: some matches would share no {q}-gram")
     grams = [_grams(t, q) for t in texts] or [np.empty(0, np.uint64)]
     g = np.concatenate(grams)
     order = np.argsort(g, kind="stable")
@@ -87,10 +91,10 @@ def build_index(items: list[tuple[int, str]], n_words: int, edits: int) -> Index
     g = g[order]
     bits = np.zeros(1 << 22, bool)
     bits[g >> _SHIFT] = True
-    return Index(g, item[order], pos[order], texts, ids, bits, n_words, max(1, least + 1 - q * (edits + 1)), max(16, 2 * edits), q)
+    return Index(g, item[order], pos[order], texts, ids, bits, n_words, bound, max(16, 2 * edits), q)
 
 
-def _aligned(doc: bytes, item: bytes, lo: int, hi: int, diagonals: range, n_words: int, edits: int) -> bool:
+def _aligned(doc: bytes, item: bytes, lo: int, hi: int, diagonals: range, n_words: int, edits: int, q: int) -> bool:
     """Whether the band holds ``n_words`` successive words of the item, aligned diagonal by diagonal.
 
     Without edits an alignment in a band is a run of equal bytes on one of its diagonals.  With edits a
@@ -110,7 +114,8 @@ def _aligned(doc: bytes, item: bytes, lo: int, hi: int, diagonals: range, n_word
                 return True
     if edits:
         w = item.split()
-        region = doc[max(0, lo - edits) : hi + edits]
+        around = q * (edits + 1) + edits  # an edit within the first or last q bytes spoils all q-grams up to it
+        region = doc[max(0, lo - around) : hi + around]
         for j in range(len(w) - n_words + 1):
             if _within(b" ".join(w[j : j + n_words]), region, edits):
                 return True
@@ -167,7 +172,7 @@ def leaks(text: str, ix: Index, edits: int = 0) -> list[int]:
                 continue
             first = int((c[b] & ((1 << 40) - 1)) * width - shift - (1 << 20))
             w = where[order[b:e]]
-            if _aligned(doc, ix.texts[it], int(w.min()), int(w.max()) + ix.q, range(first, first + width), ix.n_words, edits):
+            if _aligned(doc, ix.texts[it], int(w.min()), int(w.max()) + ix.q, range(first, first + width), ix.n_words, edits, ix.q):
                 out.add(it)
     return sorted(out)
 
@@ -176,7 +181,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     """Distinct ``doc_id, item_id``: each document with ``n_words`` successive words of an item's passage.
 
     Words are runs of letters and digits of the canonical form; case, punctuation, markup and line
-    breaks do not matter.  ``edits`` allows single-character edits within those words.  Items are held
+    breaks do not matter.  ``edits`` allows single-byte edits within those words; passages too short for that many raise ``ValueError``.  Items are held
     by every task, so their number is checked against ``max_items`` before they are read; more raise
     ``ValueError`` and are to be given in blocks.  Null texts, ids and passages, and passages shorter than ``n_words``,
     have no row; repeated rows count once; texts of any length are read whole.

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomdoc.llm.leakage import build_index, leaked_items, leaks, words_of
+from loomdoc.llm.leakage import _within, build_index, leaked_items, leaks, words_of
 from loomdoc.llm.lookalike import canonical, canonical_text, is_unstable, lookalike_pairs
 from loomdoc.llm.newmail import near_matches, new_lines, read_mail, simhash
 from loomdoc.llm.packing import boundaries, layout, pack
@@ -77,6 +77,27 @@ def test_leaks_with_edits():
     assert leaks("nothing of that kind stands in here " * 5, ix, 1) == []
 
 
+def test_leaks_with_edits_anywhere():
+    """An edit at any byte of the passage, two at once, against a search of the whole text."""
+    w = "the quick brown fox jumps over the lazy dog near our river".split()
+    item, before, after = " ".join(w), "some words stand here first and ", " then come others that say nothing of it"
+    rng = random.Random(5)
+
+    def edit(t, i, kind):
+        return t[:i] + {"s": "z" if t[i] != "z" else "y", "d": "", "i": "z" + t[i]}[kind] + t[i + 1 :]
+
+    once = [edit(item, i, k) for i in range(len(item)) for k in "sdi"]
+    twice = [edit(t, rng.randrange(len(t)), rng.choice("sdi")) for t in rng.sample(once, 80)] + [edit(edit(item, 1, "s"), 3, "s"), edit(edit(item, len(item) - 1, "s"), len(item) - 3, "s")]
+    for edits in (1, 2):
+        ix = build_index([(7, item)], 12, edits)
+        for t in [*once, *twice]:
+            doc = before + t + after
+            want = [0] if _within(item.encode(), doc.encode(), edits) else []
+            assert leaks(doc, ix, edits) == want, (edits, t)
+    with pytest.raises(ValueError):
+        build_index([(7, "a b c d e f g h i j k l")], 12, 2)
+
+
 MAIL = """Hi Bo,
 
 New text one.
