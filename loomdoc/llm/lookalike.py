@@ -27,16 +27,19 @@ TWINS = {
 }
 _LONE = {"Ь": None, "Υ": "Y", "У": "Y"}  # drawn alike but only in some founts: Ь is not folded
 
-#: Characters without any ink: soft hyphen, zero-width characters, direction marks, variation selectors.
+#: Characters without any ink: the soft hyphen and what Unicode lists as Default_Ignorable_Code_Point (joiners, direction
+#: marks, fillers, variation selectors, tags); the property is not in ``unicodedata``.
 INVISIBLE = "".join(map(chr, [
-    0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F),
-    *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF,
+    0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *range(0x200B, 0x2010), *range(0x202A, 0x202F),
+    *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0, *range(0xFFF0, 0xFFF9),
+    *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE1000),
 ]))
 SPACES = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
 HYPHENS = "".join(map(chr, [0x2010, 0x2011, 0xFE63, 0xFF0D]))
 
 
-UNSETTLED = r"[^\x00-\x7F\u00A1-\u00AC\u00AE-\u024F]"
+# ASCII and the composed Latin letters below the first ligature (U+0132) are settled; few ranges, as all text passes this class.
+UNSETTLED = r"[^\x00-\x7F\u00A1-\u00AC\u00AE-\u0131]"
 
 
 @cache
@@ -46,8 +49,12 @@ def tables() -> tuple[dict[int, str | None], str]:
     one |= dict.fromkeys(map(ord, SPACES), " ") | dict.fromkeys(map(ord, HYPHENS), "-")
     for src, dst in TWINS.values():
         one |= {ord(a): b for a, b in zip(src, dst, strict=True) if _LONE.get(a, b)}
-    for c in [*range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F), *range(0xFFE0, 0xFFE7)]:  # ligatures and widths
-        one.setdefault(c, unicodedata.normalize("NFKC", chr(c)))
+    for c in range(0x80, 0x10000):
+        tag, *parts = unicodedata.decomposition(chr(c)).split() or [""]
+        if tag in ("<wide>", "<narrow>"):
+            one.setdefault(c, "".join(chr(int(x, 16)) for x in parts))
+        elif tag == "<compat>" and (c < 0x250 or 0xFB00 <= c <= 0xFB17) and len(parts) > 1 and all(unicodedata.category(chr(int(x, 16)))[0] == "L" and int(x, 16) != 0x2BC for x in parts):
+            one.setdefault(c, unicodedata.normalize("NFKC", chr(c)))  # ligatures of Latin and Armenian letters
     folded = {}
     for c in range(0xA0, 0x2000):  # composed letters whose base has a twin
         d = unicodedata.normalize("NFD", chr(c))
@@ -116,7 +123,7 @@ def _canonical_batch(s: pd.Series) -> pd.Series:
 def is_unstable(text: Column) -> Column:
     """Quick check in the JVM: whether any character may change under :func:`canonical_text`.
 
-    ASCII and the composed Latin letters up to U+024F are settled by their normalisation properties; a
+    ASCII and the composed Latin letters up to U+0131 are settled by their normalisation properties; a
     text with any other character is looked at closer by the exact class of :func:`tables`.
     """
     return text.rlike(UNSETTLED)

@@ -23,6 +23,21 @@ def test_canonical():
         assert canonical(a) != canonical(b), (a, b)
 
 
+def test_widths_ligatures_and_invisible_by_unicode(spark):
+    """All widths, Latin and Armenian ligatures and ignorable characters, also where a text has no other character of that kind."""
+    same = [("ｶﾞｷ", "ガキ"), ("ﾡￂ", "ㄱㅏ"), ("￨￩￣", "│←¯"), ("ĳs Ĳ", "ijs IJ"), ("\u01c6\u01c5 \u01f3 \u01c8", "d\u017eD\u017e dz Lj"), ("ﬓﬗ", "մնմխ"), ("ﬁ", "fi"), ("Ａ", "A")]
+    same += [(f"a{chr(c)}b", "ab") for c in (0xE0100, 0xE01EF, 0x180B, 0x180D, 0x180F, 0x3164, 0xFFA0, 0xE0041, 0x2065)]
+    for a, b in same:
+        assert canonical(a) == canonical(b), (a, b)
+    for a, b in (("ŉ", "n"), ("ſ", "s"), ("ŀ", "l"), ("ㄱ", "ᄀ")):
+        assert canonical(a) != canonical(b), (a, b)
+    df = spark.createDataFrame([(i * 2 + j, t) for i, ab in enumerate(same) for j, t in enumerate(f"{i} {x}" for x in ab)], "k long, t string")
+    assert {(r.doc_a, r.doc_b) for r in lookalike_pairs(df, "k", "t").collect()} == {(i * 2, i * 2 + 1) for i in range(len(same))}
+    old = {*range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F), *range(0xFFE0, 0xFFE7)}
+    assert all(ord(x) != c for c in old for x in canonical(chr(c)))
+
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_canonical_is_stable_and_ignores_composition(s):
