@@ -58,56 +58,102 @@ def merge_runs(
     return whole.select(*names).unionByName(rim.select(*names))
 
 
-def gap_merge(df: DataFrame, keys: Sequence[str], start: str, end: str, speaker: str, *, merge_gap: float = 0.3, order: Sequence[str] = ()) -> DataFrame:
+def _joined_back(d: DataFrame, s: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``d`` with the columns of ``s``, one row for each value of ``on``; nulls meet nulls."""
+    r = s.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(on)], *[c for c in s.columns if c not in on])
+    meet = F.lit(True)
+    for i, k in enumerate(on):
+        meet = meet & d[k].eqNullSafe(r[f"_j{i}"])
+    return d.join(r, meet).drop(*[f"_j{i}" for i in range(len(on))])
+
+
+def gap_merge(
+    df: DataFrame, keys: Sequence[str], start: str, end: str, speaker: str, *, merge_gap: float = 0.3, order: Sequence[str] = (), shard: float = 3600.0,
+) -> DataFrame:
     """Segments in order of ``start`` joined to the one before them when the speaker is the same and the gap at most ``merge_gap``.
 
     Only the last merged segment counts, so another speaker in between ends a run; the end of a merged
     segment is the largest of its parts.  Output ``*keys, speaker, start, end, n_rows`` under the input's names.
+    Rows without ``start`` are left out, a null ``end`` reaches nowhere, null keys and speakers are values of their own.
+
+    A key's rows are swept in shards of ``shard`` units of ``start``.  How far the speech at the end of earlier shards
+    reaches is told from one row a shard; only the first and last merged segment of a shard meet those of others.
     """
-    w = Window.partitionBy(*keys).orderBy(start, *order)
-    d = df.withColumn("_turn", F.when(F.col(speaker).eqNullSafe(F.lag(speaker).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1))
+    x = Window.partitionBy(*keys).orderBy("_sh")
+    cell = [*keys, "_sh"]
+    w = Window.partitionBy(*cell).orderBy(start, *order)
+    d = df.where(F.col(start).isNotNull()).withColumn("_sh", F.floor(F.col(start).cast("double") / shard).cast("long"))
+    d = d.withColumn("_at", F.row_number().over(w)).withColumn("_turn", F.when((F.col("_at") > 1) & ~F.col(speaker).eqNullSafe(F.lag(speaker).over(w)), 1).otherwise(0))
     d = d.withColumn("_run", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    v = Window.partitionBy(*keys, "_run").orderBy(start, *order)
-    reach = F.max(end).over(v.rowsBetween(Window.unboundedPreceding, -1))
+    runs = d.groupBy(*cell, "_run").agg(F.max(end).alias("_e"), F.min_by(F.struct(speaker), F.col("_at")).alias("_who"))
+    s = runs.groupBy(*cell).agg(F.min_by("_who", "_run").alias("_a"), F.max_by("_who", "_run").alias("_z"), F.max_by("_e", "_run").alias("_trail"), F.max("_run").alias("_nr"))
+    s = s.withColumn("_link", F.lag("_sh").over(x).isNotNull() & F.col("_a").eqNullSafe(F.lag("_z").over(x)))
+    s = s.withColumn("_g", F.sum(F.when(F.col("_link") & (F.col("_nr") == 0), 0).otherwise(1)).over(x.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("_far", F.max("_trail").over(Window.partitionBy(*keys, "_g").orderBy("_sh").rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.select(*cell, F.when(F.col("_link"), F.lag("_far").over(x)).alias("_in"))
+    d = _joined_back(d, s, cell)
+    v = Window.partitionBy(*cell, "_run").orderBy(start, *order)
+    reach = F.greatest(F.max(end).over(v.rowsBetween(Window.unboundedPreceding, -1)), F.when(F.col("_run") == 0, F.col("_in")))
     d = d.withColumn("_cut", F.when(reach.isNull() | (F.col(start) - reach > merge_gap), 1).otherwise(0))
-    d = d.withColumn("_part", F.sum("_cut").over(v.rowsBetween(Window.unboundedPreceding, 0)))
-    out = d.groupBy(*keys, "_run", "_part", speaker).agg(F.min(start).alias("_s"), F.max(end).alias("_e"), F.count(F.lit(1)).alias("n_rows"))
-    return out.select(*keys, speaker, F.col("_s").alias(start), F.col("_e").alias(end), "n_rows")
+    d = d.withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))  # 0 goes on from the shard before
+    parts = d.groupBy(*cell, "_part").agg(F.min_by(F.struct(speaker), F.col("_at")).alias("_who"), F.min(start).alias("_s"), F.max(end).alias("_e"), F.count(F.lit(1)).alias("n_rows"))
+    parts = parts.withColumn("_last", F.max("_part").over(Window.partitionBy(*cell)))
+    rim = (F.col("_part") == 0) | (F.col("_part") == F.col("_last"))
+    whole = parts.where(~rim)
+    y = Window.partitionBy(*keys).orderBy("_sh", "_part")
+    met = parts.where(rim).withColumn("_isle", F.sum(F.when(F.col("_part") == 0, 0).otherwise(1)).over(y.rowsBetween(Window.unboundedPreceding, 0)))
+    met = met.groupBy(*keys, "_isle").agg(F.min_by("_who", F.struct("_sh", "_part")).alias("_who"), F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("n_rows").alias("n_rows"))
+    cols = [*keys, F.col(f"_who.{speaker}").alias(speaker), F.col("_s").alias(start), F.col("_e").alias(end), "n_rows"]
+    return whole.select(*cols).unionByName(met.select(*cols))
 
 
 #: Ends of sentences, a fixed value.
 SENTENCE_ENDS = "。！？.!?"
 
 
-def cut_phrases(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, end: str, text: str, *, max_s: float = 15.0, gap_s: float = 0.4) -> DataFrame:
+def cut_phrases(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, end: str, text: str, *, max_s: float = 15.0, gap_s: float = 0.4, shard: float = 3600.0,
+) -> DataFrame:
     """Words grouped into phrases: ``*keys, phrase_no, start_s, end_s, text, n_words``.
 
     A phrase ends after a word that ends a sentence, before a silence longer than ``gap_s`` and before a
     word that would end more than ``max_s`` after the phrase began.  Words without start or end are left out.
-    Silences and sentence ends are found by a window; only the greedy length rule is a fold, and it runs
-    within those shorter stretches.
+    Words stand in order of ``start``, then ``order``.  A key is swept in shards of ``shard`` units of ``start``; one row a
+    shard tells which stretch between silences and sentence ends goes on into the next.  Only the greedy length rule is
+    a fold, within one such stretch, and it keeps the places of the cuts, not the words.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    d = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_i", F.row_number().over(w))
-    before = Window.partitionBy(*keys).orderBy("_i")
-    hard = (F.col(start) - F.lag(end).over(before) > gap_s) | F.coalesce(F.right(F.lag(text).over(before), F.lit(1)).isin(*SENTENCE_ENDS), F.lit(False))
-    d = d.withColumn("_hard", F.sum(F.when(hard, 1).otherwise(0)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    words = F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.col(text).alias("t"))))
+    cell = [*keys, "_sh"]
+    x = Window.partitionBy(*keys).orderBy("_sh")
+    w = Window.partitionBy(*cell).orderBy(start, *order)
+    d = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_sh", F.floor(F.col(start).cast("double") / shard).cast("long")).withColumn("_i", F.row_number().over(w))
+    stops = lambda t: F.coalesce(F.right(t, F.lit(1)).isin(*SENTENCE_ENDS), F.lit(False))
+    inner = (F.col("_i") > 1) & ((F.col(start) - F.lag(end).over(w) > gap_s) | stops(F.lag(text).over(w)))
+    d = d.withColumn("_h", F.sum(F.when(inner, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = d.groupBy(*cell).agg(F.min(start).alias("_a"), F.max_by(F.struct(F.col(end).alias("e"), F.col(text).alias("t")), F.col("_i")).alias("_z"), F.max("_h").alias("_n"))
+    before = F.lag("_z").over(x)
+    s = s.withColumn("_first", F.when(before.isNull() | (F.col("_a") - before["e"] > gap_s) | stops(before["t"]), 1).otherwise(0))
+    s = s.withColumn("_end", F.when(F.col("_n") + F.col("_first") > 0, F.struct(F.col("_sh").alias("s"), (F.col("_n") + F.col("_first")).alias("h"))))
+    s = s.select(*cell, "_first", F.last("_end", True).over(x.rowsBetween(Window.unboundedPreceding, -1)).alias("_on"))
+    d = _joined_back(d, s, cell)
+    own = F.struct(F.col("_sh").alias("s"), (F.col("_h") + F.col("_first")).alias("h"))
+    d = d.withColumn("_hard", F.when(own["h"] == 0, F.col("_on")).otherwise(own))
+    words = F.array_sort(F.collect_list(F.struct("_sh", "_i", F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.col(text).alias("t"))))
     part = d.groupBy(*keys, "_hard").agg(words.alias("ws"))
-    empty = F.expr("named_struct('from', cast(null as double), 'parts', array(array(cast(null as struct<i:int,s:double,e:double,t:string>))))")
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = acc["from"].isNotNull() & (x["e"] - acc["from"] > max_s)
-        last = F.element_at(acc["parts"], -1)
-        opened = F.concat(acc["parts"], F.array(F.array(x)))
-        grown = F.concat(F.slice(acc["parts"], 1, F.size(acc["parts"]) - 1), F.array(F.concat(last, F.array(x))))
-        return F.struct(F.when(fresh | acc["from"].isNull(), x["s"]).otherwise(acc["from"]).alias("from"), F.when(fresh, opened).otherwise(grown).alias("parts"))
-
-    folded = part.withColumn("_p", F.aggregate("ws", empty, step, lambda a: F.transform(a["parts"], lambda p: F.filter(p, lambda q: q.isNotNull()))))
-    each = folded.select(*keys, "_hard", F.posexplode("_p").alias("_k", "p"))
-    v = Window.partitionBy(*keys).orderBy("_hard", "_k")
+    none = F.expr("named_struct('from', cast(null as double), 'k', 0, 'cuts', cast(array() as array<int>))")
+
+    def step(acc: Column, q: Column) -> Column:
+        fresh = acc["from"].isNull() | (q["e"] - acc["from"] > max_s)
+        cuts = F.when(fresh, F.concat(acc["cuts"], F.array(acc["k"]))).otherwise(acc["cuts"])
+        return F.struct(F.when(fresh, q["s"]).otherwise(acc["from"]).alias("from"), (acc["k"] + 1).alias("k"), cuts.alias("cuts"))
+
+    folded = part.withColumn("_c", F.aggregate("ws", none, step, lambda a: F.concat(a["cuts"], F.array(a["k"]))))
+    each = folded.select(*keys, "_hard", "ws", "_c", F.posexplode(F.slice("_c", 1, F.size("_c") - 1)).alias("_k", "_b"))
+    each = each.withColumn("p", F.slice("ws", F.col("_b") + 1, F.get("_c", F.col("_k") + 1) - F.col("_b"))).select(*keys, F.col("_hard.s").alias("_sh"), F.col("_hard.h").alias("_h"), "_k", "p")
+    each = each.withColumn("_no", F.row_number().over(Window.partitionBy(*cell).orderBy("_h", "_k")))
+    n = each.groupBy(*cell).agg(F.max("_no").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(x.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    each = _joined_back(each, n.select(*cell, "_off"), cell)
     return each.select(
-        *keys, F.row_number().over(v).alias("phrase_no"), F.get("p", F.lit(0))["s"].alias("start_s"), F.element_at("p", -1)["e"].alias("end_s"),
+        *keys, (F.col("_no") + F.col("_off")).cast("int").alias("phrase_no"), F.get("p", F.lit(0))["s"].alias("start_s"), F.element_at("p", -1)["e"].alias("end_s"),
         F.trim(F.array_join(F.transform("p", lambda q: q["t"]), " ")).alias("text"), F.size("p").alias("n_words"),
     )
 

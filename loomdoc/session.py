@@ -36,10 +36,15 @@ def local_session(cores: int = 8, name: str = "loomdoc", **conf: str) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Where that is unset (tests on one machine) a temporary folder is made once and set.
+    Where that is unset and everything runs in this one process (``local[...]``: tests) a temporary folder is
+    made once and set.  On a cluster an unset folder is an error: a folder of one machine would be
+    another one on every executor.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="loomdoc-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -6,13 +6,14 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 
-from loomdoc.session import local_session  # noqa: E402
+from loomdoc.session import clear_cuts, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4"})
     yield s
+    clear_cuts(s)
     s.stop()
 
 
