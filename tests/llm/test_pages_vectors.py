@@ -76,26 +76,52 @@ def _voices(rng, n, dim=32):
     return x.astype(np.float32)
 
 
-@pytest.mark.parametrize("cell", [4096, 40])
-def test_nearest_recall(spark, monkeypatch, cell):
-    """The hot voice holds a third of all rows; small cells make many blocks of it."""
-    monkeypatch.setattr(nb, "CELL", cell)
-    rng = np.random.default_rng(1)
-    x = _voices(rng, 600)
-    rows = [(f"e{i:04d}", [float(v) for v in x[i]]) for i in range(len(x))] + [("e0000", [float(v) for v in x[0]]), ("n", None), ("z", [0.0] * 32), ("s", [1.0, 2.0]), (None, [1.0] * 32), ("q", [math.nan] * 32)]
-    base = spark.createDataFrame(rows, "vec_id string, neighbor_id array<double>")
-    extra = spark.createDataFrame([("c1", [float(v) for v in x[5]]), ("c2", None)], "id string, vec array<double>")
-    got = {}
-    for r in nb.nearest(base, "vec_id", "neighbor_id", extra=extra, dim=32, parts=8, k=5).collect():
-        got.setdefault(r.vec_id, set()).add(r.neighbor_id)
-    assert set(got) == {f"e{i:04d}" for i in range(600)} | {"c1"} and all(len(v) == 5 for v in got.values())
+def _recall(got, x, asked):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
     top = np.argsort(-s, axis=1)[:, :5]
-    hit = sum(len(got[f"e{i:04d}"] & {f"e{j:04d}" for j in top[i]}) for i in range(600))
-    assert hit / 3000 >= 0.9
-    assert "e0005" in got["c1"] and all(f"e{i:04d}" not in got[f"e{i:04d}"] for i in range(600))
+    return sum(len(got[f"e{i:05d}"] & {f"e{j:05d}" for j in top[i]}) for i in asked) / (5 * len(asked))
+
+
+def _found(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbor_id)
+    return got
+
+
+@pytest.mark.parametrize(("n", "cell"), [(600, 4096), (600, 40), (2400, 300), (6000, 4096)])
+def test_nearest_recall(spark, monkeypatch, n, cell):
+    """Lists hold more rows than are reranked, so codes choose; the hot voice holds a third of all rows; small cells make many blocks."""
+    monkeypatch.setattr(nb, "CELL", cell)
+    rng = np.random.default_rng(1)
+    x = _voices(rng, n)
+    rows = [(f"e{i:05d}", [float(v) for v in x[i]]) for i in range(n)] + [("e00000", [float(v) for v in x[0]])] * 50 + [("n", None), ("z", [0.0] * 32), ("s", [1.0, 2.0]), (None, [1.0] * 32), ("q", [math.nan] * 32)]
+    base = spark.createDataFrame(rows, "vec_id string, neighbor_id array<double>")
+    extra = spark.createDataFrame([("c1", [float(v) for v in x[5]]), ("c2", None)], "id string, vec array<double>")
+    got = _found(nb.nearest(base, "vec_id", "neighbor_id", extra=extra, dim=32, parts=8, k=5))
+    assert set(got) == {f"e{i:05d}" for i in range(n)} | {"c1"} and all(len(v) == 5 for v in got.values())
+    assert "e00005" in got["c1"] and all(f"e{i:05d}" not in got[f"e{i:05d}"] for i in range(n))
+    assert _recall(got, x, range(n)) >= 0.9
+
+
+def test_nearest_exact_and_two_levels(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = _voices(rng, 900)
+    base = spark.createDataFrame([(f"e{i:05d}", [float(v) for v in x[i]]) for i in range(900)], "id string, v array<double>")
+    monkeypatch.setattr(nb, "CELL", 200)
+    assert _recall(_found(nb.nearest(base, "id", "v", dim=32, parts=8, exact=True)), x, range(900)) == 1.0
+    q = nb.fit(x / np.linalg.norm(x, axis=1, keepdims=True), 40, 8)
+    monkeypatch.setattr(nb, "LISTS", 6)
+    two = nb.fit(x / np.linalg.norm(x, axis=1, keepdims=True), 40, 8)
+    assert len(q) == 40 and len(two) == 42 and (two.nearest(x, 42)[0][:, 0] == two.nearest(x, 1)[0][:, 0]).mean() > 0.9
+    assert _recall(_found(nb.nearest(base, "id", "v", dim=32, parts=8, lists=12)), x, range(900)) >= 0.9
+    far = np.vstack([x[:300] * 0 + np.eye(32)[0] + 1e-3 * x[:300], np.eye(32)[1:4]])  # three rows alone in their lists
+    few = spark.createDataFrame([(f"e{i:05d}", [float(v) for v in r]) for i, r in enumerate(far)], "id string, v array<double>")
+    assert all(len(v) == 5 for v in _found(nb.nearest(few, "id", "v", dim=32, parts=8, lists=20, reach=1, probes=1)).values())
+    y = x[:50] / np.linalg.norm(x[:50], axis=1, keepdims=True)
+    assert np.abs(nb._long(nb._short(y) + [r.tobytes() for r in y], 32) - np.vstack([y, y])).max() < 5e-5
 
 
 def test_nearest_of_few(spark):
