@@ -1,19 +1,21 @@
 """What the sender of an e-mail newly wrote.
 
-First each mail is read by itself: quoting marks, attribution lines, copied headers, signatures,
-disclaimers and device notices are told by their form.  The sentences left are then fingerprinted with
-64-bit SimHash and looked up in the mail that was answered, through tables over eight 8-bit parts of
-the fingerprint (two fingerprints that differ in at most seven bits share a part); near matches are
-verified by edit distance and count as inherited.  Lines that a sender repeats in a large share of the
-own mails are boilerplate.
+All sentences without a quoting mark are fingerprinted with 64-bit SimHash of their letter triples and looked up
+among the sentences of the mail that was answered (every body held under its id, quoting marks taken off, so what
+it quotes is searched as well), through partition tables over ``PARTS`` parts of the fingerprint: two fingerprints
+that differ in at most ``NEAR`` bits share a part, so none of those is missed.  Near matches are verified by edit
+distance and count as inherited.  The rest of a mail is read by its form: quoting marks, attribution lines, copied
+headers, signatures, disclaimers and device notices.  Lines whose fingerprint a sender repeats in a large share
+of the own mails are boilerplate.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -69,9 +71,11 @@ def read_mail(body: str, known: frozenset[int] | set[int] = frozenset()) -> list
         lab[k - 1] = "quoted"
     i = 0
     tail = n  # from here on everything is an older mail without marks
+    attributed = False
     while i < n:
         t = text[i]
         if not t or marked[i] or lab[i]:
+            attributed |= bool(lab[i]) and t[-1:] == ":" and _ATTRIBUTION.match(t) is not None
             i += 1
             continue
         used = 0
@@ -100,7 +104,7 @@ def read_mail(body: str, known: frozenset[int] | set[int] = frozenset()) -> list
     for k in range(tail, n):
         lab[k] = lab[k] or "old"
     # marked lines: quoted, unless nothing else shows it: a lone line behind ">", or indents in a mail that attributes nothing
-    attributed = any(x == "attribution" for x in lab)
+    attributed |= any(x == "attribution" for x in lab)
     kinds = {_mark(x) for x, m in zip(lines[:tail], marked[:tail], strict=True) if m}
     for k in range(tail):
         if not marked[k] or lab[k]:
@@ -175,35 +179,38 @@ def read_mail(body: str, known: frozenset[int] | set[int] = frozenset()) -> list
     return [(k + 1, lab[k] or "new", text[k]) for k in range(n) if text[k]]
 
 
-class _Bits:
-    """Rows of +1 and -1 for the 64 hash bits of each word met so far; emptied when full."""
-
-    def __init__(self, rows: int = 1 << 16):
-        self.at: dict[str, int] = {}
-        self.rows = np.empty((rows, 64), np.int8)
-
-    def of(self, words: list[str]) -> list[int]:
-        if len(self.at) + len(words) > len(self.rows):
-            self.at.clear()
-        out = []
-        for w in words:
-            i = self.at.get(w)
-            if i is None:
-                i = self.at[w] = len(self.at)
-                h = zlib.crc32(w.encode()) | zlib.crc32(b"#" + w.encode()) << 32
-                self.rows[i] = np.unpackbits(np.array([h], ">u8").view(np.uint8)).astype(np.int8) * 2 - 1
-            out.append(i)
-        return out
+#: Bits of the parts of a fingerprint, and the distance that they guarantee to be found: one less than there are parts.
+PARTS = (6, 6, 6, 6, 5, 5, 5, 5, 5, 5, 5, 5)
+NEAR = len(PARTS) - 1
+_SIGNS = np.vstack([np.random.default_rng(64).integers(0, 2, (1 << 16, 64), dtype=np.int8) * 2 - 1, np.zeros((1, 64), np.int8)])
+_STEP = 1 << 15
 
 
-_BITS = _Bits()
+def simhashes(texts: list[str]) -> np.ndarray:
+    """64-bit SimHash of the byte triples of each text in lower case; of texts shorter than three bytes 0."""
+    raw = [t.lower().encode() for t in texts]
+    out = np.zeros(len(raw), np.uint64)
+    i = 0
+    while i < len(raw):  # blocks of about _STEP bytes, a longer text in pieces of that length
+        j, n = i, 0
+        while j < len(raw) and (j == i or n + len(raw[j]) < _STEP):
+            n += len(raw[j]) + 3
+            j += 1
+        if j == i + 1:
+            total = sum(_sums([raw[i][k : k + _STEP + 2]])[0] for k in range(0, max(1, len(raw[i]) - 2), _STEP))[None]
+        else:
+            total = _sums(raw[i:j])
+        out[i:j] = np.packbits(total > 0, axis=1).view(">u8")[:, 0]
+        i = j
+    return out
 
 
-def simhash(words: list[str]) -> int:
-    """64-bit SimHash of a bag of words and word pairs."""
-    at = _BITS.of([*words, *map(" ".join, zip(words, words[1:], strict=False))])
-    s = _BITS.rows[at].sum(0, dtype=np.int32)
-    return int(np.packbits(s > 0).view(">u8")[0])
+def _sums(raw: list[bytes]) -> np.ndarray:
+    b = np.frombuffer(b"\0\0\0".join(raw) + b"\0\0\0", np.uint8).astype(np.uint32)
+    h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)
+    h[(b[:-2] == 0) | (b[1:-1] == 0) | (b[2:] == 0)] = 1 << 16  # over the end of a text
+    starts = np.cumsum([0, *(len(x) + 3 for x in raw[:-1])])
+    return np.add.reduceat(_SIGNS[h], starts, axis=0, dtype=np.int32)
 
 
 def _words(t: str) -> list[str]:
@@ -212,28 +219,26 @@ def _words(t: str) -> list[str]:
 
 def sentences(lines: list[tuple[int, str]], least: int = 4) -> list[tuple[str, list[int]]]:
     """Sentences of at least ``least`` words over wrapped lines, with the lines each one touches."""
-    out, at = [], []
-    buf, pos = "", []
-    for no, t in [*lines, (0, "")]:
-        if pos and (not t or no != pos[-1][1] + 1):
-            start = 0
-            for s in _SENTENCE.split(buf):
-                a = buf.index(s, start)
-                start = a + len(s)
-                touched = [no_ for p, no_ in pos if p < start and p + 1 > 0 and _end(pos, p, buf) > a]
-                if len(_words(s)) >= least:
-                    out.append((s, touched))
-            buf, pos = "", []
+    out: list[tuple[str, list[int]]] = []
+    nos: list[int] = []
+    texts: list[str] = []
+    for no, t in [*lines, (-1, "")]:
+        if nos and (not t or no != nos[-1] + 1):
+            starts = list(accumulate((len(x) + 1 for x in texts[:-1]), initial=0))
+            buf, a = " ".join(texts), 0
+            for m in [*_SENTENCE.finditer(buf), None]:
+                z = m.start() if m else len(buf)
+                s = buf[a:z]
+                if s.count(" ") >= least - 1:
+                    out.append((s, nos[bisect_right(starts, a) - 1 : bisect_right(starts, z - 1)]))
+                a = m.end() if m else z
+            nos, texts = [], []
         if t:
-            pos.append((len(buf), no))
-            buf += t + " "
+            nos.append(no)
+            texts.append(t)
     return out
 
 
-def _end(pos: list[tuple[int, int]], p: int, buf: str) -> int:
-    return next((q for q, _ in pos if q > p), len(buf))
-
-
 def _near(a: str, b: str, share: float) -> bool:
     """Whether the edit distance of two sentences is at most ``share`` of the longer one."""
     k = int(share * max(len(a), len(b)))
@@ -247,82 +252,84 @@ def _near(a: str, b: str, share: float) -> bool:
         prev, row[lo - 1] = row[lo - 1], i if lo == 1 else k + 1
         for j in range(lo, hi + 1):
             cur = row[j]
-            row[j] = min(prev + (c != b[j - 1]), (cur if j < i + k or j == i + k and i == 0 else k + 1) + 1, row[j - 1] + 1)
+            row[j] = min(prev + (c != b[j - 1]), (cur if j < i + k else k + 1) + 1, row[j - 1] + 1)
             prev = cur
         if min(row[lo - 1 : hi + 1]) > k:
             return False
     return row[len(b)] <= k
 
 
-def near_matches(own: list[str], older: list[str], share: float = 0.15) -> set[int]:
-    """Which sentences of ``own`` are near matches of one of ``older``: Hamming partition tables, then edit distance.
+def partition_pairs(mine: np.ndarray, mine_of: np.ndarray, old: np.ndarray, old_of: np.ndarray) -> np.ndarray:
+    """Pairs (i, j) of fingerprints of one group (``mine_of`` = ``old_of``) that differ in at most ``NEAR`` bits.
+
+    One table for each part of the fingerprint, keyed by group and part: the two sides meet in a sorted join on the key.
+    """
+    found = []
+    shift = 0
+    for bits in PARTS:
+        part = lambda p, of: of.astype(np.uint64) << np.uint64(6) | p >> np.uint64(shift) & np.uint64((1 << bits) - 1)  # noqa: B023, E731
+        k = part(old, old_of)
+        order = np.argsort(k, kind="stable")
+        k, q = k[order], part(mine, mine_of)
+        lo = np.searchsorted(k, q, "left")
+        n = np.searchsorted(k, q, "right") - lo
+        i = np.repeat(np.arange(len(q)), n)
+        j = order[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if len(i) else i
+        near = np.bitwise_count(mine[i] ^ old[j]) <= NEAR
+        found.append(np.stack([i[near], j[near]], 1))
+        shift += bits
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def near_matches(own: list[list[str]], older: list[list[str]], share: float = 0.15) -> list[set[int]]:
+    """For each group which sentences of ``own`` are near matches of one of its ``older``: partition tables, then edit distance.
 
     A copy may differ by a few characters but not in its figures: sentences of one template that name
     another number are not inherited.
     """
-    tables: list[dict[int, list[int]]] = [{} for _ in range(8)]
-    prints = [simhash(_words(s)) for s in older]
-    for i, h in enumerate(prints):
-        for b in range(8):
-            tables[b].setdefault(h >> 8 * b & 0xFF, []).append(i)
-    out = set()
-    for i, s in enumerate(own):
-        h = simhash(_words(s))
-        cand = {j for b in range(8) for j in tables[b].get(h >> 8 * b & 0xFF, ())}
-        figures = _DIGITS.findall(s)
-        if any((prints[j] ^ h).bit_count() <= 16 and _DIGITS.findall(older[j]) == figures and _near(s, older[j], share) for j in cand):
-            out.add(i)
+    a, b = [s for g in own for s in g], [s for g in older for s in g]
+    out: list[set[int]] = [set() for _ in own]
+    if not a or not b:
+        return out
+    of = lambda groups: np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    a_of, first = of(own), np.concatenate(([0], np.cumsum([len(g) for g in own])))
+    done = -1
+    for i, j in partition_pairs(simhashes(a), a_of, simhashes(b), of(older)).tolist():
+        if i != done and (a[i] == b[j] or _DIGITS.findall(a[i]) == _DIGITS.findall(b[j]) and _near(a[i], b[j], share)):
+            out[a_of[i]].add(i - int(first[a_of[i]]))
+            done = i
     return out
 
 
-def _shingles(words: list[str], k: int = 4) -> set[tuple[str, ...]]:
-    return set(zip(*(words[i:] for i in range(k)), strict=False))
-
+def inherited(bodies: list[str], olds: list[str]) -> list[set[int]]:
+    """Lines (from 1) of each of ``bodies`` without quoting marks (indents are none) that come from the mail of ``olds`` beside it.
 
-def shares_words(fresh: list[str], old: str) -> bool:
-    """Whether four successive words of any of the lines stand in the older mail."""
-    words = _words(" ".join(fresh))
-    return len(words) >= 4 and not _shingles(_words(old)).isdisjoint(zip(*(words[i:] for i in range(4)), strict=False))
-
-
-def read_reply(body: str, old: str | None) -> list[tuple[int, str, str]]:
-    """:func:`read_mail` with the answered mail at hand; it is compared only if lines that look new share words with it."""
-    first = read_mail(body)
-    fresh = [t for _, label, t in first if label == "new"]
-    if old and (not fresh or shares_words(fresh, old)):
-        known = inherited(body, old)
-        return read_mail(body, known) if known else first
-    return first
-
-
-def inherited(body: str, old: str) -> set[int]:
-    """Lines (from 1) of ``body`` without quoting marks that come from ``old``.
-
-    Sentences are compared only if both mails share four successive words.  Around sentences that are
-    found, equal lines in the same order (greetings, signatures) belong to the same copy.
+    Around sentences that are found, equal lines in the same order (greetings, signatures) belong to the same copy.
     """
-    own = [(i, t.strip()) for i, t in enumerate(body.split("\n"), 1) if not _QUOTE.match(t)]
-    older = [(i, _unmark(t).strip()) for i, t in enumerate(old.split("\n"), 1)]
-    shared = _shingles(_words(" ".join(t for _, t in own))) & _shingles(_words(" ".join(t for _, t in older)))
-    if not shared:
-        return set()
-    mine = sentences(own)
-    at = [i for i, (x, _) in enumerate(mine) if not shared.isdisjoint(_shingles(_words(x)))]
-    old_ones = [x for x, _ in sentences(older) if not shared.isdisjoint(_shingles(_words(x)))]
-    hit = {at[i] for i in near_matches([mine[i][0] for i in at], old_ones)}
-    of: dict[int, list[bool]] = {}
-    for i, (_, touched) in enumerate(mine):
-        for no in touched:
-            of.setdefault(no, []).append(i in hit)
-    found = {no for no, v in of.items() if all(v)}
-    if not found:
-        return found
-    a, b = [t.strip() for t in old.split("\n") if t.strip()], [(i, t) for i, t in own if t]
-    for block in SequenceMatcher(None, a, [t for _, t in b], autojunk=False).get_matching_blocks():
-        nos = [i for i, _ in b[block.b : block.b + block.size]]
-        if any(no in found for no in nos):
-            found.update(nos)
-    return found
+    lines = [[(i, t.strip()) for i, t in enumerate(b.split("\n"), 1) if t[:1] in " \t" and _mark(t) == " " or not _QUOTE.match(t)] for b in bodies]
+    mine = [sentences(x) for x in lines]
+    seen: dict[str, list[str]] = {}
+    for o in olds:
+        if o not in seen:
+            seen[o] = list(dict.fromkeys(s for s, _ in sentences([(i, _unmark(t).strip()) for i, t in enumerate(o.split("\n"), 1)])))
+    hits = near_matches([[s for s, _ in m] for m in mine], [seen[o] for o in olds])
+    out = []
+    for own, m, hit, old in zip(lines, mine, hits, olds, strict=True):
+        found: set[int] = set()
+        if hit:
+            of: dict[int, list[bool]] = {}
+            for i, (_, touched) in enumerate(m):
+                for no in touched:
+                    of.setdefault(no, []).append(i in hit)
+            found = {no for no, v in of.items() if all(v)}
+        if found:
+            a, b = [t.strip() for t in old.split("\n") if t.strip()], [(i, t) for i, t in own if t]
+            for block in SequenceMatcher(None, a, [t for _, t in b], autojunk=False).get_matching_blocks():
+                nos = [i for i, _ in b[block.b : block.b + block.size]]
+                if any(no in found for no in nos):
+                    found.update(nos)
+        out.append(found)
+    return out
 
 
 def mail_key(c: Column) -> Column:
@@ -345,36 +352,57 @@ def new_lines(df: DataFrame, *, repeat_share: float = 0.3, repeat_least: int = 2
     device notices, attribution lines, copied headers and everything inherited from the mail that
     ``in_reply_to`` names are not.  A line that a sender repeats in ``repeat_share`` of at least ``repeat_least``
     mails is boilerplate unless it is a greeting.  Null ids mean nobody; null and empty bodies have no rows; a mail archived
-    twice is read each time; of different bodies under one message id the smallest is the answered one.
+    twice is read each time; where an id is held with different bodies, each of them is the answered mail.
     """
     mails = df.where(F.col("email_id").isNotNull() & (F.col("body") != "")).select(
         F.col("email_id").cast("long").alias("email_id"), mail_key(F.col("in_reply_to")).alias("parent"), F.lower("msg_from").alias("sender"), "body")
+    held = df.where(F.col("body") != "").select(mail_key(F.col("message_id")).alias("parent"), F.col("body").alias("old")).where("parent is not null")
+    replies = mails.where("parent is not null")
+
+    # ids with different bodies: the replies are looked up in each, one row a body, and the lines found are put together
+    hashes = held.groupBy("parent").agg(F.min(F.xxhash64("old")).alias("lo"), F.max(F.xxhash64("old")).alias("hi"))
+    several = cut(hashes.where("lo <> hi").select("parent"))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hits = inherited(b["body"].tolist(), b["old"].tolist())
+            yield pd.DataFrame([(e, no) for e, found in zip(b["email_id"].tolist(), hits, strict=True) for no in sorted(found)], columns=["email_id", "no"])
+
+    many = replies.join(several, "parent", "left_semi")
+    met = many.join(held.join(several, "parent", "left_semi").distinct(), "parent").mapInPandas(look, "email_id long, no int")
+    known = met.groupBy("email_id").agg(F.collect_set("no").alias("known"))  # at most the lines of a body
+    many = many.join(known, "email_id", "left").select("email_id", "sender", "body", F.lit(None).cast("string").alias("old"), "known")
 
-    asked = mails.where("parent is not null").select("parent").distinct()
-    olds = df.where(F.col("body") != "").select(mail_key(F.col("message_id")).alias("parent"), F.col("body").alias("old")).where("parent is not null")
-    olds = olds.join(asked, "parent", "left_semi").groupBy("parent").agg(F.min("old").alias("old"))
-    lone = mails.where("parent is null").withColumn("old", F.lit(None).cast("string"))
-    both = mails.where("parent is not null").join(olds, "parent", "left").select(*lone.columns).unionByName(lone)
+    asked = replies.select("parent").distinct()
+    olds = held.join(several, "parent", "left_anti").join(asked, "parent", "left_semi").groupBy("parent").agg(F.min("old").alias("old"))
+    none = F.lit(None).cast("array<int>").alias("known")
+    single = replies.join(several, "parent", "left_anti").join(olds, "parent", "left").select("email_id", "sender", "body", "old", none)
+    lone = mails.where("parent is null").select("email_id", "sender", "body", F.lit(None).cast("string").alias("old"), none)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            bodies, olds, knowns = b["body"].tolist(), b["old"].tolist(), b["known"].tolist()
+            paired = [i for i, o in enumerate(olds) if o]
+            found = dict(zip(paired, inherited([bodies[i] for i in paired], [olds[i] for i in paired]), strict=True))
             rows = []
-            for e, s, body, old in zip(*(b[c].tolist() for c in ("email_id", "sender", "body", "old")), strict=True):
+            for i, (e, s, body, old, known) in enumerate(zip(b["email_id"].tolist(), b["sender"].tolist(), bodies, olds, knowns, strict=True)):
                 plain = None
-                for no, label, t in read_reply(body, old):
+                for no, label, t in read_mail(body, found.get(i) or (frozenset(known) if known is not None else frozenset())):
                     if label == "maybe" and old:
                         plain = " ".join(_words(old)) if plain is None else plain
                         if " ".join(_words(t)) in plain:
                             continue
                     if label in ("new", "maybe"):
                         rows.append((e, s, no, t))
-            yield pd.DataFrame(rows, columns=["email_id", "sender", "line_no", "line"])
+            out = pd.DataFrame(rows, columns=["email_id", "sender", "line_no", "line"])
+            out["h"] = simhashes(out["line"].tolist()).view(np.int64)
+            yield out
 
-    lines = cut(both.mapInPandas(read, "email_id long, sender string, line_no int, line string"))
+    all_mails = single.unionByName(lone).unionByName(many)
+    lines = cut(all_mails.mapInPandas(read, "email_id long, sender string, line_no int, line string, h long"))
     per_sender = lines.groupBy("sender").agg(F.countDistinct("email_id").alias("mails")).where(F.col("mails") >= repeat_least)
-    said = lines.where("sender is not null").groupBy("sender", F.xxhash64("line").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    said = lines.where("sender is not null").groupBy("sender", "h").agg(F.count(F.lit(1)).alias("n"))
     boiler = said.join(per_sender, "sender").where(F.col("n") >= F.greatest(F.lit(5), F.col("mails") * repeat_share)).select("sender", "h")
     greeting = F.col("line").rlike(r"^[\p{L} '’-]{2,40}[,!:]?$") & (F.size(F.split("line", " ")) <= 4)
-    out = lines.withColumn("h", F.xxhash64("line")).withColumn("g", greeting)
-    out = out.join(boiler.withColumn("rep", F.lit(True)), ["sender", "h"], "left").where(F.col("rep").isNull() | F.col("g"))
+    out = lines.withColumn("g", greeting).join(boiler.withColumn("rep", F.lit(True)), ["sender", "h"], "left").where(F.col("rep").isNull() | F.col("g"))
     return out.select("email_id", "line_no", "line")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.llm.leakage import _within, build_index, leaked_items, leaks, words_of
 from loomdoc.llm.lookalike import canonical, canonical_text, is_unstable, lookalike_pairs
-from loomdoc.llm.newmail import near_matches, new_lines, read_mail, simhash
+from loomdoc.llm.newmail import NEAR, PARTS, inherited, near_matches, new_lines, partition_pairs, read_mail, simhashes
 from loomdoc.llm.packing import boundaries, layout, pack
 from loomdoc.llm.turns import clean_segment, drop_rolling, segments_clean, speaker_of, speaker_turns
 
@@ -168,8 +168,38 @@ def test_new_lines(spark):
 
 def test_simhash_near_matches():
     a = "the portable transcript prints the registered entry quietly near the old gateway"
-    assert near_matches([a.replace("quietly", "quietlly"), "something else entirely with other words in it"], [a]) == {0}
-    assert simhash(a.split()) == simhash(a.split())
+    assert near_matches([[a.replace("quietly", "quietlly"), "something else entirely with other words in it"], [a]], [[a], []]) == [{0}, set()]
+    assert simhashes([a, a.upper(), "", "ab"]).tolist() == [simhashes([a])[0], simhashes([a])[0], 0, 0]
+    long = " ".join(f"w{i}" for i in range(40_000))  # one sentence of as many different words
+    assert near_matches([[long + " x"]], [[long]]) == [{0}]
+    assert near_matches([["version 12 of the plan is ready for all"]], [["version 13 of the plan is ready for all"]]) == [set()]  # another figure
+
+
+def test_partition_tables_miss_nothing():
+    """All pairs of one group within the bound, against all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    old = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for k in rng.integers(0, 20, 300)], np.uint64)
+    mine, of = old ^ flips, rng.integers(0, 5, 300)
+    want = {(i, j) for i in range(300) for j in range(300) if of[i] == of[j] and int(mine[i] ^ old[j]).bit_count() <= NEAR}
+    assert sum(PARTS) == 64 and {tuple(p) for p in partition_pairs(mine, of, old, of).tolist()} == want and len(want) > 100
+
+
+def test_copy_without_four_equal_successive_words():
+    old = "Dear Al,\n\nThe careful printer of the northern office delivers another parcel before the summer holidays begin.\n"
+    near = "The careful printre of the northern offcie delivers another parcl before the sumer holidays begin."
+    words = lambda t: {tuple(t.lower().split()[i : i + 4]) for i in range(len(t.split()) - 3)}
+    assert not words(near) & words(old)
+    assert inherited([near + "\n\nThis line is new and says something else."], [old]) == [{1}]
+
+
+def test_every_body_under_an_id_is_the_answered_mail(spark):
+    one, two = "The first body tells of the harbour and of its many cranes.", "Another body tells of the mountain and of its deep snow."
+    rows = [(1, "<a@x>", None, "bo@x", one), (2, "<A@X>", None, "bo@x", two), (3, "<c@x>", "<a@x>", "al@x", f"{one}\n\n{two}\n\nOnly this was written for the answer.")]
+    df = spark.createDataFrame(rows, "email_id long, message_id string, in_reply_to string, msg_from string, body string")
+    assert [(r.email_id, r.line_no) for r in new_lines(df).where("email_id = 3").collect()] == [(3, 5)]
 
 
 CAST = "0=Bendik Brasquel\n1=Katya Keldermann\n2=Amaris Bexley-Roe"
