@@ -239,24 +239,38 @@ def sentences(lines: list[tuple[int, str]], least: int = 4) -> list[tuple[str, l
     return out
 
 
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Edit distance of two texts, or any number above ``most`` where it is larger; rows of the table are bits of whole numbers."""
+    n = min(len(a), len(b))
+    i = next((k for k in range(n) if a[k] != b[k]), n)
+    a, b = a[i:], b[i:]
+    n = min(len(a), len(b))
+    i = next((k for k in range(n) if a[-1 - k] != b[-1 - k]), n)
+    a, b = a[: len(a) - i], b[: len(b) - i]
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    full, top, d = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = full, 0  # cells one more, one less than the cell above
+    for k, c in enumerate(b, 1):
+        same = at.get(c, 0)
+        level = same | down
+        across = ((same & up) + up ^ up) | same
+        more, less = down | full & ~(across | up), up & across
+        d += 1 if more & top else -1 if less & top else 0
+        if d - (len(b) - k) > most:
+            return d
+        more = (more << 1 | 1) & full
+        up, down = (less << 1 | ~(level | more)) & full, more & level
+    return d
+
+
 def _near(a: str, b: str, share: float) -> bool:
     """Whether the edit distance of two sentences is at most ``share`` of the longer one."""
     k = int(share * max(len(a), len(b)))
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > k:
-        return False
-    row = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        lo, hi = max(1, i - k), min(len(b), i + k)
-        prev, row[lo - 1] = row[lo - 1], i if lo == 1 else k + 1
-        for j in range(lo, hi + 1):
-            cur = row[j]
-            row[j] = min(prev + (c != b[j - 1]), (cur if j < i + k else k + 1) + 1, row[j - 1] + 1)
-            prev = cur
-        if min(row[lo - 1 : hi + 1]) > k:
-            return False
-    return row[len(b)] <= k
+    return a == b or abs(len(a) - len(b)) <= k and edit_distance(a, b, k) <= k
 
 
 def partition_pairs(mine: np.ndarray, mine_of: np.ndarray, old: np.ndarray, old_of: np.ndarray) -> np.ndarray:

@@ -175,6 +175,26 @@ def test_simhash_near_matches():
     assert near_matches([["version 12 of the plan is ready for all"]], [["version 13 of the plan is ready for all"]]) == [set()]  # another figure
 
 
+def test_edit_distance():
+    from loomdoc.llm.newmail import edit_distance
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                prev, row[j] = row[j], min(prev + (c != d), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 20))) for _ in range(2))
+        want = table(a, b)
+        assert edit_distance(a, b, 40) == want
+        got = edit_distance(a, b, 5)
+        assert got == want or got > 5 and want > 5
+
+
 def test_partition_tables_miss_nothing():
     """All pairs of one group within the bound, against all pairs."""
     import numpy as np
