@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomdoc.llm.leakage import leaked_items
 from loomdoc.llm.lookalike import lookalike_pairs, tables
@@ -29,6 +30,13 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return turns.where("speaker_no is not null").select("clip_id", "first_seg", "speaker_no", "n_words").distinct()
 
 
+def p6_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns split at long pauses as well, with their times and text."""
+    segments = table(spark, sf, "transcript_segments").select("seg_id", "clip_id", "start_s", "end_s", "speaker", "text")
+    turns = speaker_turns(segments, table(spark, sf, "clip_speakers"), pauses=True)
+    return turns.select("clip_id", "first_seg", "speaker_no", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "n_words", F.md5("text").alias("text_md5"))
+
+
 #: The tokenizer's vocabulary file; a parameter, never part of this repository.
 VOCABULARY = os.environ.get("LOOMDOC_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -42,7 +50,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(docs, "doc_id", "text", items, "item_id", "passage", n_words=12)
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_turns": p6_turns, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
 
 

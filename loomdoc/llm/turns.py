@@ -1,4 +1,9 @@
-"""Speech transcripts brought into clean, ordered speaker turns."""
+"""Speech transcripts brought into clean, ordered speaker turns.
+
+Segments are cleaned once and swept in order of time: what the head of a segment repeats of the one before it
+(rolling captions) is removed by their suffix-prefix overlap, and turns are split at changes of speaker, and where asked
+at pauses that are long for the clip.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,13 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomdoc.operators.sequence import merge_runs
+from loomdoc.session import cut
 
 # Noises of hesitation and listening. The first set is a word of none of the languages;
 # the others are noises only in the language named.
@@ -88,6 +94,19 @@ def _sound(m: re.Match) -> str:
     return " " if all(t in SOUNDS for t in inner) else m[0]
 
 
+_LANGS = list(COMMON)
+
+
+@lru_cache(maxsize=200_000)
+def _token(w: str) -> tuple[bool, tuple[int, ...] | None]:
+    """Whether a token is a word that may be kept, and its votes and noises by language (null if all are 0)."""
+    if not any(c.isalnum() for c in w) or _is_noise(w, NOISES):
+        return False, None
+    core = _EDGE.sub("", w).lower()
+    n = tuple(core in COMMON[x] for x in _LANGS) + tuple(_is_noise(w, NOISES_IN[x]) for x in _LANGS)
+    return True, tuple(map(int, n)) if any(n) else None
+
+
 def clean_segment(speaker: str | None, text: str | None, cast: str) -> tuple[int | None, list[str]]:
     """Cast number and the tokens left of one segment.
 
@@ -95,24 +114,21 @@ def clean_segment(speaker: str | None, text: str | None, cast: str) -> tuple[int
     language are gone; noises of single languages are still there.
     """
     who = speaker_of(speaker, cast)
-    t = _TIME.sub(" ", text or "")
-    for _ in range(2):
-        m = _LABEL.match(t)
-        found = speaker_of(m[1], cast) if m else None
-        if found is None:
-            break
-        who = found if who is None else who
-        t = t[m.end() :]
-    t = _MAYBE.sub(_sound, _MARKED.sub(" ", t))
-    return who, [w for w in t.split() if any(c.isalnum() for c in w) and not _is_noise(w, NOISES)]
-
-
-def _drop_repeat(before: list[str], now: list[str]) -> int:
-    """How many tokens at the head of ``now`` repeat the tail of ``before`` (rolling captions)."""
-    for n in range(min(len(before), len(now)), 0, -1):
-        if before[-n:] == now[:n]:
-            return n
-    return 0
+    t = text or ""
+    if ":" in t:
+        t = _TIME.sub(" ", t)
+        for _ in range(2):
+            m = _LABEL.match(t)
+            found = speaker_of(m[1], cast) if m else None
+            if found is None:
+                break
+            who = found if who is None else who
+            t = t[m.end() :]
+    if "[" in t or "<" in t:
+        t = _MARKED.sub(" ", t)
+    if "(" in t or "*" in t:
+        t = _MAYBE.sub(_sound, t)
+    return who, [w for w in t.split() if _token(w)[0]]
 
 
 def segments_clean(df: DataFrame, cast: DataFrame) -> DataFrame:
@@ -129,27 +145,29 @@ def segments_clean(df: DataFrame, cast: DataFrame) -> DataFrame:
     rows = df.where(F.col("clip_id").isNotNull() & F.col("text").isNotNull() & F.col("start_s").isNotNull() & ~F.isnan("start_s"))
     rows = rows.select("seg_id", "clip_id", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), "speaker", "text")
     rows = rows.dropDuplicates(["clip_id", "seg_id"]).join(casts, "clip_id", "left")
-    langs = list(COMMON)
+    langs = _LANGS
     extra = [f"e_{x}" for x in langs] + [f"w_{x}" for x in langs]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            who, text, count, seen = [], [], [], []
-            for s, t, c in zip(b["speaker"].tolist(), b["text"].tolist(), b["cast"].tolist(), strict=True):
+            who, text, count = [], [], []
+            seen = np.zeros((len(b), len(extra)), np.int32)
+            for i, (s, t, c) in enumerate(zip(b["speaker"].tolist(), b["text"].tolist(), b["cast"].tolist(), strict=True)):
                 no, words = clean_segment(s, t, c or "")
-                core = [_EDGE.sub("", w).lower() for w in words]
                 who.append(no)
                 text.append(" ".join(words))
                 count.append(len(words))
-                seen.append([sum(w in COMMON[x] for w in core) for x in langs] + [sum(_is_noise(w, NOISES_IN[x]) for w in words) for x in langs])
+                for w in words:
+                    if (n := _token(w)[1]) is not None:
+                        seen[i] += n
             out = b[["clip_id", "seg_id", "start_s", "end_s"]].copy()
             out["speaker_no"] = pd.array(who, dtype="Int32")
             out["text"], out["n_all"] = text, count
             for i, x in enumerate(extra):
-                out[x] = [r[i] for r in seen]
+                out[x] = seen[:, i]
             yield out
 
-    clean = rows.mapInPandas(scan, "clip_id long, seg_id long, start_s double, end_s double, speaker_no int, text string, n_all int, " + ", ".join(f"{x} int" for x in extra))
+    clean = cut(rows.mapInPandas(scan, "clip_id long, seg_id long, start_s double, end_s double, speaker_no int, text string, n_all int, " + ", ".join(f"{x} int" for x in extra)))
     votes = clean.groupBy("clip_id").agg(*[F.sum(f"e_{x}").alias(f"v_{x}") for x in langs])
     best = F.array_max(F.array(*[F.struct(F.col(f"v_{x}").alias("v"), F.lit(-i).alias("i"), F.lit(x).alias("lang")) for i, x in enumerate(langs)]))
     told = clean.join(votes.select("clip_id", best["lang"].alias("lang")), "clip_id")
@@ -161,43 +179,77 @@ def segments_clean(df: DataFrame, cast: DataFrame) -> DataFrame:
     return told.withColumn("n_words", F.col("n_all") - noise).where("n_words > 0").select("clip_id", "seg_id", "start_s", "end_s", "speaker_no", text.alias("text"), "n_words")
 
 
-@F.pandas_udf(T.IntegerType())
-def _repeated(before: pd.Series, now: pd.Series) -> pd.Series:
-    return pd.Series([_drop_repeat((a or "").lower().split(), (b or "").lower().split()) for a, b in zip(before, now, strict=True)], dtype="int32")
-
+def _swept(segs: DataFrame, shard_s: float) -> DataFrame:
+    """Clean segments with ``_e`` (end, else start), ``_shard``, and of what comes before in the clip: ``_text`` and ``_end`` of the last segment, ``_reach`` of all.
 
-def drop_rolling(segs: DataFrame, least: int = 3) -> DataFrame:
+    Clips are swept in shards of ``shard_s`` seconds; what the shards before hold is told from one row a shard.
+    """
+    order = ["start_s", "_e", "seg_id"]
+    d = segs.withColumn("_e", F.greatest(F.coalesce("end_s", "start_s"), F.lit(-1e300))).withColumn("_shard", F.floor(F.col("start_s") / shard_s).cast("long"))
+    w = Window.partitionBy("clip_id", "_shard").orderBy(*order)
+    d = d.withColumn("_text", F.lag("text").over(w)).withColumn("_end", F.lag("_e").over(w)).withColumn("_reach", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    s = d.groupBy("clip_id", "_shard").agg(F.max_by(F.struct("text", "_e"), F.struct(*order)).alias("_z"), F.max("_e").alias("_m"))
+    x = Window.partitionBy("clip_id").orderBy("_shard")
+    s = s.select("clip_id", "_shard", F.lag("_z").over(x).alias("_z"), F.max("_m").over(x.rowsBetween(Window.unboundedPreceding, -1)).alias("_m"))
+    d = d.join(s, ["clip_id", "_shard"])
+    head = F.col("_reach").isNull()
+    return d.select(*segs.columns, "_e", "_shard", F.when(head, F.col("_z.text")).otherwise(F.col("_text")).alias("_text"), F.when(head, F.col("_z._e")).otherwise(F.col("_end")).alias("_end"), F.greatest("_reach", "_m").alias("_reach"))
+
+
+def drop_rolling(segs: DataFrame, least: int = 3, shard_s: float = 600.0) -> DataFrame:
     """Clean segments without the head that repeats the tail of the segment before (rolling captions).
 
-    At least ``least`` tokens must repeat and the two segments must touch or overlap in time.  Segments
-    that hold nothing new are left out.
+    The longest suffix of the segment before that is a prefix of this one counts, by lower-case tokens.  At least
+    ``least`` tokens must repeat and the two segments must touch or overlap in time.  Segments that hold nothing
+    new are left out.
+    """
+    d = _swept(segs, shard_s)
+    a, b = F.split(F.lower("_text"), " "), F.split(F.lower("text"), " ")
+    sizes = F.filter(F.sequence(F.least(F.size("_a"), F.size("_b")), F.lit(1), F.lit(-1)), lambda k: F.slice("_a", F.size("_a") - k + 1, k) == F.slice("_b", F.lit(1), k))
+    close = (F.col("_end") >= F.col("start_s") - 0.05) & F.array_contains("_a", F.get("_b", F.lit(0)))
+    d = d.withColumn("_a", a).withColumn("_b", b).withColumn("_n", F.coalesce(F.when(close, F.get(sizes, F.lit(0))), F.lit(0)))
+    d = d.withColumn("_n", F.when(F.col("_n") >= least, F.col("_n")).otherwise(0))
+    rest = F.when(F.col("_n") > 0, F.array_join(F.slice(F.split("text", " "), F.col("_n") + 1, F.greatest(F.size("_b"), F.lit(1))), " ")).otherwise(F.col("text"))
+    return d.withColumn("text", rest).withColumn("n_words", F.col("n_words") - F.col("_n")).where("n_words > 0").select(*segs.columns)
+
+
+def clip_pauses(segs: DataFrame, least_s: float = 0.5, shard_s: float = 600.0) -> DataFrame:
+    """``clip_id, pause_s``: the silence that splits turns in each clip, calibrated on all silences of the clip.
+
+    It is the upper fence of the silences between its clean segments (third quartile and one and a half times the
+    distance of the quartiles), ``least_s`` at least and where a clip has no silence.
     """
-    w = Window.partitionBy("clip_id").orderBy("start_s", "end_s", "seg_id")
-    near = segs.withColumn("_b", F.when(F.lag("end_s").over(w) >= F.col("start_s") - 0.05, F.lag("text").over(w)))
-    near = near.withColumn("_n", _repeated("_b", "text")).withColumn("_n", F.when(F.col("_n") >= least, F.col("_n")).otherwise(0))
-    cut = F.array_join(F.slice(F.split("text", " "), F.col("_n") + 1, F.lit(1_000_000)), " ")
-    return near.withColumn("text", cut).withColumn("n_words", F.col("n_words") - F.col("_n")).where("n_words > 0").drop("_b", "_n")
+    d = _swept(segs, shard_s).select("clip_id", F.when(F.col("start_s") > F.col("_reach"), F.col("start_s") - F.col("_reach")).alias("gap"))
+    q = d.groupBy("clip_id").agg(F.percentile_approx("gap", [0.25, 0.75], 1000).alias("q"))
+    fence = F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
+    return q.select("clip_id", F.greatest(F.lit(least_s), fence).alias("pause_s"))
 
 
-def speaker_turns(df: DataFrame, cast: DataFrame, *, pause_s: float | None = None, rolling: int | None = None, shard_s: float = 600.0) -> DataFrame:
+def speaker_turns(df: DataFrame, cast: DataFrame, *, pauses: bool = False, pause_s: float | None = None, rolling: int = 4, shard_s: float = 600.0) -> DataFrame:
     """Turns ``clip_id, first_seg, speaker_no, start_s, end_s, text, n_words`` of clean segments.
 
     A turn is a longest run of segments of one speaker in order of ``start_s`` (ties: ``end_s``, ``seg_id``).
-    ``rolling`` removes repetition of rolling captions of at least so many words (see :func:`drop_rolling`).
-    With ``pause_s`` a silence longer than that also splits a turn.  A segment whose speaker is nobody of
-    the cast is a turn of its own.  See :func:`segments_clean` for what counts as a segment; empty tables give no
-    turns.  Clips are swept in shards of ``shard_s`` seconds, so no clip is one task.
+    Repetition of rolling captions of ``rolling`` words or more is removed (see :func:`drop_rolling`; 0 keeps it).
+    With ``pauses`` a silence longer than the clip's own (:func:`clip_pauses`) also splits a turn, with ``pause_s`` one longer
+    than that.  A segment whose speaker is nobody of the cast is a turn of its own.  See :func:`segments_clean` for what counts
+    as a segment; empty tables give no turns.  Clips are swept in shards of ``shard_s`` seconds, so no clip is one task.
     """
     segs = segments_clean(df, cast)
-    segs = (drop_rolling(segs, rolling) if rolling else segs).withColumn("_e", F.coalesce("end_s", "start_s"))
-    value, part = "speaker_no", F.floor(F.col("start_s") / shard_s)
-    if pause_s is not None:
-        w = Window.partitionBy("clip_id").orderBy("start_s", "_e", "seg_id")
-        late = F.coalesce(F.col("start_s") - F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)) > pause_s, F.lit(False))
-        segs = segs.withColumn("_cut", F.sum(late.cast("int")).over(w)).withColumn("_v", F.concat_ws(":", F.col("speaker_no").cast("string"), F.col("_cut").cast("string")))
-        value = "_v"
+    segs = drop_rolling(segs, rolling, shard_s) if rolling else segs
+    part = F.floor(F.col("start_s") / shard_s)
+    if pauses or pause_s is not None:
+        limit = segs.select("clip_id").distinct().withColumn("pause_s", F.lit(float(pause_s))) if pause_s is not None else clip_pauses(segs, shard_s=shard_s)
+        late = _swept(segs, shard_s).join(limit, "clip_id")
+        late = late.withColumn("_late", F.coalesce((F.col("start_s") - F.col("_reach") > F.col("pause_s")).cast("int"), F.lit(0)))
+        w, x = Window.partitionBy("clip_id", "_shard").orderBy("start_s", "_e", "seg_id"), Window.partitionBy("clip_id").orderBy("_shard")
+        per = late.groupBy("clip_id", "_shard").agg(F.sum("_late").alias("n")).select("clip_id", "_shard", F.coalesce(F.sum("n").over(x.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+        late = late.withColumn("_cut", F.sum("_late").over(w)).join(per, ["clip_id", "_shard"])
+        segs = late.withColumn("_v", F.concat_ws(":", F.col("speaker_no").cast("string"), (F.col("_cut") + F.col("_off")).cast("string"))).drop("_shard", "_text", "_end", "_reach")
+        segs = segs.withColumn("_v", F.when(F.col("speaker_no").isNotNull(), F.col("_v")))
+    else:
+        segs = segs.withColumn("_e", F.coalesce("end_s", "start_s")).withColumn("_v", F.col("speaker_no"))
     runs = merge_runs(
-        segs, ["clip_id"], ["start_s", "_e", "seg_id"], value, shard=part, firsts={"first_seg": "seg_id", "from_s": "start_s", "who": "speaker_no"},
+        segs, ["clip_id"], ["start_s", "_e", "seg_id"], "_v", shard=part, firsts={"first_seg": "seg_id", "from_s": "start_s", "who": "speaker_no"},
         maxs={"to_s": "_e"}, sums={"n_words": "n_words"}, texts={"text": ("text", " ")},
     )
     return runs.select("clip_id", "first_seg", F.col("who").alias("speaker_no"), F.col("from_s").alias("start_s"), F.col("to_s").alias("end_s"), "text", F.col("n_words").cast("int").alias("n_words"))

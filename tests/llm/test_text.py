@@ -247,7 +247,15 @@ def test_turns(spark):
     assert speaker_turns(df.limit(0), cast).count() == 0
     roll = spark.createDataFrame([(1, 1, 0.0, 2.0, 0, "a b c d", 4), (2, 1, 1.0, 3.0, 0, "b c d e", 4)], "clip_id long, seg_id long, start_s double, end_s double, speaker_no int, text string, n_words int").select("clip_id", "seg_id", "start_s", "end_s", "speaker_no", "text", "n_words")
     roll = roll.withColumn("seg_id", F.col("clip_id")).withColumn("clip_id", F.lit(1).cast("long"))
-    assert [r.text for r in drop_rolling(roll).orderBy("start_s").collect()] == ["a b c d", "e"]
+    for shard in (600.0, 0.5):
+        assert [r.text for r in drop_rolling(roll, shard_s=shard).orderBy("start_s").collect()] == ["a b c d", "e"]
+    # silences of half a second and one of a minute, over many shards: the long one splits the turn
+    talk = [(i, 1, i * 1.5 + (60.0 if i >= 20 else 0.0), i * 1.5 + 1.0 + (60.0 if i >= 20 else 0.0), "0", f"word number {i} here") for i in range(40)]
+    say = spark.createDataFrame(talk, df.drop("cast").schema)
+    for shard in (600.0, 7.0):
+        got = sorted((r.first_seg, r.n_words) for r in speaker_turns(say, cast, pauses=True, shard_s=shard).collect())
+        assert got == [(0, 80), (20, 80)]
+        assert [(r.first_seg, r.n_words) for r in speaker_turns(say, cast, shard_s=shard).collect()] == [(0, 160)]
 
 
 def test_bucket_boundaries_are_optimal():
