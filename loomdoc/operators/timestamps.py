@@ -1,7 +1,8 @@
 """Timestamps in many notations and zones, brought to one UTC second.
 
-All parsing is done by JVM expressions in whole-stage code; nothing is shuffled but the estimate of
-missing zones, which is one aggregate per source with a constant number of counters.
+All parsing is done by JVM expressions in whole-stage code.  Missing zones are estimated by aligning the local
+times of a source with their ingestion times: all offset histories of the zone database are tried on counts
+by hour and lag, and weighed by the lags that rows with a stated offset have.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdoc.session import cut
+
 # Month names as mail programs write them (English, German, French, Spanish).
 MONTHS = {
     1: "january jan januar jänner janvier janv enero ene",
@@ -147,27 +150,6 @@ def zone_names(spark) -> DataFrame:
     return each.groupBy(F.lower("zone").alias("place")).agg(F.min("zone").alias("zone"))
 
 
-def estimate_zones(df: DataFrame, source: str, local_s: str, seen_s: str, candidates: list[str], lag_s: int = 86_400) -> DataFrame:
-    """Choose for each source the zone whose offset history its local times violate least.
-
-    ``local_s`` is wall time as if UTC, ``seen_s`` the second at which the row was ingested.  Under a
-    candidate zone a row is violated if it was ingested before it was written or later than ``lag_s``
-    after.  Every row counts in one pass: the aggregate keeps one counter per candidate and source and
-    is combined before the shuffle, so a source with a third of all rows costs a few partial rows per task.
-
-    Returns ``source, zone, violations, rows``; ties go to the earlier candidate.  Rows with null
-    source, local time or ingestion time are ignored; an empty input gives an empty result.
-    """
-    use = F.col(source).isNotNull() & F.col(local_s).isNotNull() & F.col(seen_s).isNotNull()
-    tries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(z).alias("z")) for i, z in enumerate(candidates)])
-    each = F.explode(F.when(use, tries)).alias("c")  # no filter: it would be pushed into the parser and repeat it
-    tried = df.select(F.col(source).alias("source"), F.col(local_s).alias("l"), F.col(seen_s).alias("seen"), each)
-    lag = F.col("seen") - wall_to_epoch(F.col("l"), F.col("c.z"))
-    per = tried.groupBy("source", "c.i", "c.z").agg(F.sum(F.when(lag.between(0, lag_s), 0).otherwise(1)).alias("v"), F.count(F.lit(1)).alias("rows"))
-    best = per.groupBy("source").agg(F.min(F.struct("v", "i", "z")).alias("b"), F.max("rows").alias("rows"))
-    return best.select("source", F.col("b.z").alias("zone"), F.col("b.v").alias("violations"), "rows")
-
-
 def zone_histories(spark) -> dict[str, str]:
     """Every zone id the JVM knows and the id that stands for its offset history: one of ``DEFAULT_CANDIDATES`` where possible, else the first by name."""
     of = spark._jvm.java.time.ZoneId
@@ -182,8 +164,9 @@ def zone_histories(spark) -> dict[str, str]:
     return out
 
 
-#: Half hours of lag that are told apart, and how many times as likely the best zones must be as others.
-LAG_BINS, LIKELIER = 672, 20
+#: Half hours of lag that are told apart, how many times as likely the best zones must be as others, how many times to overrule
+#: a stated zone, and how many rows the prior counts as.
+LAG_BINS, LIKELIER, OVERRULE, PRIOR_ROWS = 672, 20.0, 1e9, 100
 
 
 def _lag_bin(lag: Column) -> Column:
@@ -191,35 +174,49 @@ def _lag_bin(lag: Column) -> Column:
     return F.greatest(F.lit(-1), F.least(F.lit(LAG_BINS), F.floor(lag / 1800))).cast("int")
 
 
-def lag_counts(df: DataFrame, sent_s: str, seen_s: str) -> DataFrame:
+def _prior(b: Column) -> Column:
+    """Share of a lag's bin before anything is known: short lags are likelier, written after it was fetched is next to impossible."""
+    return F.when(b < 0, 0.01 / 1440).when(b == LAG_BINS, 0.1 / 17_520).otherwise(0.89 / (F.lit(math.log(LAG_BINS) + 0.5772) * (b + 1)))
+
+
+def lag_counts(df: DataFrame, sent_s: str, seen_s: str, weight: str | None = None) -> DataFrame:
     """One row ``held`` (half hour of lag to number of rows) and ``total``, of the rows with a stated zone; at most ``LAG_BINS + 2`` entries."""
-    per = df.groupBy(_lag_bin(F.col(seen_s) - F.col(sent_s)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    one = F.lit(1) if weight is None else F.col(weight)
+    per = df.groupBy(_lag_bin(F.col(seen_s) - F.col(sent_s)).alias("b")).agg(F.sum(one).alias("n"))
     pairs = F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "n")))
     return per.agg(F.map_from_entries(pairs).alias("held"), F.coalesce(F.sum(F.when(F.col("b").isNotNull(), F.col("n"))), F.lit(0)).alias("total"))
 
 
-def possible_zones(df: DataFrame, source: str, local_s: str, seen_s: str, lags: DataFrame, candidates: list[str] | None = None) -> DataFrame:
+def possible_zones(df: DataFrame, source: str, local_s: str, seen_s: str, lags: DataFrame, candidates: list[str] | None = None, weight: str | None = None, likelier: float = LIKELIER) -> DataFrame:
     """``source, zone, zones, violations, rows``: the zones of each source among all offset histories, with ties shown.
 
-    ``lags`` is the row of :func:`lag_counts`: a candidate is as likely as the lags it gives the rows are there.
-    ``zones`` are the candidates that are not ``LIKELIER`` times less likely than the best, the likeliest first.
+    ``local_s`` is wall time as if UTC, ``seen_s`` the second of ingestion.  ``lags`` is the row of :func:`lag_counts`: a candidate
+    is as likely as the lags it gives the rows are there.  Before the histories are tried rows are counted by hour of wall
+    time and quarter hour of lag, which all offsets keep apart: a source with a third of all rows is as many
+    groups as it has such hours, counted in the tasks.
+    ``zones`` are the candidates that are not ``likelier`` times less likely than the best, the likeliest first.
     ``zone`` is the first of them if all give the same instants for all rows of the source, else null.
     ``violations`` counts the rows with lags that no row with a stated zone has.
     """
     names = candidates or list(dict.fromkeys(zone_histories(df.sparkSession).values()))
-    use = F.col("source").isNotNull() & F.col("l").isNotNull() & F.col("seen").isNotNull()
+    use = F.col("source").isNotNull() & F.col("hour").isNotNull() & F.col("quarter").isNotNull()
     tries = F.split(F.lit(",".join(names)), ",")  # as one literal: hundreds of structs exceed what is compiled
-    rows = df.groupBy(F.col(source).alias("source"), F.col(local_s).alias("l"), F.col(seen_s).alias("seen")).agg(F.count(F.lit(1)).alias("c"))
-    tried = rows.select("*", F.posexplode(F.when(use, tries)).alias("i", "z")).withColumn("at", wall_to_epoch(F.col("l"), F.col("z")))
-    tried = tried.withColumn("b", _lag_bin(F.col("seen") - F.col("at"))).crossJoin(F.broadcast(lags))  # one row
-    n = F.coalesce(F.try_element_at("held", F.col("b")), F.lit(0))
-    width = F.when(F.col("b") < 0, 1440).when(F.col("b") == LAG_BINS, 17_520).otherwise(1)  # a month and a year of half hours
+    rows = df.groupBy(F.col(source).alias("source"), F.floor(F.col(local_s) / 3600).alias("hour"), F.floor((F.col(seen_s) - F.col(local_s)) / 900).alias("quarter"))
+    rows = rows.agg(F.sum(F.lit(1) if weight is None else F.col(weight)).alias("c"))
+    bins = F.sequence(F.lit(-1), F.lit(LAG_BINS))
+    n = lambda b: F.coalesce(F.try_element_at("held", b), F.lit(0))
+    width = lambda b: F.when(b < 0, 1440).when(b == LAG_BINS, 17_520).otherwise(1)  # noqa: E731  (a month and a year of half hours)
+    score = F.transform(bins, lambda b: F.log((n(b) / width(b) + PRIOR_ROWS * _prior(b)) / (F.col("total") + PRIOR_ROWS)))
+    table = lags.select(score.alias("score"), F.transform(bins, lambda b: n(b) == 0).alias("unseen"))  # one row
+    tried = rows.select("*", F.posexplode(F.when(use, tries)).alias("i", "z")).withColumn("l", F.col("hour") * 3600)
+    tried = tried.withColumn("at", wall_to_epoch(F.col("l"), F.col("z"))).crossJoin(F.broadcast(table))
+    b = _lag_bin(F.col("quarter") * 900 + F.col("l") - F.col("at")) + 1
     # the sums of offsets and of hashes stand for the instants of all rows
     per = tried.groupBy("source", "i", "z").agg(
-        F.sum(F.col("c") * F.log((n + 0.5) / (F.col("total") + 0.5 * (LAG_BINS + 2)) / width)).alias("s"), F.sum(F.when(n == 0, F.col("c")).otherwise(0)).alias("v"),
-        F.sum("c").alias("rows"), F.sum(F.col("l") - F.col("at")).alias("o"), F.sum(F.xxhash64("l", "at").cast("decimal(20,0)")).alias("h"),
+        F.sum(F.col("c") * F.get("score", b)).alias("s"), F.sum(F.when(F.get("unseen", b), F.col("c")).otherwise(0)).alias("v"),
+        F.sum("c").alias("rows"), F.sum((F.col("l") - F.col("at")) * F.col("c")).alias("o"), F.sum(F.xxhash64("l", "at").cast("decimal(20,0)")).alias("h"),
     )
-    top = per.withColumn("m", F.max("s").over(Window.partitionBy("source"))).where(F.col("s") >= F.col("m") - math.log(LIKELIER))
+    top = per.withColumn("m", F.max("s").over(Window.partitionBy("source"))).where(F.col("s") >= F.col("m") - math.log(likelier))
     best = top.groupBy("source").agg(
         F.array_sort(F.collect_list(F.struct(-F.round("s", 6), "i", "z", "v"))).alias("b"), F.count_distinct("o", "h").alias("k"), F.max("rows").alias("rows")
     )
@@ -227,10 +224,20 @@ def possible_zones(df: DataFrame, source: str, local_s: str, seen_s: str, lags:
     return best.select("source", F.when(F.col("k") == 1, first["z"]).alias("zone"), F.transform("b", lambda x: x["z"]).alias("zones"), first["v"].alias("violations"), "rows")
 
 
-def lag_bound(df: DataFrame, sent_s: str, seen_s: str, share: float = 0.9) -> DataFrame:
-    """One row ``lag_s``: the lag below which ``share`` of the rows with a stated zone were ingested."""
-    lag = (F.col(seen_s) - F.col(sent_s)).cast("double")
-    return df.where(F.col(sent_s).isNotNull() & (lag >= 0)).agg(F.percentile_approx(lag, share, 1000).cast("long").alias("lag_s"))
+def source_zones(df: DataFrame, header: str, source: str, seen: str, candidates: list[str] | None = None, likelier: float = LIKELIER) -> DataFrame:
+    """:func:`possible_zones` of the sources of ``df``, calibrated on the lags of its own rows with a stated offset.
+
+    The headers are parsed once into counts by source, hour and lag, which are written (:func:`loomdoc.session.cut`) and feed both.
+    """
+    p = df.select(F.col(source).alias("source"), F.col(header).alias("h"), F.unix_seconds(F.col(seen).cast("timestamp")).alias("seen"))
+    p = with_stamp_parts(p, "h")
+    stated = F.coalesce(F.col("_epoch_s"), F.col("_local_s") - F.col("_offset_min") * 60)
+    kind = F.when(F.col("seen").isNull(), None).when(stated.isNotNull(), 1).when(~F.col("_has_rest") & F.col("_local_s").isNotNull(), 0)
+    at = F.when(kind == 1, stated).otherwise(F.col("_local_s"))
+    p = p.select(F.when(kind == 0, F.col("source")).alias("source"), kind.alias("kind"), F.when(kind == 0, F.floor(at / 3600)).alias("hour"), F.floor((F.col("seen") - at) / 900).alias("quarter"))
+    p = cut(p.groupBy("source", "kind", "hour", "quarter").agg(F.count(F.lit(1)).alias("n")))
+    p = p.select("*", (F.coalesce("hour", F.lit(0)) * 3600).alias("l")).withColumn("seen", F.col("l") + F.col("quarter") * 900)
+    return possible_zones(p.where("kind = 0"), "source", "l", "seen", lag_counts(p.where("kind = 1"), "l", "seen", "n"), candidates, "n", likelier)
 
 
 #: Candidates for a source without any hint: one zone for each offset history with many inhabitants.
@@ -243,18 +250,19 @@ DEFAULT_CANDIDATES = [
 
 def normalise_timestamps(
     df: DataFrame, header: str, *, source: str | None = None, seen: str | None = None, zones: DataFrame | None = None,
-    candidates: list[str] | None = None, lag_s: int = 86_400, out: str = "utc_second", drop_void: bool = False,
+    candidates: list[str] | None = None, out: str = "utc_second", drop_void: bool = False,
 ) -> DataFrame:
     """Add ``out``: the UTC second (text) that ``header`` states, null where it states none.
 
-    Order of evidence: a count since 1970 or numeric offset; zone letters; a place name; the zone that
-    ``zones`` (columns ``source, zone``, one row per source) gives for the row's source; for sources it
-    does not list, the zone estimated from the ingestion times ``seen`` (see :func:`estimate_zones`).
-    Text in round brackets is a comment.  Without any of these the wall time stays unresolved (null).
+    Order of evidence: a count since 1970 or numeric offset; zone letters; a place name; the zone of the row's source.
+    With ingestion times ``seen`` that zone is estimated (:func:`source_zones`): of the offset histories that the
+    source's rows leave likely it is the one that ``zones`` (columns ``source, zone``, one row per source) states, else the
+    likeliest; a stated zone that is ``OVERRULE`` times less likely is overruled.  Without ``seen``, or for a source that no row tells of, it is
+    the stated one.  Text in round brackets is a comment.  Without any of these the wall time stays unresolved (null).
     A trailing text that is none of these makes the row void.  ``drop_void`` leaves void rows out.
 
-    Null, empty and very long headers give null; repeated rows are kept; names used inside are
-    begin with ``_`` so that other columns may be called anything else.
+    Null, empty and very long headers give null; repeated rows are kept; names used inside begin with ``_`` so that
+    other columns may be called anything else.
     """
     spark = df.sparkSession
     p = with_stamp_parts(df, header)
@@ -266,12 +274,13 @@ def normalise_timestamps(
         given = given.join(F.broadcast(known), F.lower("zone") == F.col("place")).where("source is not null")
         given = given.groupBy("source").agg(F.min("known").alias("zone"))
         if seen is not None:
-            bare = df.join(given.select(F.col("source").alias("_ts_source")), F.col(source) == F.col("_ts_source"), "left_anti")
-            bare = bare.select(F.col(source).alias("s"), F.col(header).alias("h"), F.unix_seconds(F.col(seen).cast("timestamp")).alias("seen"))
-            bare = with_stamp_parts(bare, "h")
-            bare = bare.withColumn("_local_s", F.when(~F.col("_has_rest"), F.col("_local_s")))
-            found = estimate_zones(bare, "s", "_local_s", "seen", candidates or DEFAULT_CANDIDATES, lag_s)
-            given = given.unionByName(found.select("source", "zone"))
+            same = zone_histories(spark)  # one name stands for each history
+            stands = F.split(F.lit("|".join(f"{a},{b}" for a, b in same.items())), r"\|")
+            stands = spark.range(1, numPartitions=1).select(F.explode(stands).alias("x")).select(F.split("x", ",")[0].alias("zone"), F.split("x", ",")[1].alias("history"))
+            told = source_zones(df, header, source, seen, candidates, OVERRULE).select("source", "zones")
+            both = given.join(F.broadcast(stands), "zone", "left").join(told, "source", "full")  # bounded by the zone database
+            agrees = F.col("zones").isNull() | F.array_contains("zones", F.col("history"))
+            given = both.select("source", F.when(F.col("zone").isNotNull() & agrees, F.col("zone")).otherwise(F.get("zones", F.lit(0))).alias("zone"))
         given = given.select(F.col("source").alias("_ts_source"), F.col("zone").alias("_ts_host"))
         p = p.join(given, F.col(source) == F.col("_ts_source"), "left")
     else:

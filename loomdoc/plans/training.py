@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.operators.intervals import interval_runs
-from loomdoc.operators.timestamps import lag_counts, normalise_timestamps, possible_zones, with_stamp_parts
+from loomdoc.operators.timestamps import normalise_timestamps, source_zones
 from loomdoc.session import table
 
 
@@ -18,16 +18,17 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_zones(spark: SparkSession, sf: str) -> DataFrame:
-    """The zone of each archive as its local header dates and fetch times show it, beside the stated one.
-
-    All offset histories of the zone database are tried; how long after they are fetched is taken from those that state an offset.
-    """
-    e = table(spark, sf, "emails").select("source", "date_hdr", F.unix_seconds(F.col("fetched_at").cast("timestamp")).alias("seen"))
-    e = with_stamp_parts(e, "date_hdr")
-    lags = lag_counts(e.withColumn("_sent_s", F.col("_local_s") - F.col("_offset_min") * 60), "_sent_s", "seen")
-    bare = e.withColumn("_local_s", F.when(~F.col("_has_rest"), F.col("_local_s")))
+    """The zones of each archive as its local header dates and fetch times show them, beside the stated one."""
     boxes = table(spark, sf, "mailboxes").select("source", "host_zone")
-    return possible_zones(bare, "source", "_local_s", "seen", lags).join(boxes, "source", "left").select("source", "zone", "host_zone", "violations", "rows", "zones")
+    told = source_zones(table(spark, sf, "emails"), "date_hdr", "source", "fetched_at")
+    return told.join(boxes, "source", "left").select("source", "zone", "host_zone", "violations", "rows", "zones")
+
+
+def p1_estimated(spark: SparkSession, sf: str) -> DataFrame:
+    """The emails' UTC seconds with no archive's zone stated: the estimate alone."""
+    emails = table(spark, sf, "emails").select("email_id", "date_hdr", "source", "fetched_at")
+    out = normalise_timestamps(emails, "date_hdr", source="source", seen="fetched_at", drop_void=True)
+    return out.select("email_id", "utc_second").distinct()
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +36,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return interval_runs(segments, ["clip_id", "speaker"], "start_s", "end_s").select("clip_id", "speaker", "kind", "start_ms", "end_ms").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p1_estimated": p1_estimated, "p4_found": p4_found}
 
 SQL = {
     "p4_found": """

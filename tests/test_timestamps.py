@@ -4,7 +4,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from loomdoc.operators.timestamps import estimate_zones, lag_counts, normalise_timestamps, possible_zones, zone_histories
+from loomdoc.operators.timestamps import lag_counts, normalise_timestamps, possible_zones, zone_histories
 
 CASES = [
     ("Thu, 20 Feb 2025 20:15:23 +0000", "2025-02-20T20:15:23Z"),
@@ -81,8 +81,8 @@ def test_empty_and_clashing_names(spark):
     assert normalise_timestamps(df, "h", source="s").columns == [*df.columns, "utc_second"]
     one = spark.createDataFrame([("2024-01-01T00:00:00Z", "s", "zz", "q", "p")] * 2, df.schema)
     assert [r.utc_second for r in normalise_timestamps(one, "h", source="s").collect()] == ["2024-01-01T00:00:00Z"] * 2
-    empty = spark.createDataFrame([], "s string, l long, seen long")
-    assert estimate_zones(empty, "s", "l", "seen", ["UTC"]).count() == 0
+    seen = df.withColumn("seen", F.lit(None).cast("timestamp"))
+    assert normalise_timestamps(seen, "h", source="s", seen="seen").columns == [*seen.columns, "utc_second"]
 
 
 def test_zones_outside_the_list_and_ties(spark):
@@ -106,3 +106,18 @@ def test_zones_outside_the_list_and_ties(spark):
     assert got["few"].zone is None and {"Asia/Tokyo", "Australia/Sydney"} - set(got["few"].zones) == {"Australia/Sydney"} and len(got["few"].zones) > 1
     none = lag_counts(spark.createDataFrame([], "sent long, seen long"), "sent", "seen")
     assert possible_zones(df, "s", "l", "seen", none).count() == 3 and possible_zones(df.limit(0), "s", "l", "seen", none).count() == 0
+
+
+def test_stated_zone_against_the_rows(spark):
+    """Of the likely histories the stated one is taken; one that the rows speak against is overruled; a source without rows keeps it."""
+    rows = []
+    for name, zone in (("tie", "Europe/Rome"), ("wrong", "Asia/Tokyo")):
+        for i in range(300):
+            sent = datetime(2023, 1, 1, tzinfo=UTC) + timedelta(hours=29 * i)
+            rows.append((name, sent.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S"), (sent + timedelta(minutes=7 * (i % 9))).replace(tzinfo=None)))
+            rows.append(("stated", sent.strftime("%Y-%m-%d %H:%M:%S +0000"), (sent + timedelta(minutes=7 * (i % 9))).replace(tzinfo=None)))
+    rows.append(("lone", "2023-07-01 10:00:00", None))
+    df = spark.createDataFrame(rows, "s string, h string, seen timestamp")
+    zones = spark.createDataFrame([("tie", "Europe/Rome"), ("wrong", "America/Chicago"), ("lone", "Asia/Kolkata")], "source string, zone string")
+    got = {r.s: r.utc_second for r in normalise_timestamps(df, "h", source="s", seen="seen", zones=zones).groupBy("s").agg(F.min("utc_second").alias("utc_second")).collect()}
+    assert got == {"tie": "2023-01-01T00:00:00Z", "wrong": "2023-01-01T00:00:00Z", "stated": "2023-01-01T00:00:00Z", "lone": "2023-07-01T04:30:00Z"}
