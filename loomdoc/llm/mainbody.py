@@ -1,9 +1,10 @@
 """The main body of web pages, block by block.
 
 Two passes over the blocks of one page, nothing shuffled: the first decides blocks by stop-word
-density, length, link density and a few marks of page furniture; the second lets short undecided
-blocks (headings, list items, table cells) inherit the label of the nearest decided neighbours.  A page
-is judged by its own markup only, so the work is one scan, whatever the number and size of sites.
+density, length, link density and by where they stand (outside of the flow, between rules, a paragraph that is no
+sentence, a sentence about the site itself); the second lets short undecided blocks (headings, list items, table
+cells) inherit the label of the nearest decided neighbours.  No rule knows a phrase of any language.  A page is
+judged by its own markup and address only, so the work is one scan, whatever the number and size of sites.
 """
 
 from __future__ import annotations
@@ -26,26 +27,6 @@ STOP = frozenset(
     а без был в вы для до его если же за и из или как когда ли на не но о он она они от по при с то только у что это я""".split()
 )
 
-# Whole blocks that are furniture wherever they stand, in lower case.
-_BYLINE = re.compile(
-    r"^(?:by|posted by|written by|von|par|por) [^.!?]{3,60}(?:,| on | am | le | el ) ?[\w.]+ ?\d{1,2}(?:,? \d{4})?$|^[^.!?·|]{3,60} [·|] [\w. ]{3,20} [·|] \d+ min\b.*$|^\d+ min(?:utes)? read$", re.I
-)
-_INSERT = re.compile(
-    r"^(?:advertisement|anzeige|publicité|publicidad|article continues below|sponsored by .{2,60}|(?:read|see) (?:also|more|next): .+|lesen sie auch:? .+|à lire aussi ?:? .+|sign up for .{2,80}|join .{2,40} and get .{2,40}|subscribe to .{2,60}|enter your e-?mail.*)$", re.I
-)
-_END = re.compile(
-    r"^(?:related(?: (?:pages|articles|links|posts))?|you (?:may|might) also like|more (?:on|from|in) .{2,40}|weiterlesen|mehr zum thema|à lire aussi|lire aussi|leer más|читайте также|\d+ (?:comments?|kommentare?|commentaires?|comentarios?)|comments?|leave a (?:comment|reply))$", re.I
-)
-_SHARE = re.compile(
-    r"^(?:yes|no|print|copy link|share(?: this page)?|send by mail|report a problem|was this (?:page )?helpful\?|tweet|like|e-?mail|drucken|teilen|imprimer|partager)$", re.I
-)
-_NOTICE = re.compile(
-    r"^©|all rights reserved|^please enable scripts|^(?:accept|reject) all$|^only necessary$|^(?:this (?:site|website) (?:uses|needs)|we use cookies to |your privacy matters to |diese website verwendet cookies|nous utilisons des traceurs)|store small files on your device|^(?:tags|archive by month|most read this week|popular tools|recent comments|our sponsors|terms of use|imprint|privacy notice|accessibility|back to top|follow us|manage options|settings)$", re.I
-)
-_REFUSAL = re.compile(
-    r"^(?:page not found|not found|access (?:limited|denied|restricted)|please (?:log|sign) in|(?:4\d\d|5\d\d)\b.*|forbidden|service unavailable|internal server error|something went wrong|error\b.*|members only|subscribers only|too many requests|bad gateway|under maintenance|are you (?:a )?(?:human|robot)\??|just a moment.*|checking your browser.*)$", re.I
-)
-
 _COMMENT = re.compile(r"<!--.*?(?:-->|$)", re.S)
 _SILENT = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
 _INLINE = re.compile(r"<(/?)(a|b|strong|em|i|code|span|small)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*>", re.I)
@@ -54,8 +35,15 @@ _TAG = re.compile(r"(<[/!?]?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\"<>])*>|<[/!?]?[a-
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[^\W\d_]+")
+_HOST = re.compile(r"^[a-z][a-z0-9+.-]*://")
+_TITLE = re.compile(r"<title[^>]*>([^<]*)", re.I)
+_BAR = re.compile(r"\s*[|·—–]\s*|\s-\s")
 _HOLD = frozenset("div table article main section aside nav header footer form td body".split())
 _OUTSIDE = frozenset("nav header footer aside form button select noscript head title label".split())
+#: Tags whose text may be short in an article: headings, items, cells, code, quotations, captions.
+_SHORT = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th caption pre code blockquote q figcaption cite summary".split())
+#: Least text, in blocks and characters, that makes a main body without a heading of first order.
+BARE_BLOCKS, BARE_CHARS = 3, 500
 _OPEN, _CLOSE = "", ""  # where links begin and end, kept out of the text
 
 
@@ -115,19 +103,27 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _decide(b: Block) -> str:
-    """First pass, of a block by itself: ``good``, ``bad``, ``insert`` (bad, says nothing of its neighbours), ``end`` or undecided."""
+def _names(page: str, url: str | None) -> frozenset[str]:
+    """What the site calls itself: the labels of its host but for the last, and the last part of the page's title."""
+    out = {x for x in _HOST.sub("", (url or "").lower()).partition("/")[0].partition(":")[0].split(".")[:-1] if x != "www"}
+    m = _TITLE.search(page)
+    parts = _BAR.split(html.unescape(m[1])) if m else []
+    if len(parts) > 1:
+        out.add("".join(_TOKEN.findall(parts[-1].lower())))
+    return frozenset(x.replace("-", "") for x in out if len(x) >= 4)
+
+
+def _decide(b: Block, names: frozenset[str]) -> str:
+    """First pass, of a block by itself: ``good``, ``bad``, ``insert`` (bad, says nothing of its neighbours) or undecided."""
     t = b.text
-    if b.tag in _OUTSIDE or _NOTICE.search(t):
+    if b.tag in _OUTSIDE:
         return "bad"
-    if len(t) < 140 and (_INSERT.match(t) or _BYLINE.match(t)):
-        return "insert"
-    if _END.match(t):
-        return "end"
+    if len(t) < 140 and not names.isdisjoint(b.words) and b.tag not in _SHORT:
+        return "insert"  # a sentence about the site itself
     if b.tag in ("hr", "/hr") and len(t) < 40 and len(b.words) <= 6:
-        return "share"
-    if b.tag == "hr" and _SHARE.match(t):
-        return "share"
+        return "insert"
+    if b.tag not in _SHORT and len(b.words) < 12 and t[-1] not in ".!?:;,…\"”»)":
+        return "insert"  # a paragraph that is no sentence: by-line, advertisement, pointer to another page
     if len(t) >= 45 and len(b.words) >= 6 and b.stops >= 0.12 and (b.linked < 0.6 or len(t) >= 60 and t[-1] in ".!?:"):
         return "good"
     if b.linked > 0.6 and len(t) < 60 and b.tag not in ("li", "p", "td", "th", "h2", "h3", "h4", "h5", "h6"):
@@ -135,29 +131,51 @@ def _decide(b: Block) -> str:
     return ""
 
 
-def main_blocks(page: str | None) -> list[str]:
+def _bare_start(bs: list[Block]) -> tuple[int, tuple[int, ...]] | None:
+    """Where the body begins on a page without a heading of first order: the innermost container of most of its good text."""
+    good = [b for b in bs if b.label == "good" and b.linked < 0.3]
+    total = sum(len(b.text) for b in good)
+    if len(good) < BARE_BLOCKS or total < BARE_CHARS:
+        return None
+    mass: dict[tuple[int, ...], list[int]] = {}
+    for b in good:
+        for k in range(len(b.path) + 1):
+            m = mass.setdefault(b.path[:k], [0, 0])
+            m[0] += len(b.text)
+            m[1] += 1
+    home = max((k for k, m in mass.items() if m[0] >= 0.6 * total and m[1] >= BARE_BLOCKS), key=len, default=None)
+    if home is None:
+        return None
+    first = next(i for i, b in enumerate(bs) if b.label == "good" and b.path[: len(home)] == home)
+    while first and bs[first - 1].tag in _SHORT and bs[first - 1].path[: len(home)] == home and bs[first - 1].label == "":
+        first -= 1
+    return first, home
+
+
+def main_blocks(page: str | None, url: str | None = None) -> list[str]:
     """The text of each block of the page's main body, in order.
 
     A block is the text between two neighbouring tags: comments and the inline tags a, b, strong, em, i,
     code, span and small do not cut, br is a space, script and style have no text, entities are decoded,
-    white space is collapsed and trimmed, empty blocks do not count.  Null and empty pages, pages without
-    a heading of first order and pages that only refuse access or report an error have no main body.
+    white space is collapsed and trimmed, empty blocks do not count.  The body begins with the heading of first
+    order and holds what lies in that heading's container; without such a heading it is the innermost container of
+    most of the text, if there are at least ``BARE_BLOCKS`` blocks and ``BARE_CHARS`` characters of it.  Null and empty pages
+    and pages without any text in sentences (refusals, errors, lists of links) have no main body.
     """
     if not page:
         return []
-    bs = blocks(page)
+    bs, names = blocks(page), _names(page, url)
+    for b in bs:
+        b.label = _decide(b, names)
     first = next((i for i, b in enumerate(bs) if b.tag == "h1"), None)
-    if first is None or _REFUSAL.match(bs[first].text):
-        return []
-    home = bs[first].path
-    run = []
-    for b in bs[first:]:
-        inside = b.path[: len(home)] == home
-        b.label = _decide(b) if inside else "out"
-        if b.label in ("end", "share", "out"):
-            break  # what follows the article: share bar, teasers, comments, side and foot of the page
-        run.append(b)
-    run[0].label = "good"
+    if first is not None:
+        bs[first].label, home = "good", bs[first].path
+    else:
+        bare = _bare_start(bs)
+        if bare is None:
+            return []
+        first, home = bare
+    run = [b for b in bs[first:] if b.path[: len(home)] == home]
     # second pass: short blocks take the label of the nearest decided neighbours, the one before counting first
     before, labels = "good", []
     for b in run:
@@ -170,24 +188,25 @@ def main_blocks(page: str | None) -> list[str]:
             after = run[i].label
         nexts[i] = after
     keep = [b.label == "good" or b.label == "" and (labels[i] == "good" or nexts[i] == "good") for i, b in enumerate(run)]
-    body = [b.text for b, k in zip(run, keep, strict=True) if k]
     if not any(b.label == "good" for b in run[1:]) and not any(k and len(b.words) > 3 for b, k in zip(run[1:], keep[1:], strict=True)):
         return []
-    return body
+    return [b.text for b, k in zip(run, keep, strict=True) if k]
 
 
-def main_body(df: DataFrame, key: str, page: str) -> DataFrame:
+def main_body(df: DataFrame, key: str, page: str, url: str | None = None) -> DataFrame:
     """``*key, block_no, block, block_md5`` of the main body of each page; see :func:`main_blocks`.
 
     Rows without a key are left out; repeated rows repeat their blocks; pages of any length are read
-    whole.  One scan and one Arrow pass, no shuffle.
+    whole; a null ``url`` only leaves the site's name to the title.  One scan and one Arrow pass, no shuffle.
     """
     kind = dict(df.dtypes)[key]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, i, t, md5(t.encode("utf-8", "replace")).hexdigest()) for k, h in zip(b["k"].tolist(), b["h"].tolist(), strict=True) for i, t in enumerate(main_blocks(h))]
+            pages = zip(b["k"].tolist(), b["h"].tolist(), b["u"].tolist(), strict=True)
+            rows = [(k, i, t, md5(t.encode("utf-8", "replace")).hexdigest()) for k, h, u in pages for i, t in enumerate(main_blocks(h, u))]
             yield pd.DataFrame(rows, columns=["k", "block_no", "block", "block_md5"])
 
-    use = df.where(F.col(key).isNotNull() & F.col(page).isNotNull()).select(F.col(key).alias("k"), F.col(page).alias("h"))
+    at = F.lit(None).cast("string") if url is None else F.col(url)
+    use = df.where(F.col(key).isNotNull() & F.col(page).isNotNull()).select(F.col(key).alias("k"), F.col(page).alias("h"), at.alias("u"))
     return use.mapInPandas(scan, f"k {kind}, block_no int, block string, block_md5 string").withColumnRenamed("k", key)

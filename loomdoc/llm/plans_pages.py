@@ -12,8 +12,8 @@ SQL: dict[str, str] = {}
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "web_pages").select("page_id", "html")
-    return main_body(pages, "page_id", "html").select("page_id", "block_md5").distinct()
+    pages = table(spark, sf, "web_pages").select("page_id", "url", "html")
+    return main_body(pages, "page_id", "html", "url").select("page_id", "block_md5").distinct()
 
 
 QUERIES = {"p2_found": p2_found}

@@ -24,8 +24,16 @@ PAGE = """<html><head><title>T | Site</title><style>p{}</style></head><body>
 def test_main_blocks():
     assert main_blocks(PAGE) == ["An article", "The first paragraph of this text says something that is long enough to count.", "Short item", "Linked item", "12 cells", "convert a > b"]
     assert main_blocks(None) == main_blocks("") == main_blocks("<p>no heading at all</p>") == []
-    assert main_blocks("<h1>Page not found</h1><p>The address you asked for does not exist on this site, so look elsewhere.</p>") == []
+    assert main_blocks("<h1>Page not found</h1><p>The address you asked for does not exist on Papersite.</p>", "http://papersite.example/a") == []
     assert main_blocks("<h1>x</h1><p>" + "The words of the text are many and they go on. " * 20_000)[0] == "x"
+    # text after a heading that other sites put over lists of links, and after an advertisement
+    more = "<main><h1>Bees</h1><p>Bees are insects that live in a hive and make honey of it.</p><h2>More on bees</h2><p>Ad space</p><p>They dance for each other so that the way to the flowers is known.</p></main>"
+    assert main_blocks(more)[2:] == ["More on bees", "They dance for each other so that the way to the flowers is known."]
+    para = "<p>The sentence of this paragraph is one of many that are in the body of the page, and it is long enough to count as text that is read.</p>"
+    bare = f"<nav><a href='/'>Home page of it</a></nav><div><div><h2>Part</h2>{para * 4}</div></div><div class='x'><p>We use small files that are kept on your device so that the visits of this site can be counted.</p></div>"
+    assert len(main_blocks(bare)) == 5 and main_blocks(bare)[0] == "Part"
+    about = "<h1>Members</h1><p>To read on, log in to Examplepress and then come back to the page.</p>"
+    assert main_blocks(about, "https://www.examplepress.org/x") == [] and len(main_blocks(about, "https://other.org")) == 2
     assert main_blocks("<h1>broken <b>page</h1><p>An unclosed paragraph that goes on and is of the length of a sentence <a href=")
 
 
