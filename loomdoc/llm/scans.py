@@ -30,6 +30,7 @@ HYPHENS = "-‐­"
 
 _ALNUM = re.compile(r"\w")
 _CORE = re.compile(r"^[\W_]+|[\W_]+$")
+_HEAD, _TAIL = re.compile(r"^[\W_]*"), re.compile(r"[\W_]*$")
 _DIGIT = r"[\dlIiOoSsBbZzgq!|]"
 _PAGE_NO = re.compile(
     rf"^[\W_]*(?:page|seite|p|pg|s)?[. ]*(?:{_DIGIT}{{1,4}}|[ivxlcdm]{{1,8}})(?:\s*(?:of|von|sur|de|/)\s*{_DIGIT}{{1,4}})?[\W_]*$|^.{{3,50}}\|\s*p\W\s*\S{{1,5}}$", re.I
@@ -133,12 +134,14 @@ def corrections(words: DataFrame, extra: DataFrame | None = None, *, ratio: int
     letters, digits = F.length(F.regexp_replace("word", r"[^\p{L}]", "")), F.length(F.regexp_replace("word", r"[^0-9]", ""))
     odd = asked.where((letters >= digits) & (letters >= 1) & (F.length("word") >= 3) & ~F.col("word").rlike(r"^\p{L}{2}-\d+$")).withColumn("_h", anagram_hash(F.col("word")))
     table = spark.createDataFrame([(t, s, _hash(t) - _hash(s)) for t, s in CONFUSIONS], "true string, seen string, diff long")
-    tried = odd.join(F.broadcast(table), F.contains("word", "seen")).select("word", "n", "true", "seen", (F.col("_h") + F.col("diff")).alias("h"))
-    met = tried.join(known, "h").where(F.col("n_fixed") >= F.greatest(F.lit(least), F.col("n") * ratio))
-    at = F.sequence(F.lit(1), F.length("word") - F.length("seen") + 1)
-    swapped = F.exists(at, lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.col("true"), F.substring(F.col("word"), i + F.length("seen"), F.lit(1000))) == F.col("fixed"))
+    seen, size = F.col("seen"), F.length("seen")
+    tried = odd.join(F.broadcast(table), F.contains("word", "seen"))
+    tried = tried.select("*", F.explode(F.sequence(F.expr("locate(seen, word)"), F.length("word") - size + 1)).alias("i")).where(F.substring("word", F.col("i"), size) == seen)
+    made = F.concat(F.substring("word", F.lit(1), F.col("i") - 1), F.col("true"), F.substring("word", F.col("i") + size, F.length("word")))
+    tried = tried.select("word", "n", made.alias("made"), (F.col("_h") + F.col("diff")).alias("h"))
+    met = tried.join(known, "h").where((F.col("made") == F.col("fixed")) & (F.col("n_fixed") >= F.greatest(F.lit(least), F.col("n") * ratio)))
     best = Window.partitionBy("word").orderBy(F.desc("n_fixed"), "fixed")
-    return met.where(swapped).withColumn("_r", F.row_number().over(best)).where("_r = 1").select("word", "fixed")
+    return met.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("word", "fixed")
 
 
 def _maybe_broadcast(small: DataFrame) -> DataFrame:
@@ -147,7 +150,16 @@ def _maybe_broadcast(small: DataFrame) -> DataFrame:
 
 
 def repair_evidence(df: DataFrame) -> DataFrame:
-    """``pdf_id, page, line_no, kind, word`` of scanned pages: ``drop``, ``join`` and ``char`` (see the module).
+    """``pdf_id, page, line_no, kind, word`` of scanned pages: ``drop``, ``join`` and ``char``; see :func:`repair_marks`."""
+    return repair_marks(df).where("kind <> 'tail'").select("pdf_id", "page", "line_no", "kind", "word").distinct()
+
+
+def repair_marks(df: DataFrame) -> DataFrame:
+    """``pdf_id, page, line_no, token, kind, word, tail``: every place of scanned pages that is to be repaired (see the module).
+
+    ``token`` counts the pieces between white space of the line from 0.  ``drop`` is a whole line; ``join`` the first half of a
+    divided word, ``word`` the whole; where the second half is the first word of the next page ``tail`` is what follows it there
+    (null if the half is on the same page), and that place is marked ``tail``; ``char`` is a misread word, its correction in ``word``.
 
     ``df`` has ``pdf_id, page, text, ocr_used``.  Only rows with ``ocr_used`` are repaired, all rows are
     evidence.  Lines count from 1.  Null or empty texts, null ids and pages have no rows; repeated rows
@@ -174,31 +186,32 @@ def repair_evidence(df: DataFrame) -> DataFrame:
             for pdf, page, text, *others in zip(*(b[c].tolist() for c in ("pdf_id", "page", "text", "before", "after", "common")), strict=True):
                 rows, gone = text.split("\n"), edge_lines(text, *others)
                 body = [(i, r.rstrip()) for i, r in enumerate(rows) if r.strip() and not gone[i]]
-                out += [(pdf, page, i + 1, "drop", "", "", "") for i, g in enumerate(gone) if g]
+                out += [(pdf, page, i + 1, 0, "drop", "", "", "") for i, g in enumerate(gone) if g]
                 carried = False
                 for k, (i, r) in enumerate(body):
                     words = r.split()
                     if k == 0:
-                        out.append((pdf, page, i + 1, "head", "", "", words[0]))
-                    if carried:
-                        words = words[1:]
+                        out.append((pdf, page, i + 1, 0, "head", "", "", words[0]))
+                    at = int(carried)
+                    words = words[at:]
                     carried = False
                     if words and len(words[-1]) > 1 and words[-1][-1] in HYPHENS and words[-1][-2].isalnum():
                         half = words.pop()[:-1]
                         carried = True
                         rest = body[k + 1][1].split()[0] if k + 1 < len(body) else None
-                        out.append((pdf, page, i + 1, "half", "", half, rest))
-                    out.append((pdf, page, i + 1, "line", " ".join(words), "", ""))
-            yield pd.DataFrame(out, columns=["pdf_id", "page", "line_no", "kind", "line", "half", "rest"])
+                        out.append((pdf, page, i + 1, at + len(words), "half", "", half, rest))
+                    out.append((pdf, page, i + 1, at, "line", " ".join(words), "", ""))
+            yield pd.DataFrame(out, columns=["pdf_id", "page", "line_no", "token", "kind", "line", "half", "rest"])
 
-    parsed = cut(beside.mapInPandas(lines, "pdf_id long, page int, line_no int, kind string, line string, half string, rest string"))
-    nexts = parsed.where("kind = 'head'").select("pdf_id", (F.col("page") - 1).alias("page"), F.col("rest").alias("over"))
+    parsed = cut(beside.mapInPandas(lines, "pdf_id long, page int, line_no int, token int, kind string, line string, half string, rest string"))
+    nexts = parsed.where("kind = 'head'").select("pdf_id", (F.col("page") - 1).alias("page"), F.col("rest").alias("over"), F.col("line_no").alias("over_line"))
     halves = parsed.where("kind = 'half'").drop("line", "kind").join(nexts, ["pdf_id", "page"], "left")
-    halves = halves.withColumn("rest", F.coalesce("rest", "over")).where(F.col("rest").isNotNull())
+    halves = halves.withColumn("over_line", F.when(F.col("rest").isNull(), F.col("over_line"))).withColumn("rest", F.coalesce("rest", "over")).where(F.col("rest").isNotNull())
     a = F.lower(F.regexp_replace("half", r"^[^\p{L}\p{N}]+", ""))
     b = F.lower(F.regexp_replace("rest", r"[^\p{L}\p{N}]+$", ""))
     upper = F.substring("rest", 1, 1) != F.lower(F.substring("rest", 1, 1))
-    halves = halves.select("pdf_id", "page", "line_no", F.concat(a, b).alias("solid"), F.concat(a, F.lit("-"), b).alias("hyphened"), (upper | F.col("rest").rlike(r"^\d")).alias("upper"))
+    tail = F.when(F.col("over_line").isNotNull(), F.regexp_extract("rest", r"[^\p{L}\p{N}]*$", 0))
+    halves = halves.select("pdf_id", "page", "line_no", "token", "over_line", tail.alias("tail"), F.concat(a, b).alias("solid"), F.concat(a, F.lit("-"), b).alias("hyphened"), (upper | F.col("rest").rlike(r"^\d")).alias("upper"))
     halves = cut(halves)
 
     counts = cut(word_counts(pages, "text"))
@@ -214,69 +227,78 @@ def repair_evidence(df: DataFrame) -> DataFrame:
         .when((nh > 0) & F.col("f_hyphened").isNull(), F.col("hyphened"))
         .otherwise(F.coalesce("f_solid", "f_hyphened", F.when(F.col("upper"), F.col("hyphened")).otherwise(F.col("solid"))))
     )
-    joins = joined.select("pdf_id", "page", "line_no", F.lit("join").alias("kind"), word.alias("word"))
+    joins = joined.select("pdf_id", "page", "line_no", "token", F.lit("join").alias("kind"), word.alias("word"), "tail")
+    tails = halves.where("over_line is not null").select("pdf_id", (F.col("page") + 1).alias("page"), F.col("over_line").alias("line_no"), F.lit(0).alias("token"), F.lit("tail").alias("kind"), F.lit("").alias("word"), "tail")
 
-    tokens = parsed.where("kind = 'line'").select("pdf_id", "page", "line_no", F.explode(F.split("line", " ")).alias("t"))
-    tokens = tokens.select("pdf_id", "page", "line_no", _core(F.col("t")).alias("word"), F.lower("t").alias("t"))
+    at = F.posexplode(F.split("line", " ")).alias("p", "t")
+    tokens = parsed.where("kind = 'line'").select("pdf_id", "page", "line_no", "token", at)
+    tokens = tokens.select("pdf_id", "page", "line_no", (F.col("token") + F.col("p")).alias("token"), _core(F.col("t")).alias("word"))
     bad = _maybe_broadcast(cut(fixes.join(counts, "word", "left_semi")))
-    chars = tokens.join(bad, "word").select("pdf_id", "page", "line_no", F.lit("char").alias("kind"), F.col("fixed").alias("word"))
-    drops = parsed.where("kind = 'drop'").select("pdf_id", "page", "line_no", "kind", F.lit("").alias("word"))
-    return drops.unionByName(joins).unionByName(chars).distinct()
+    none = F.lit(None).cast("string").alias("tail")
+    chars = tokens.join(bad, "word").select("pdf_id", "page", "line_no", "token", F.lit("char").alias("kind"), F.col("fixed").alias("word"), none)
+    chars = chars.join(tails.select("pdf_id", "page", "line_no", "token"), ["pdf_id", "page", "line_no", "token"], "left_anti")  # half a word is no misread word
+    drops = parsed.where("kind = 'drop'").select("pdf_id", "page", "line_no", "token", "kind", F.lit("").alias("word"), none)
+    return drops.unionByName(joins).unionByName(tails).unionByName(chars)
 
 
 def _cased(word: str, like: str) -> str:
-    return word.capitalize() if like[:1].isupper() else word
+    return word.upper() if len(like) > 1 and like.isupper() else word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def repair_text(text: str, marks: list[tuple[int, str, str]]) -> str:
-    """The page as paragraphs: marked lines dropped, divided words whole, misread words replaced, lines of a paragraph on one line."""
-    lines = text.split("\n")
-    gone = {n - 1 for n, kind, _ in marks if kind == "drop"}
-    joins = {n - 1: w for n, kind, w in marks if kind == "join"}
-    for n, kind, w in marks:
-        if kind == "char":
-            toks = lines[n - 1].split(" ")
-            scored = [(difflib.SequenceMatcher(None, _CORE.sub("", t).lower(), w).ratio(), i) for i, t in enumerate(toks) if _CORE.sub("", t).lower() != w]
-            if scored and max(scored)[0] >= 0.5:
-                i = max(scored)[1]
-                core = _CORE.sub("", toks[i])
-                toks[i] = toks[i].replace(core, _cased(w, core))
-                lines[n - 1] = " ".join(toks)
+def repair_text(text: str, marks: list[tuple[int, int, str, str, str | None]]) -> str:
+    """The page as paragraphs: marked lines dropped, divided words whole, misread words replaced, lines of a paragraph on one line.
+
+    ``marks`` are (line, token, kind, word, tail) of :func:`repair_marks`, any number of them on a line.
+    """
+    at: dict[int, dict[int, tuple[str, str, str | None]]] = {}
+    gone = set()
+    for n, token, kind, word, tail in marks:
+        if kind == "drop":
+            gone.add(n)
+        else:
+            at.setdefault(n, {})[token] = (kind, word, tail)
     paras: list[list[str]] = [[]]
     carry = False
-    for i, line in enumerate(lines):
-        if i in gone:
+    for n, line in enumerate(text.split("\n"), 1):
+        if n in gone:
             continue
-        if not line.strip():
+        words = line.split()
+        if not words:
             if not carry and paras[-1]:
                 paras.append([])
             continue
-        words = line.split()
-        if carry and words:
-            tail = _CORE.search(words[0])
-            paras[-1][-1] += tail[0] if tail and words[0].endswith(tail[0]) else ""
-            words = words[1:]
+        out = []
+        if carry:  # the second half; what follows it stays
+            paras[-1][-1] += _TAIL.search(words[0])[0]
+            words[0] = ""
         carry = False
-        if i in joins and words:
-            words[-1] = _cased(joins[i], _CORE.sub("", words[-1]))
-            carry = True
-        paras[-1] += words
+        for i, w in enumerate(words):
+            kind, new, tail = at.get(n, {}).get(i, ("", "", None))
+            core = _CORE.sub("", w)
+            if kind == "char" and core:
+                out.append(w.replace(core, _cased(new, core), 1))
+            elif kind == "join":
+                out.append(_HEAD.search(w)[0] + _cased(new, core) + (tail or ""))
+                carry = tail is None
+            elif kind != "tail" and w:
+                out.append(w)
+        paras[-1] += out
     return "\n\n".join(" ".join(p) for p in paras if p)
 
 
 def repaired_pages(df: DataFrame) -> DataFrame:
     """``pdf_id, page, text`` of every page: scanned ones repaired into paragraphs, others as they are.
 
-    The second half of a word divided over two pages stays with the first page.  See :func:`repair_evidence`
+    A word divided over two pages is whole on the first one and gone from the second.  See :func:`repair_marks`
     for which rows count; marks are gathered per page, so their number is bounded by the page.
     """
-    marks = repair_evidence(df).groupBy("pdf_id", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "kind", "word"))).alias("m"))
+    marks = repair_marks(df).groupBy("pdf_id", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "token", "kind", "word", "tail"))).alias("m"))
     pages = df.where(F.col("pdf_id").isNotNull() & F.col("page").isNotNull() & (F.col("text") != "")).select(F.col("pdf_id").cast("long").alias("pdf_id"), F.col("page").cast("int").alias("page"), "text")
     pages = pages.groupBy("pdf_id", "page").agg(F.min("text").alias("text"))
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["text"] = [repair_text(t, [(x["line_no"], x["kind"], x["word"]) for x in m]) for t, m in zip(b["text"].tolist(), b["m"].tolist(), strict=True)]
+            b["text"] = [repair_text(t, [(x["line_no"], x["token"], x["kind"], x["word"], x["tail"]) for x in m]) for t, m in zip(b["text"].tolist(), b["m"].tolist(), strict=True)]
             yield b[["pdf_id", "page", "text"]]
 
     met = pages.join(marks, ["pdf_id", "page"], "left")

@@ -78,6 +78,18 @@ def test_repair(spark):
     assert repair_text("a b\n\nc", []) == "a b\n\nc"
 
 
+def test_repair_every_place(spark):
+    """Two equal misreadings on one line, and a word divided over two pages."""
+    clean = "the modern office of the hidden compiler is here and the modern office stays hidden with it " * 6
+    one = "This line of the page is of the full width, so\nthe rnodern and rnodern office keeps the com-\n4"
+    two = "piler, is here in a row that is wide and so\nit ends with a word or two of the kind.\n5"
+    df = spark.createDataFrame([(1, 1, one, True), (1, 2, two, True), (1, 3, clean, False)], "pdf_id long, page int, text string, ocr_used boolean")
+    text = {r.page: r.text for r in repaired_pages(df).collect()}
+    assert text[1] == "This line of the page is of the full width, so the modern and modern office keeps the compiler,"
+    assert text[2] == "is here in a row that is wide and so it ends with a word or two of the kind."
+    assert {(r.line_no, r.kind, r.word) for r in repair_evidence(df).where("page = 1").collect()} == {(2, "char", "modern"), (2, "join", "compiler"), (3, "drop", "")}
+
+
 def _voices(rng, n, dim=32):
     centres = rng.normal(size=(12, dim))
     x = centres[np.minimum(rng.geometric(0.3, n) - 1, 11)] + 0.3 * rng.normal(size=(n, dim))
