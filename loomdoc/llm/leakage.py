@@ -113,31 +113,35 @@ def _aligned(doc: bytes, item: bytes, lo: int, hi: int, diagonals: range, n_word
             if run.count(b" ") > n_words:  # n words with a blank on either side
                 return True
     if edits:
-        w = item.split()
+        starts = [0, *(i + 1 for i, c in enumerate(item[:-1]) if c == 32 and i)]  # the item begins and ends with a blank
+        words = [i if item[i] != 32 else i + 1 for i in starts]
         around = q * (edits + 1) + edits  # an edit within the first or last q bytes spoils all q-grams up to it
-        region = doc[max(0, lo - around) : hi + around]
-        for j in range(len(w) - n_words + 1):
-            if _within(b" ".join(w[j : j + n_words]), region, edits):
+        for j in range(len(words) - n_words + 1):
+            p, z = words[j], words[j + n_words] - 1 if j + n_words < len(words) else len(item) - 1
+            # only what the band's diagonals can pair with this window, within the region of the hits
+            a, b = max(0, lo - around, p + diagonals.start - edits), min(hi + around, z + diagonals.stop + edits)
+            if b > a and _within(item[p:z], doc[a:b], edits):
                 return True
     return False
 
 
 def _within(p: bytes, t: bytes, k: int) -> bool:
-    """Whether ``p`` occurs in ``t`` with at most ``k`` edits; only cells that can stay within ``k`` are filled."""
-    big = k + 1
-    col, last = list(range(min(k, len(p)) + 1)) + [big] * max(0, len(p) - k), min(k, len(p))
+    """Whether ``p`` occurs in ``t`` with at most ``k`` edits; a column of the table is bits of whole numbers."""
+    at: dict[int, int] = {}
+    for i, c in enumerate(p):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top, d = (1 << len(p)) - 1, 1 << len(p) - 1, len(p)
+    up, down = full, 0
     for c in t:
-        prev, col[0] = col[0], 0
-        top = min(len(p), last + 1)
-        for i in range(1, top + 1):
-            cur = col[i]
-            col[i] = min(prev + (p[i - 1] != c), cur + 1, col[i - 1] + 1, big)
-            prev = cur
-        last = top
-        while last and col[last] > k:
-            last -= 1
-        if last == len(p):
+        same = at.get(c, 0)
+        level = same | down
+        across = ((same & up) + up ^ up) | same
+        more, less = down | full & ~(across | up), up & across
+        d += 1 if more & top else -1 if less & top else 0
+        if d <= k:
             return True
+        more = more << 1 & full
+        up, down = (less << 1 | ~(level | more)) & full, more & level
     return False
 
 
@@ -177,26 +181,30 @@ def leaks(text: str, ix: Index, edits: int = 0) -> list[int]:
     return sorted(out)
 
 
-def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, *, n_words: int = 12, edits: int = 0, max_items: int = 100_000) -> DataFrame:
+def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, *, n_words: int = 12, edits: int = 0, max_items: int = 20_000) -> DataFrame:
     """Distinct ``doc_id, item_id``: each document with ``n_words`` successive words of an item's passage.
 
     Words are runs of letters and digits of the canonical form; case, punctuation, markup and line
-    breaks do not matter.  ``edits`` allows single-byte edits within those words; passages too short for that many raise ``ValueError``.  Items are held
-    by every task, so their number is checked against ``max_items`` before they are read; more raise
-    ``ValueError`` and are to be given in blocks.  Null texts, ids and passages, and passages shorter than ``n_words``,
+    breaks do not matter.  ``edits`` allows single-byte edits within those words; passages too short for that many raise
+    ``ValueError``.  The index of the items is held by every task, so the items are taken in blocks of about ``max_items``, and the
+    documents are read once a block.  Null texts, ids and passages, and passages shorter than ``n_words``,
     have no row; repeated rows count once; texts of any length are read whole.
     """
-    rows = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).cast("long"), passage).limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} items: give them in blocks")
-    ix = build_index(sorted({(r[0], r[1]) for r in rows}), n_words, edits)
-    shared = docs.sparkSession.sparkContext.broadcast(ix)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        for b in batches:
-            found = [(d, index.ids[i]) for d, t in zip(b["d"].tolist(), b["t"].tolist(), strict=True) for i in leaks(t, index, edits)]
-            yield pd.DataFrame(found, columns=["doc_id", "item_id"]).astype("int64")
-
+    spark = docs.sparkSession
+    rows = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(passage).alias("p"))
+    blocks = max(1, -(-rows.count() // max_items))
     use = docs.where(F.col(doc_id).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    return use.mapInPandas(scan, "doc_id long, item_id long").distinct()
+    out = None
+    for k in range(blocks):
+        some = rows.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == k).distinct()
+        shared = spark.sparkContext.broadcast(build_index(sorted(map(tuple, some.collect())), n_words, edits))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            index = shared.value
+            for b in batches:
+                found = [(d, index.ids[i]) for d, t in zip(b["d"].tolist(), b["t"].tolist(), strict=True) for i in leaks(t, index, edits)]
+                yield pd.DataFrame(found, columns=["doc_id", "item_id"]).astype("int64")
+
+        part = use.mapInPandas(scan, "doc_id long, item_id long")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()

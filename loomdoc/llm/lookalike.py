@@ -24,6 +24,8 @@ from loomdoc.session import cut
 TWINS = {
     "Cyrillic": ("АВЕЅІЈКМНОРСТУХЬаеѕіјорсухԁԛԝһӏ", "ABESIJKMHOPCTYXbaesijopcyxdqwhl"),
     "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινϲϳ", "ABEZHIKMNOPTYXoivcj"),
+    "Armenian": ("ՕՍՏԼօոսհ", "OUSLonuh"),
+    "Cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏙᏞᏟᏢᏦᏴ", "DRTAJEWMHGZSVLCPKB"),
 }
 _LONE = {"Ь": None, "Υ": "Y", "У": "Y"}  # drawn alike but only in some founts: Ь is not folded
 
@@ -38,8 +40,8 @@ SPACES = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F,
 HYPHENS = "".join(map(chr, [0x2010, 0x2011, 0xFE63, 0xFF0D]))
 
 
-# ASCII and the composed Latin letters below the first ligature (U+0132) are settled; few ranges, as all text passes this class.
-UNSETTLED = r"[^\x00-\x7F\u00A1-\u00AC\u00AE-\u0131]"
+# ASCII and the composed Latin letters below the first ligature (U+0132) are settled, but for the soft hyphen and the micro sign.
+UNSETTLED = r"[^\x00-\x7F\u00A1-\u00AC\u00AE-\u00B4\u00B6-\u0131]"
 
 
 @cache
@@ -55,6 +57,14 @@ def tables() -> tuple[dict[int, str | None], str]:
             one.setdefault(c, "".join(chr(int(x, 16)) for x in parts))
         elif tag == "<compat>" and (c < 0x250 or 0xFB00 <= c <= 0xFB17) and len(parts) > 1 and all(unicodedata.category(chr(int(x, 16)))[0] == "L" and int(x, 16) != 0x2BC for x in parts):
             one.setdefault(c, unicodedata.normalize("NFKC", chr(c)))  # ligatures of Latin and Armenian letters
+        elif c == 0xB5 or 0x2160 <= c < 0x2180 and tag == "<compat>":
+            one.setdefault(c, unicodedata.normalize("NFKC", chr(c)))  # micro sign, Roman numerals
+    for c in [*range(0x2100, 0x2150), *range(0x1D400, 0x1D800)]:
+        if unicodedata.decomposition(chr(c)).startswith("<font>") and unicodedata.category(chr(c))[0] == "L":
+            one.setdefault(c, unicodedata.normalize("NFKC", chr(c)))  # letters of mathematical founts
+    for c, t in one.items():  # a plain letter may itself be drawn like a Latin one
+        if t and len(t) == 1 and one.get(ord(t)):
+            one[c] = one[ord(t)]
     folded = {}
     for c in range(0xA0, 0x2000):  # composed letters whose base has a twin
         d = unicodedata.normalize("NFD", chr(c))
@@ -123,39 +133,60 @@ def _canonical_batch(s: pd.Series) -> pd.Series:
 def is_unstable(text: Column) -> Column:
     """Quick check in the JVM: whether any character may change under :func:`canonical_text`.
 
-    ASCII and the composed Latin letters up to U+0131 are settled by their normalisation properties; a
-    text with any other character is looked at closer by the exact class of :func:`tables`.
+    ASCII (as many bytes as characters) and the composed Latin letters up to U+0131 are settled by their normalisation
+    properties; a text with any other character is looked at closer by the exact class of :func:`tables`.
     """
-    return text.rlike(UNSETTLED)
+    return (F.octet_length(text) > F.char_length(text)) & text.rlike(UNSETTLED)
 
 
 def canonical_text(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: the form in which texts that look the same are equal and no others.
 
     Invisible characters vanish; every kind of space is a space and every kind of hyphen a hyphen, their
-    number kept; full-width letters, ligatures and letters of other scripts drawn like Latin ones are
-    the plain letter; accents are composed.  Other accents, digits, words and letter case stay apart.
-    Null stays null and an empty text empty.  Only unstable documents are sent to Python.
+    number kept; full-width letters, letters of mathematical founts, Roman numerals, ligatures and letters of other scripts
+    drawn like Latin ones are the plain letters; accents are composed.  Other accents, digits, words and letter case stay apart.
+    Null stays null and an empty text empty.  Only the texts of unstable documents are sent to Python.
     """
-    t = F.col(text)
-    stable = df.where(t.isNull() | ~is_unstable(t)).withColumn(out, t)
-    moved = df.where(t.isNotNull() & is_unstable(t)).withColumn(out, _canonical_batch(t))
-    return stable.unionByName(moved)
+    moved = df.withColumn(out, _canonical_batch(F.when(is_unstable(F.col(text)), F.col(text))))
+    return moved.withColumn(out, F.coalesce(F.col(out), F.col(text)))
+
+
+def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``*key, form, string``: of each document with a visible text the fingerprints (128 bits) of its canonical form and of the text itself."""
+    rows = df.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    form = rows.withColumn("_m", _canonical_batch(F.when(is_unstable(F.col("_t")), F.col("_t"))))
+    s = F.unhex(F.md5("_t"))
+    f = F.when(F.col("_m").isNull(), s).otherwise(F.unhex(F.md5("_m")))
+    out = form.select(F.col("_k").alias(key), F.when(F.coalesce(F.col("_m") == "", F.lit(False)), None).otherwise(f).alias("form"), s.alias("string"))
+    return cut(out).where("form is not null")  # 40 bytes a row; feeds several branches
+
+
+def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``*key, class_id, n_strings, n_documents``: the documents of every form that two different strings have.
+
+    ``class_id`` is the smallest key of the form; a document is linked to all of its class but those of its own string.
+    Copies are not expanded into pairs, so a form with a third of all rows is as many rows.
+    """
+    c = look_classes(df, key, text)
+    per = c.groupBy("form", "string").agg(F.min(key).alias("_k"), F.count(F.lit(1)).alias("_n"))
+    per = per.groupBy("form").agg(F.min("_k").alias("class_id"), F.count(F.lit(1)).alias("n_strings"), F.sum("_n").alias("n_documents")).where("n_strings > 1")
+    return c.join(per, "form").select(key, "class_id", "n_strings", "n_documents").distinct()
 
 
 def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs ``doc_a < doc_b`` whose non-empty texts look the same but are different strings.
 
-    Texts travel as 128-bit fingerprints.  Copies of one string form one class row per string, and only
-    classes with two or more strings meet in a join, so exact copies never pair with each other; a
-    huge class of copies is joined by the class of its form and split by adaptive execution where skewed.
+    Different strings of one form are paired first, one row a string whatever its copies; then each pair of strings is
+    expanded by the documents that hold them, so exact copies never meet each other.  The result has as many rows as there are
+    such pairs of documents; :func:`lookalike_classes` states the same links in one row a document.
     Null or empty texts and texts without any visible character, and rows without a key, have no pair.
     """
-    rows = df.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    form = canonical_text(rows, "_t", "_c").where("_c != ''")
-    marks = form.select("_k", F.unhex(F.md5("_t")).alias("_s"), F.unhex(F.md5("_c")).alias("_f"))
-    marks = cut(marks)  # 40 bytes a row; feeds three branches
-    per_form = marks.groupBy("_f").agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi")).where("_lo <> _hi").select("_f")
-    some = cut(marks.join(per_form, "_f", "left_semi"))
-    a, b = (some.select("_f", F.col("_k").alias(k), F.col("_s").alias(s)) for k, s in (("doc_a", "_sa"), ("doc_b", "_sb")))
-    return a.join(b, "_f").where("_sa <> _sb and doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    c = look_classes(df, key, text).select(F.col(key).alias("_k"), "form", "string")
+    strings = c.groupBy("form", "string").agg(F.lit(1))
+    several = strings.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
+    some = cut(c.join(several, "form", "left_semi").distinct())
+    s = some.select("form", "string").distinct()
+    links = s.select("form", F.col("string").alias("_sa")).join(s.select("form", F.col("string").alias("_sb")), "form").where("_sa < _sb").select("_sa", "_sb")
+    a, b = (some.select(F.col("string").alias(s), F.col("_k").alias(k)) for s, k in (("_sa", "_a"), ("_sb", "_b")))
+    met = links.join(a, "_sa").join(b, "_sb").where("_a <> _b")
+    return met.select(F.least("_a", "_b").alias("doc_a"), F.greatest("_a", "_b").alias("doc_b")).distinct()

@@ -24,6 +24,10 @@ from loomdoc.session import cut
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Pieces that one task ranks (about).
+RANKED = 50_000
+
+
 @lru_cache(maxsize=4)
 def _encoder(path: str):
     import tiktoken
@@ -110,11 +114,12 @@ def layout(bounds: list[int], counts: list[int], capacity: int) -> list[tuple[in
     return plan
 
 
-def pack(df: DataFrame, key: str, text: str, vocabulary: str, *, capacity: int = 2048, buckets: int = 128, salts: int = 64) -> DataFrame:
+def pack(df: DataFrame, key: str, text: str, vocabulary: str, *, capacity: int = 2048, buckets: int = 128, salts: int | None = None) -> DataFrame:
     """``key, piece_no, from_token, n_tokens, bucket, container_id``: every token of every text in one container.
 
     A text of up to ``capacity`` tokens is one piece; a longer one is cut into full containers and a
-    rest.  The pieces of a container never exceed ``capacity``.  Null keys and null or empty texts have no piece;
+    rest.  The pieces of a container never exceed ``capacity``.  Ranks are counted in parts of about ``RANKED`` pieces (``salts`` sets
+    another number of parts).  Null keys and null or empty texts have no piece;
     repeated rows are packed each time; an empty table gives no container.
     """
     spark = df.sparkSession
@@ -123,11 +128,13 @@ def pack(df: DataFrame, key: str, text: str, vocabulary: str, *, capacity: int =
     cuts = F.floor((F.col("n_tokens") - 1) / capacity)
     pieces = sizes.select(key, "n_tokens", F.explode(F.sequence(F.lit(0), cuts.cast("int"))).alias("piece_no"))
     pieces = pieces.select(key, "piece_no", (F.col("piece_no") * capacity).alias("from_token"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece_no") * capacity).alias("n_tokens"))
-    pieces = cut(pieces.where("n_tokens > 0").withColumn("salt", F.pmod(F.xxhash64(key, "piece_no"), F.lit(salts)).cast("int")))
+    pieces = cut(pieces.where("n_tokens > 0"))
     hist = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("n_tokens").count().collect():  # at most ``capacity`` rows
         hist[r[0]] = r[1]
     bounds = boundaries(hist, buckets)
+    salts = salts or int(hist.sum() // RANKED + 1)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64(key, "piece_no"), F.lit(salts)).cast("int"))
     if not bounds:
         return spark.createDataFrame([], f"{key} {kind}, piece_no int, from_token int, n_tokens int, bucket int, container_id bigint")
     of = np.searchsorted(bounds, np.arange(capacity + 1))
@@ -146,11 +153,11 @@ def pack(df: DataFrame, key: str, text: str, vocabulary: str, *, capacity: int =
 
     bucket = F.element_at(F.lit(of.tolist()), F.col("n_tokens") + 1)
     pieces = pieces.withColumn("bucket", bucket.cast("int"))
-    per = pieces.groupBy("bucket", "salt").count()  # at most buckets x salts rows
+    per = pieces.groupBy("bucket", "salt").count()  # buckets x salts rows: fewer than one for 400 pieces
     w = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offset = per.select("bucket", "salt", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("off"))
     inner = Window.partitionBy("bucket", "salt").orderBy(key, "piece_no")
-    ranked = pieces.withColumn("r", F.row_number().over(inner) - 1).join(F.broadcast(offset), ["bucket", "salt"])
+    ranked = pieces.withColumn("r", F.row_number().over(inner) - 1).join(offset, ["bucket", "salt"])
     ranked = ranked.withColumn("r", F.col("r") + F.col("off"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

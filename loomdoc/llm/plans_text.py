@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.llm.leakage import leaked_items
-from loomdoc.llm.lookalike import lookalike_pairs, tables
+from loomdoc.llm.lookalike import lookalike_classes, lookalike_pairs
 from loomdoc.llm.newmail import new_lines
 from loomdoc.llm.packing import pack
 from loomdoc.llm.turns import speaker_turns
@@ -19,6 +19,11 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same links in one row a document: its class and how many strings and documents the class has."""
+    return lookalike_classes(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     mails = table(spark, sf, "emails").select("email_id", "message_id", "in_reply_to", "msg_from", "body")
     return new_lines(mails).select("email_id", "line_no").distinct()
@@ -50,21 +55,26 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(docs, "doc_id", "text", items, "item_id", "passage", n_words=12)
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_turns": p6_turns, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found}
+def p9_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with twelve words of a passage in which one character may be altered, missing or too many."""
+    docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items").select("item_id", "passage")
+    return leaked_items(docs, "doc_id", "text", items, "item_id", "passage", n_words=12, edits=1)
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_turns": p6_turns, "p8_pack": p8_pack, "p9_found": p9_found, "p9_edits": p9_edits, "p10_found": p10_found, "p10_classes": p10_classes}
 SQL: dict[str, str] = {}
 
 
 def _form_sql(column: str) -> str:
-    """The canonical form in SQL: one-to-one letters by translate, ligatures by replace, composition by NFC."""
-    one = tables()[0]
-    quote = lambda s: s.replace("'", "''")
-    pairs = [(chr(a), b) for a, b in one.items() if b and len(b) == 1]
-    gone = "".join(chr(a) for a, b in one.items() if not b)
-    text = f"translate({column}, '{quote(''.join(a for a, _ in pairs) + gone)}', '{quote(''.join(b for _, b in pairs))}')"
-    for a, b in one.items():
-        if b and len(b) > 1:
-            text = f"replace({text}, '{quote(chr(a))}', '{quote(b)}')"
-    return f"nfc_normalize({text})"
+    """The canonical form in SQL, written for itself: what the statement counts as looking the same, as literals."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F))).replace("＇", ""), "".join(map(chr, range(0x21, 0x7F))).replace("'", "")
+    twins = "АВЕЅІЈКМНОРСТХаеѕіјорсхԁԛԝһӏΑΒΕΖΗΙΚΜΝΟΡΤΧοινϲϳУуΥёЁѐЀїЇӓӒӧӦӑӐӗӖ", "ABESIJKMHOPCTXaesijopcxdqwhlABEZHIKMNOPTXoivcjYyYëËèÈïÏäÄöÖăĂĕĔ"
+    text = f"regexp_replace({column}, '[\\x{{AD}}\\x{{34F}}\\x{{61C}}\\x{{115F}}\\x{{1160}}\\x{{180B}}-\\x{{180F}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}\\x{{E0000}}-\\x{{E0FFF}}]', '', 'g')"
+    text = f"regexp_replace({text}, '[\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')"
+    text = f"regexp_replace({text}, '[\\x{{2010}}\\x{{2011}}\\x{{FE63}}\\x{{FF0D}}]', '-', 'g')"
+    for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("Ĳ", "IJ"), ("ĳ", "ij"), ("＇", "''"), ("µ", "μ")):
+        text = f"replace({text}, '{a}', '{b}')"
+    return f"nfc_normalize(translate(nfc_normalize(translate({text}, '{wide[0]}', '{wide[1]}')), '{twins[0]}', '{twins[1]}'))"
 
 
 SQL["p10_found"] = f"""
@@ -77,3 +87,8 @@ WITH t AS (
   UNION ALL SELECT 'i', item_id, regexp_extract_all(lower({_form_sql("passage")}), '[\\p{{L}}\\p{{N}}]+') FROM eval_items),
 g AS (SELECT k, id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT k, id, w, unnest(range(1, len(w) - 10)) AS i FROM t WHERE len(w) >= 12))
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g AND d.k = 'd' AND i.k = 'i'"""
+
+SQL["p10_classes"] = f"""
+WITH f AS (SELECT doc_id, text, {_form_sql("text")} AS form FROM documents WHERE text <> ''),
+c AS (SELECT form, min(doc_id) AS class_id, count(DISTINCT text) AS n_strings, CAST(count(*) AS BIGINT) AS n_documents FROM f WHERE form <> '' GROUP BY form HAVING count(DISTINCT text) > 1)
+SELECT doc_id, class_id, n_strings, n_documents FROM f JOIN c USING (form)"""

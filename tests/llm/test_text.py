@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomdoc.llm.leakage import _within, build_index, leaked_items, leaks, words_of
-from loomdoc.llm.lookalike import canonical, canonical_text, is_unstable, lookalike_pairs
+from loomdoc.llm.lookalike import canonical, canonical_text, is_unstable, lookalike_classes, lookalike_pairs
 from loomdoc.llm.newmail import NEAR, PARTS, inherited, near_matches, new_lines, partition_pairs, read_mail, simhashes
 from loomdoc.llm.packing import boundaries, layout, pack
 from loomdoc.llm.turns import clean_segment, drop_rolling, segments_clean, speaker_of, speaker_turns
@@ -53,6 +53,10 @@ def test_pairs(spark):
     want = {(a, b) for a in texts for b in texts if a < b and texts[a] != texts[b] and canonical(texts[a]) == canonical(texts[b]) != ""}
     assert {tuple(r) for r in lookalike_pairs(df, "doc_a", "doc_b").collect()} == want
     assert lookalike_pairs(df.limit(0), "doc_a", "doc_b").count() == 0
+    linked = {x for p in want for x in p}
+    got = {r.doc_a: (r.class_id, r.n_strings) for r in lookalike_classes(df, "doc_a", "doc_b").collect()}
+    assert set(got) == linked and all(got[a][0] == got[b][0] <= a and got[a][1] >= 2 for a, b in want)
+    assert lookalike_classes(df.limit(0), "doc_a", "doc_b").count() == 0
     out = canonical_text(df, "doc_b", "c")
     assert out.count() == len(rows) and out.where(~is_unstable(F.col("doc_b")) & (F.col("c") != F.col("doc_b"))).count() == 0
 
@@ -81,8 +85,8 @@ def test_leaks_against_brute_force(spark):
     want = {(d, i) for d, t in docs for w in [words_of(t or "")] for j in range(len(w) - 11) for i in runs.get(tuple(w[j : j + 12]), ())}
     got = leaked_items(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(items, "i long, p string"), "i", "p")
     assert {tuple(r) for r in got.collect()} == want and want
-    with pytest.raises(ValueError):
-        leaked_items(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(items, "i long, p string"), "i", "p", max_items=5)
+    blocks = leaked_items(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(items, "i long, p string"), "i", "p", max_items=12)
+    assert {tuple(r) for r in blocks.collect()} == want
 
 
 def test_leaks_with_edits():
