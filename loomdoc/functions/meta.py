@@ -9,9 +9,9 @@ from loomdoc.functions.text import STRIP, S, apply
 
 # The order in which frontmatter keys come first.
 KEY_ORDER = (
-    "title video_id url channel channel_url uploader upload_date duration duration_human language location availability live_status view_count like_count "
-    "comment_count channel_follower_count thumbnail categories tags subtitles auto_captions chapters description fetched_at"
-).split()
+    "title", "video_id", "url", "channel", "channel_url", "uploader", "upload_date", "duration", "duration_human", "language", "location", "availability", "live_status",
+    "view_count", "like_count", "comment_count", "channel_follower_count", "thumbnail", "categories", "tags", "subtitles", "auto_captions", "chapters", "description", "fetched_at",
+)
 SPECIAL = r"""[:#{}\[\]&*?|\->!%@`"',\n]"""
 # Converter of each file suffix.
 CONVERTERS = {
@@ -78,6 +78,36 @@ def html_meta(page: Column, name: str) -> Column:
     return F.coalesce(one(a), one(b))
 
 
+def page_meta(page: Column, name: str) -> Column:
+    """Content of the meta tag ``name`` as pages for sharing write it: ``name`` or ``property``, with or without ``og:``, either order of attributes.
+
+    The kinds are tried in that order; the first tag of a kind counts, even if its content is empty.
+    """
+    quote, some = "[\"']", "([^\"']*)"
+    tag = lambda first, second: rf"(?i)<meta{S}+{first}{second}"
+    kinds = []
+    for attribute, prefix in (("name", "(?:og:)?"), ("property", "og:")):
+        named, content = f"{attribute}={quote}{prefix}{name}{quote}", f"content={quote}{some}{quote}"
+        kinds += [tag(named, f"{S}+{content}"), tag(content, f"[^>]*{named}")]
+    return F.coalesce(*[F.when(page.rlike(k), apply(F.regexp_extract(page, k, 1), STRIP)) for k in kinds])
+
+
+def page_fields(page: Column, url: Column) -> Column:
+    """Title (shared title before the page's own), description, author and site name of a page; empty ones null."""
+    title = apply(F.regexp_extract(page, r"(?i)<title[^>]*>([^<]+)</title>", 1), STRIP)
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.struct(
+        F.coalesce(some(page_meta(page, "title")), some(title)).alias("title"), some(page_meta(page, "description")).alias("description"),
+        some(page_meta(page, "author")).alias("author"), sitename(url).alias("sitename"),
+    )
+
+
+def input_kind(path: Column, exists: Column) -> Column:
+    """``youtube`` for video addresses, eleven-character ids and whatever is no file; else ``file``."""
+    video = path.rlike(_VIDEO_URL.replace("([a-zA-Z0-9_-]{11})", "")) | path.rlike(r"^[A-Za-z0-9_-]{11}$")
+    return F.when(video | ~F.coalesce(exists, F.lit(False)), "youtube").otherwise("file")
+
+
 def sitename(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"https?://(?:www\.)?([^/]+)", 1), F.lit(""))
 
@@ -86,11 +116,15 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]+)$", 1))
 
 
-def detect_converter(path: Column) -> Column:
-    """Which converter a path or URL is for; an empty string if none.  An eleven-character id is a video id before its suffix counts."""
+def detect_converter(path: Column, has_git: Column | None = None) -> Column:
+    """Which converter a path or URL is for; an empty string if none.  An eleven-character id is a video id before its suffix counts.
+
+    ``has_git`` tells which paths are folders with a ``.git`` in them: those are ``repo``.
+    """
     table = F.create_map(*[F.lit(x) for kv in CONVERTERS.items() for x in kv])
     url = F.when(path.rlike(_VIDEO_URL), "yt").otherwise("web")
-    return F.when(path.rlike(r"(?i)^https?://"), url).when(path.rlike(r"^[A-Za-z0-9_-]{11}$"), "yt").otherwise(F.coalesce(F.try_element_at(table, suffix(path)), F.lit("")))
+    repo = F.lit(False) if has_git is None else F.coalesce(has_git, F.lit(False))
+    return F.when(repo, "repo").when(path.rlike(r"(?i)^https?://"), url).when(path.rlike(r"^[A-Za-z0-9_-]{11}$"), "yt").otherwise(F.coalesce(F.try_element_at(table, suffix(path)), F.lit("")))
 
 
 def video_id(url: Column) -> Column:

