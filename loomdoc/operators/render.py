@@ -66,6 +66,18 @@ def table_section(df: DataFrame, name: str, order: Sequence[str], *, schema_sql:
     return total.crossJoin(body).select(F.lit(name).alias("name"), F.col("n").alias("n_rows"), text.alias("section"))
 
 
+def fixed_table(df: DataFrame, columns: Sequence[str], order: Sequence[str], *, max_rows: int = 500) -> DataFrame:
+    """One row ``content``: rows as a listing of fixed width, columns as wide as their widest cell or name, two blanks apart."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(f"_{i}") for i, c in enumerate(columns)]
+    shown = df.orderBy(*order).limit(max_rows).withColumn("_o", F.row_number().over(Window.orderBy(*order))).select("_o", *cells)  # at most max_rows rows
+    widths = shown.agg(*[F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(f"_{i}")), F.lit(0))).alias(f"w{i}") for i, c in enumerate(columns)])
+    names = range(len(columns))
+    line = lambda cell: F.concat_ws("  ", *[F.rpad(cell(i), F.col(f"w{i}"), F.lit(" ")) for i in names])
+    body = shown.crossJoin(F.broadcast(widths)).agg(joined(line(lambda i: F.col(f"_{i}")), F.col("_o")).alias("b"))  # one row of widths
+    head = F.concat_ws("\n", line(lambda i: F.lit(columns[i])), F.concat_ws("  ", *[F.repeat(F.lit("-"), F.col(f"w{i}")) for i in names]))
+    return widths.select(head.alias("h")).crossJoin(body).select(F.concat_ws("\n", "h", F.nullif("b", F.lit(""))).alias("content"))
+
+
 def segments_srt(df: DataFrame, key: str, order: Sequence[str], start_ms: str, end_ms: str, text: str, speaker: str | None = None) -> DataFrame:
     """``key, content``: the segments of each key as SRT, numbered from 1 in order, optionally with ``[speaker]``."""
     w = Window.partitionBy(key).orderBy(*order)

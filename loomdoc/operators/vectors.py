@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdoc.session import BROADCAST_ROWS
-
 # Distances up to which a match is of high confidence or accepted, accepted in plain matching, and rows a gallery keeps.
 HIGH, LOW, MATCH, KEEP = 0.15, 0.30, 0.55, 20
 #: Most rows and queries (about) that one cell of the exact search compares.
@@ -33,26 +33,84 @@ def normalize(v: Column) -> Column:
     return F.when(n < 1e-10, v).otherwise(F.transform(v, lambda x: x / n))
 
 
-def mean_vectors(df: DataFrame, key: str, vec: str, weight: Column | None = None) -> DataFrame:
-    """``key, centroid``: the (weighted) mean of unit vectors, again of unit length.
+#: Keys whose partial sums one task holds before it passes them on.
+HELD = 4096
+
 
-    Positions are summed by a hash aggregate that combines before the shuffle, so a key with a third of
-    all rows sends one partial sum per position and task.
+def _means(df: DataFrame, key: str, vec: str, weight: Column, unit: bool) -> DataFrame:
+    """``key, centroid``: weighted means, position by position, scaled to unit length; ``unit`` scales each vector first.
+
+    Tasks add up whole vectors by key in Arrow batches, so what is shuffled is one sum a key and task: a key with a third of
+    all rows is combined before it is sent.  Vectors of one key may differ in length; null vectors and numbers do not count.
     """
-    w = F.lit(1.0) if weight is None else weight
-    d = df.select(key, w.alias("_w"), F.posexplode(normalize(doubles(F.col(vec)))).alias("_i", "_x"))
-    m = d.groupBy(key, "_i").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_m"))
-    v = m.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_c"))
-    return v.select(key, normalize(F.col("_c")).alias("centroid"))
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"), weight.cast("double").alias("w"))
+    schema = f"k {kind}, s array<double>, w array<double>"
+
+    def table(held: dict) -> pa.RecordBatch:
+        keys, sums = pa.array(list(held), type=arrow_key), list(held.values())
+        return pa.RecordBatch.from_arrays([keys, pa.array([s for s, _ in sums], pa.list_(pa.float64())), pa.array([w for _, w in sums], pa.list_(pa.float64()))], ["k", "s", "w"])
+
+    def add(held: dict, k: object, x: np.ndarray, w: np.ndarray) -> None:
+        if k not in held:
+            held[k] = x, w
+            return
+        s, t = held[k]
+        if len(s) < len(x):
+            (s, t), (x, w) = (x, w), (s, t)
+        s, t = s.copy(), t.copy()
+        s[: len(x)] += x
+        t[: len(x)] += w
+        held[k] = s, t
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            n = np.asarray(b.column("v").value_lengths())
+            flat = b.column("v").flatten().to_numpy(zero_copy_only=False)
+            at = np.concatenate(([0], np.cumsum(n)))
+            ks, ws = b.column("k").to_pylist(), b.column("w").to_numpy(zero_copy_only=False)
+            groups: dict = {}
+            for i, (k, m) in enumerate(zip(ks, n.tolist(), strict=True)):
+                groups.setdefault((k, m), []).append(i)
+            for (k, m), rows in groups.items():
+                x = np.stack([flat[at[i] : at[i] + m] for i in rows]) if m else np.empty((len(rows), 0))
+                w = np.repeat(ws[rows][:, None], m, axis=1)
+                if unit:
+                    size = np.sqrt(np.nansum(x * x, axis=1))[:, None]
+                    x = np.where(size < 1e-10, x, x / np.maximum(size, 1e-300))
+                w = np.where(np.isnan(x), 0.0, w)
+                add(held, k, np.nansum(x * w, axis=0), w.sum(0))
+            if len(held) > HELD:
+                yield table(held)
+                held = {}
+        yield table(held)
+
+    def total(t: pa.Table) -> pa.Table:
+        held: dict = {}
+        for s, w in zip(t.column("s").to_pylist(), t.column("w").to_pylist(), strict=True):
+            add(held, 0, np.array(s, float), np.array(w, float))
+        s, w = held[0]
+        m = s / np.where(w == 0, np.nan, w)
+        m = m[~np.isnan(m)]
+        size = np.sqrt((m * m).sum())
+        m = m if size < 1e-10 else m / size
+        return pa.table({"k": t.column("k")[:1], "centroid": pa.array([m.tolist()], pa.list_(pa.float64()))})
+
+    arrow_key = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16(), "double": pa.float64()}[kind]
+    sums = rows.mapInArrow(partial, schema)
+    return sums.groupBy("k").applyInArrow(total, f"k {kind}, centroid array<double>").where(F.size("centroid") > 0).withColumnRenamed("k", key)
+
+
+def mean_vectors(df: DataFrame, key: str, vec: str, weight: Column | None = None) -> DataFrame:
+    """``key, centroid``: the (weighted) mean of unit vectors, again of unit length."""
+    return _means(df, key, vec, F.lit(1.0) if weight is None else weight, True)
 
 
 def weighted_mean(df: DataFrame, key: str, vec: str, start: str, end: str) -> DataFrame:
     """Mean by duration (at least 1e-6); null and zero vectors do not count, a key without others has no row."""
     usable = df.where(F.col(vec).isNotNull() & (norm(doubles(F.col(vec))) >= 1e-10))
-    d = usable.select(key, F.greatest(F.col(end) - F.col(start), F.lit(1e-6)).alias("_w"), F.posexplode(doubles(F.col(vec))).alias("_i", "_x"))
-    m = d.groupBy(key, "_i").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_m"))
-    v = m.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_c"))
-    return v.select(key, normalize(F.col("_c")).alias("centroid"))
+    return _means(usable, key, vec, F.greatest(F.col(end) - F.col(start), F.lit(1e-6)), False)
 
 
 def distance_stats(df: DataFrame, key: str, vec: str, centroids: DataFrame) -> DataFrame:
@@ -64,17 +122,11 @@ def distance_stats(df: DataFrame, key: str, vec: str, centroids: DataFrame) -> D
 def nearest_centroid(queries: DataFrame, query_id: str, vec: str, centroids: DataFrame, name: str, *, threshold: float = MATCH) -> DataFrame:
     """``query_id, name, distance``: the nearest centroid within ``threshold``, null where there is none; ties to the smaller name.
 
-    The centroids are a dimension of a checked size and are sent to every task; beyond the bound this raises and the
-    inverted-file search is to be used.
+    An exact search in cells (:func:`knn`); the centroids may be any number.
     """
-    if centroids.count() > BROADCAST_ROWS:
-        raise ValueError("too many centroids to compare all; use an index")
-    c = centroids.select(F.col(name).alias("_n"), normalize(doubles(F.col("centroid"))).alias("_c"))
-    q = queries.select(query_id, normalize(doubles(F.col(vec))).alias("_q"))
-    met = q.crossJoin(F.broadcast(c)).select(query_id, F.struct((1 - dot(F.col("_q"), F.col("_c"))).alias("d"), F.col("_n").alias("n")).alias("m"))
-    best = met.groupBy(query_id).agg(F.min("m").alias("m"))
-    ok = F.col("m.d") <= threshold
-    return queries.select(query_id).join(best, query_id, "left").select(query_id, F.when(ok, F.col("m.n")).alias(name), F.when(ok, F.col("m.d")).alias("distance"))
+    best = knn(queries, query_id, vec, centroids, name, "centroid", k=1)
+    ok = F.col("distance") <= threshold
+    return queries.select(query_id).distinct().join(best, query_id, "left").select(query_id, F.when(ok, F.col(name)).alias(name), F.when(ok, F.col("distance")).alias("distance"))
 
 
 def knn(queries: DataFrame, query_id: str, vec: str, base: DataFrame, base_id: str, base_vec: str, *, k: int = 5) -> DataFrame:

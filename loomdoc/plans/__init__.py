@@ -1,5 +1,5 @@
 """Named queries and, where SQL can state them, their oracles."""
 
-from loomdoc.plans import conversion, documents, routing, sequences, training
+from loomdoc.plans import catalogs, conversion, documents, formats, routing, sequences, training
 
-PLANS = [conversion, documents, routing, sequences, training]
+PLANS = [catalogs, conversion, documents, formats, routing, sequences, training]

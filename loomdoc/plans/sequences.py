@@ -102,12 +102,6 @@ def centroid_stats(spark, sf):
     return s.select("label", "enrollment_count", F.round("mean_distance", 6).alias("mean_distance"), F.round("std_distance", 6).alias("std_distance"))
 
 
-def weighted_centroid(spark, sf):
-    e = table(spark, sf, "enrollments").where("enrollment_id is not null and size(embedding) = 256").groupBy("enrollment_id").agg(*[F.min(c).alias(c) for c in ("speaker_id", "segment_start", "segment_end")], F.first("embedding").alias("embedding"))
-    c = vectors.weighted_mean(e.where("speaker_id is not null and segment_start is not null and segment_end is not null"), "speaker_id", "embedding", "segment_start", "segment_end")
-    return c.select("speaker_id", F.round(F.get("centroid", F.lit(0)), 5).alias("x0"), F.round(F.get("centroid", F.lit(255)), 5).alias("x255"))
-
-
 def speaker_classify(spark, sf):
     c = vectors.mean_vectors(_emb(spark, sf), "label", "embedding")
     m = vectors.nearest_centroid(_emb(spark, sf), "vec_id", "embedding", c, "label", threshold=2.0)
@@ -164,18 +158,9 @@ def speakers_by_name(spark, sf):
     return table(spark, sf, "speakers").select("id", "name", F.coalesce(F.substring("last_seen_at", 1, 10), F.lit("-")).alias("last_seen"))
 
 
-def merge_speakers(spark, sf):
-    """Enrollment counts after the speaker with the smallest name became the one with the largest."""
-    s, e = table(spark, sf, "speakers"), table(spark, sf, "enrollments").select("enrollment_id", "speaker_id").where("enrollment_id is not null").distinct()
-    ends = s.agg(F.min("name").alias("a"), F.max("name").alias("b"))
-    ids = s.join(F.broadcast(ends), F.col("name").isin(F.col("a"), F.col("b"))).agg(F.max(F.when(F.col("name") == F.col("a"), F.col("id"))).alias("f"), F.max(F.when(F.col("name") == F.col("b"), F.col("id"))).alias("t"))
-    moved = e.crossJoin(F.broadcast(ids)).select("enrollment_id", F.when(F.col("speaker_id") == F.col("f"), F.col("t")).otherwise(F.col("speaker_id")).alias("speaker_id"))  # one row
-    return moved.where("speaker_id is not null").groupBy("speaker_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 QUERIES = {f.__name__: f for f in (
     run_merge, gap_merge, diarization_merge, phrase_cut, overlap_assign, dialog_srt, dialog_markdown, dialog_text, timestamp_formats, speaker_order, attendance, page_dates, vec_normalize,
-    centroid_stats, weighted_centroid, speaker_classify, knn_top5, speaker_identify, gallery_prune, group_member_counts, group_members, correlated_count, next_unknown, speakers_by_name, merge_speakers,
+    centroid_stats, speaker_classify, knn_top5, speaker_identify, gallery_prune, group_member_counts, group_members, correlated_count, next_unknown, speakers_by_name,
 )}
 
 _E = "SELECT *, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events"
@@ -250,7 +235,4 @@ SELECT id AS vec_id, speaker_id, m.name, enrollment_id, distance, CASE WHEN dist
     "correlated_count": "SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers FROM nation",
     "next_unknown": "SELECT 'Unknown_' || (coalesce(max(CASE WHEN regexp_matches(name, '^Unknown_\\d+$') THEN CAST(substr(name, 9) AS INT) END), -1) + 1) AS name FROM speakers",
     "speakers_by_name": "SELECT id, name, coalesce(substr(last_seen_at, 1, 10), '-') AS last_seen FROM speakers",
-    "merge_speakers": """
-WITH i AS (SELECT arg_min(id, name) AS f, arg_max(id, name) AS t FROM speakers), e AS (SELECT DISTINCT enrollment_id, speaker_id FROM enrollments WHERE enrollment_id IS NOT NULL)
-SELECT CASE WHEN speaker_id = f THEN t ELSE speaker_id END AS speaker_id, count(*) AS n FROM e, i WHERE speaker_id IS NOT NULL GROUP BY 1""",
 }

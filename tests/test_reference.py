@@ -72,7 +72,7 @@ def test_markup():
     assert m == {"title": "Tit", "author": "A"} and md == "# Tit\n\n## Sub\n\n```py\nx = 1\n```\n\nend `c` [t](u)"
     nb = {"cells": [{"cell_type": "markdown", "source": ["# N\n", "t"]}, {"cell_type": "code", "source": "1+1", "outputs": [{"output_type": "execute_result", "data": {"text/plain": "2"}}]}], "metadata": {}}
     md, m = markup.notebook(json.dumps(nb))
-    assert md == "# N\nt\n\n```python\n1+1\n```\n\n```result\n2\n```" and m["title"] == "N" and m["code_cells"] == 1
+    assert md == "# N\nt\n\n```python\n1+1\n```\n\n```result\n2\n```" and m["title"] == "N" and m["code_cell_count"] == 1
     raw = "From: A B <a@x>\nTo: c@y\nSubject: =?utf-8?b?w6k=?=\nDate: Mon, 1 Jan 2024 10:00:00 +0100\nContent-Type: text/html\n\n<h1>T</h1><p>x <a href=\"u\">y</a></p>"
     body, m = markup.mail(raw)
     assert m["subject"] == "é" and m["date"] == "2024-01-01T09:00:00Z" and body == "# T\n\nx [y](u)"
