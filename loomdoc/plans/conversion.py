@@ -19,9 +19,11 @@ def mail_convert(spark, sf):
 
 
 def json_convert(spark, sf):
+    """Each event's properties as a JSON file and as the document it becomes."""
     e = table(spark, sf, "events").where("props is not null").select(F.concat(F.lit("event-number-"), F.col("event_id").cast("string"), F.lit(".json")).alias("source"), F.encode("props", "UTF-8").alias("content"))
     out = convert(e)
-    return out.select(F.regexp_extract("source", r"-(\d+)\.", 1).cast("long").alias("event_id"), F.get_json_object("frontmatter", "$.nesting_depth").cast("int").alias("depth"), F.col("content").startswith("- **").alias("flat"))
+    at = lambda p: F.get_json_object("frontmatter", p)
+    return out.select(F.regexp_extract("source", r"-(\d+)\.", 1).cast("long").alias("event_id"), at("$.key_count").cast("int").alias("key_count"), at("$.file_size").cast("int").alias("n_bytes"), "content")
 
 
 def documents_convert(spark, sf):
@@ -46,7 +48,7 @@ QUERIES = {f.__name__: f for f in (mail_convert, json_convert, documents_convert
 
 SQL = {
     "mail_convert": rf"SELECT email_id, '<' || email_id || '@x>' AS message_id, regexp_replace(replace(body, chr(13), ''), '^{S}+|{S}+$', '', 'g') AS body FROM emails WHERE body IS NOT NULL",
-    "json_convert": "SELECT event_id, 1 AS depth, true AS flat FROM events WHERE props IS NOT NULL",
+    "json_convert": "SELECT event_id, CAST(len(json_keys(props)) AS INT) AS key_count, CAST(strlen(props) AS INT) AS n_bytes, array_to_string(list_transform(json_keys(props), lambda k: '- **' || k || '**: ' || coalesce(json_extract_string(props, '$.\"' || k || '\"'), 'None')), chr(10)) AS content FROM events WHERE props IS NOT NULL",
     "event_sessions": """
 WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)

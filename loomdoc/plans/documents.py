@@ -119,7 +119,7 @@ def db_sections(spark, sf):
 
 
 #: Tables that the profile counts.
-PROFILED = "region nation customer supplier part orders lineitem events documents embeddings emails web_pages diarized_segments transcript_segments pdf_pages enrollments speakers".split()
+PROFILED = "region nation customer supplier part orders lineitem events documents embeddings emails web_pages diarized_segments transcript_segments pdf_pages enrollments speakers mailboxes clip_speakers eval_items".split()
 
 
 def db_profile(spark, sf):
@@ -147,8 +147,10 @@ def json_profile(spark, sf):
 
 
 def json_key_value(spark, sf):
-    k = F.get(F.json_object_keys("props"), F.lit(0))
-    return table(spark, sf, "events").where("props is not null").select("event_id", F.concat(F.lit("- **"), k, F.lit("**: "), F.regexp_extract("props", r":\s*([^,}]+)", 1)).alias("line"))
+    """Every key and value of each event's properties as a list."""
+    pairs = F.map_entries(F.from_json("props", "map<string,string>"))
+    lines = F.transform(pairs, lambda e: F.concat(F.lit("- **"), e["key"], F.lit("**: "), F.coalesce(e["value"], F.lit("None"))))
+    return table(spark, sf, "events").where("props is not null").select("event_id", F.array_join(lines, "\n").alias("lines"))
 
 
 def fields_projection(spark, sf):
@@ -158,7 +160,10 @@ def fields_projection(spark, sf):
 
 
 def envelope_rows(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.get_json_object(meta.envelope(F.struct("lang"), F.col("text"), F.col("source"), "data"), "$.converter").alias("converter"))
+    """What each part of the envelope holds, read back from its JSON."""
+    e = table(spark, sf, "documents").select("doc_id", meta.envelope(F.struct("lang", "n_chars"), F.col("text"), F.col("source"), "data").alias("j"))
+    at = lambda p: F.get_json_object("j", p)
+    return e.select("doc_id", at("$.frontmatter.lang").alias("lang"), at("$.frontmatter.n_chars").cast("long").alias("n_chars"), F.md5(at("$.content")).alias("content_md5"), at("$.source").alias("source"), at("$.converter").alias("converter"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -246,7 +251,7 @@ SQL = {
  FROM (SELECT pdf_id, page, min(text) AS t, bool_or(is_thin) AS thin FROM pdf_pages GROUP BY ALL) GROUP BY pdf_id""",
     "pages_text": "SELECT pdf_id, string_agg(t, chr(10) || chr(10) ORDER BY page) AS content FROM (SELECT pdf_id, page, min(text) AS t FROM pdf_pages GROUP BY ALL) WHERE t <> '' GROUP BY pdf_id",
     "json_profile": "SELECT event_id, CAST(len(k) AS INT) AS key_count, array_to_string(k, ',') AS keys, CAST(strlen(props) AS INT) AS n_bytes FROM (SELECT event_id, props, json_keys(props) AS k FROM events)",
-    "json_key_value": r"SELECT event_id, '- **' || json_keys(props)[1] || '**: ' || regexp_extract(props, ':\s*([^,}]+)', 1) AS line FROM events WHERE props IS NOT NULL",
+    "json_key_value": "SELECT event_id, array_to_string(list_transform(json_keys(props), lambda k: '- **' || k || '**: ' || coalesce(json_extract_string(props, '$.\"' || k || '\"'), 'None')), chr(10)) AS lines FROM events WHERE props IS NOT NULL",
     "fields_projection": "SELECT doc_id, source, lang, CAST(NULL AS VARCHAR) AS none FROM documents",
-    "envelope_rows": "SELECT doc_id, 'data' AS converter FROM documents",
+    "envelope_rows": "SELECT doc_id, lang, n_chars, md5(text) AS content_md5, source, 'data' AS converter FROM documents",
 }

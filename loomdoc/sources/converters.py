@@ -304,7 +304,7 @@ def _convert(name: str, tool: str, data: bytes, max_rows: int = 500, max_col_wid
 def mbox_messages(data: bytes) -> list[bytes]:
     """The messages of a mailbox file: each begins with a line ``From `` at its start or behind an empty line."""
     starts = [m.start() for m in re.finditer(rb"(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]*\n", data)]
-    return [data[a:z].partition(b"\n")[2].rstrip(b"\r\n") for a, z in zip(starts, [*starts[1:], len(data)], strict=True)]
+    return [data[a:z].partition(b"\n")[2].rstrip(b"\r\n") for a, z in zip(starts, [*starts, len(data)][1:], strict=True)]
 
 
 def convert(df: DataFrame, source: str = "source", content: str = "content", *, style: str = "body", max_rows: int = 500, max_col_width: int = 0, fetched_at: str | None = None) -> DataFrame:

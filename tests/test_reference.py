@@ -35,6 +35,11 @@ def test_paths_and_dates(spark):
     assert one(spark, meta.detect_converter(F.lit("file.unknown"))) == ""
     assert one(spark, meta.video_id(F.lit("https://www.youtube.com/watch?v=dQw4w9WgXcQ&t=1"))) == "dQw4w9WgXcQ"
     assert one(spark, meta.page_range(F.lit("1-3,8,2,10-12"), F.lit(10))) == [0, 1, 2, 7, 9]
+    assert one(spark, meta.detect_converter(F.lit("some/folder"), F.lit(True))) == "repo"
+    assert one(spark, meta.input_kind(F.lit("notes of the day.wav"), F.lit(True))) == "file" and one(spark, meta.input_kind(F.lit("https://youtu.be/dQw4w9WgXcQ"), F.lit(True))) == "youtube"
+    page = F.lit("<meta property='og:title' content=' Shared '><meta content=\"By Al\" data-x='1' name=\"author\"><title>Own</title>")
+    got = one(spark, meta.page_fields(page, F.lit("https://www.a.org/x")))
+    assert (got.title, got.description, got.author, got.sitename) == ("Shared", None, "By Al", "a.org")
     assert one(spark, meta.pdf_date(F.lit("D:20240131120000Z"))) == "2024-01-31"
     assert one(spark, meta.clock(F.lit(3725.9))) == "01:02:05"
     assert one(spark, meta.clock_srt(F.lit(3725042).cast("long"))) == "01:02:05,042"
@@ -200,6 +205,71 @@ def test_catalog(spark):
     assert catalog.add_rows(s, spark.createDataFrame([("9", "Al"), ("8", "Cy")], "id string, name string"), ["name"]).count() == 4
 
 
+def test_whole_catalog(spark, tmp_path):
+    """The catalog from its first speaker on: enrolment, centroids, groups, merge, pruning, migration, what is refused."""
+    at = "2024-01-01T00:00:00Z"
+    c = catalog.Catalog.empty(spark).add_speaker("Al", at, "1").add_speaker("Bo", at, "2").add_speaker("Cy", at, "3")
+    with pytest.raises(ValueError):
+        c.add_speaker("Al", at, "9")
+    e = spark.createDataFrame([(f"e{i}", "1" if i < 3 else "2", [1.0, 0.1 * i], f"2024-01-0{i + 1}") for i in range(6)] + [("x", "none", [1.0, 0.0], at)], "id string, speaker_id string, embedding array<double>, created_at string")
+    c = c.enroll(e.withColumn("embedding", F.col("embedding").cast("array<float>")), at)
+    got = {r.name: (r.enrollment_count, r.centroid) for r in c.speakers().collect()}
+    assert got["Al"][0] == got["Bo"][0] == 3 and got["Cy"] == (0, None) and c.frames["enrollments"].count() == 6
+    assert sum(x * x for x in got["Al"][1]) == pytest.approx(1.0)
+    c.save(str(tmp_path / "one"))
+    c = catalog.Catalog.open(spark, str(tmp_path / "one"))
+    assert c.version() == catalog.VERSION and c.speakers().count() == 3 and catalog.Catalog.open(spark, str(tmp_path / "nothing")).speakers().count() == 0
+    old = catalog.Catalog(c.frames | {"speakers": c.frames["speakers"].drop("mean_distance", "std_distance"), "schema_version": spark.createDataFrame([(1,)], "version int")}).migrated()
+    assert old.version() == catalog.VERSION and "std_distance" in old.frames["speakers"].columns
+    g = c.create_group("team", at, "g").add_member("team", "Al", at).add_member("team", "Al", at).add_member("team", "Bo", at)
+    assert [r.name for r in g.members("team").collect()] == ["Al", "Bo"] and [r.name for r in g.named("Zed,@team").orderBy("pos").collect()] == ["Zed", "Al", "Bo"]
+    assert [r.name for r in g.remove_member("team", "Bo").members("team").collect()] == ["Al"] and g.delete_group("team").groups().count() == 0
+    for wrong in (lambda: g.create_group("team", at, "h"), lambda: g.delete_group("no"), lambda: g.remove_member("team", "Cy"), lambda: g.named("@no"), lambda: g.merge("Al", "Al", at), lambda: g.remove_speaker("no")):
+        with pytest.raises(ValueError):
+            wrong()
+    m = g.merge("Al", "Bo", at)
+    assert [(r.name, r.enrollment_count) for r in m.speakers().collect()] == [("Bo", 6), ("Cy", 0)] and [r.name for r in m.members("team").collect()] == ["Bo"]
+    assert m.pruned(at, keep=2).speaker("Bo").first().enrollment_count == 2 and {r.id for r in m.pruned(at, keep=2).frames["enrollments"].collect()} == {"e4", "e5"}
+    assert m.seen(["2"], "later").speaker("Bo").first().meeting_count == 1
+    seg = spark.createDataFrame([("m", 0, [1.0, 0.4], 0.0, 9.0), ("m", 1, [-1.0, 0.0], 0.0, 1.0), ("m", 2, None, 0.0, 1.0)], "meeting string, label int, v array<double>, s double, e double")
+    found = catalog.identify(seg, "meeting", "label", "v", "s", "e", m)
+    got = {r.label: (r.name, r.matched, r.high_conf) for r in found.collect()}
+    assert got == {0: ("Bo", True, True), 1: ("1", False, False), 2: ("2", False, False)}
+    assert {r.name for r in catalog.identify(seg, "meeting", "label", "v", "s", "e", m, names=["Cy"]).collect()} == {"Unknown"}
+    after = catalog.learn(m, found, "meeting", "later")
+    assert after.speaker("Bo").first().enrollment_count == 7 and after.speaker("Bo").first().meeting_count == 1
+    want = spark.createDataFrame([("Bo",), ("Cy",)], "name string")
+    assert {tuple(r) for r in catalog.expected_report(found, want).collect()} == {("Bo", "identified"), ("Cy", "missing"), ("1", "unidentified"), ("2", "unidentified")}
+    assert one(spark, catalog.from_blob(catalog.to_blob(F.array(F.lit(0.5), F.lit(-2.0))))) == [0.5, -2.0]
+    assert render.fixed_table(c.speakers(), ["name", "enrollment_count"], ["name"]).first().content.split("\n")[0] == "name  enrollment_count"
+
+
+def test_documents_of_files(spark, tmp_path):
+    p = str(tmp_path / "shop.db")
+    with sqlite3.connect(p) as c:
+        c.execute("CREATE TABLE t (id INT, b BLOB)")
+        c.execute("INSERT INTO t VALUES (1, x'00'), (2, NULL)")
+        c.execute("CREATE VIEW v AS SELECT id FROM t WHERE id > 5")
+    box = b"From a@x Mon\nSubject: one\n\nbody\n\nFrom b@x Tue\nSubject: two\n\nThe text\nFrom here says it\n"
+    df = spark.createDataFrame([(p, open(p, "rb").read()), ("mails-of-may.mbox", box), ("none-of-it.mbox", b""), ("bad-file-1.db", b"no database")], "source string, content binary")
+    got = {r.source: r for r in converters.convert(df, style="md", fetched_at="now").collect()}
+    text = got[p].content
+    assert "# shop.db\n\n## `t`\n\n### Schema\n\n```sql\nCREATE TABLE t (id INT, b BLOB)\n```\n\n### Data (2 rows)\n\n| id | b |\n| --- | --- |\n| 1 | [BLOB: 1 bytes] |\n| 2 |  |\n\n_2 rows._\n" in text
+    assert "## `v` _(view)_" in text and "_No rows._" in text and "table_count: 2\ntotal_rows: 2" in text
+    assert {s for s in got if "mbox" not in s and s.startswith("mails")} == {"mails-of-may_001.eml", "mails-of-may_002.eml"}
+    assert got["mails-of-may_002.eml"].content.endswith("# two\n\nThe text\nFrom here says it") and got["bad-file-1.db"].error
+    plain = converters.convert(df.where("source like '%shop.db'"), style="txt").first().content
+    assert "|" not in plain.split("Data (2 rows)")[1].split("_")[0].replace(" | ", "")
+
+
+def test_write_files(spark, tmp_path):
+    from loomdoc.sources.sinks import write_files
+
+    df = spark.createDataFrame([("a/b.md", "x\ny"), ("c.md", None), (None, "z")], "n string, t string")
+    write_files(df, str(tmp_path / "out"), "n", "t")
+    assert (tmp_path / "out/a/b.md").read_text() == "x\ny" and (tmp_path / "out/c.md").read_text() == ""
+
+
 def test_sessions_batch(spark):
     df = spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:30:00"), ("u", "2024-01-01 03:00:00")], "u string, t string").withColumn("t", F.col("t").cast("timestamp"))
     assert sorted(r.n_rows for r in sessions(df, "u", "t").collect()) == [1, 2]
