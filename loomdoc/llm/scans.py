@@ -112,9 +112,10 @@ def _hash(text: str) -> int:
 
 
 def word_counts(pages: DataFrame, text: str) -> DataFrame:
-    """``word, n`` over all pages, words divided at line ends left out; counted before the shuffle."""
+    """``word, n`` over all pages, words divided at line ends left out; pieces between white space are counted before they are stripped to words."""
     whole = F.regexp_replace(F.col(text), rf"\S+[{HYPHENS}]\s*\n\s*\S+", " ")
-    return pages.select(F.explode(F.split(whole, r"\s+")).alias("t")).select(_core(F.col("t")).alias("word")).where("word != ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    pieces = pages.select(F.explode(F.split(whole, r"\s+")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    return pieces.select(_core(F.col("t")).alias("word"), "n").where("word != ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def corrections(words: DataFrame, extra: DataFrame | None = None, *, ratio: int = 4, least: int = 3) -> DataFrame:
@@ -232,10 +233,12 @@ def repair_marks(df: DataFrame) -> DataFrame:
 
     at = F.posexplode(F.split("line", " ")).alias("p", "t")
     tokens = parsed.where("kind = 'line'").select("pdf_id", "page", "line_no", "token", at)
-    tokens = tokens.select("pdf_id", "page", "line_no", (F.col("token") + F.col("p")).alias("token"), _core(F.col("t")).alias("word"))
-    bad = _maybe_broadcast(cut(fixes.join(counts, "word", "left_semi")))
+    tokens = tokens.select("pdf_id", "page", "line_no", (F.col("token") + F.col("p")).alias("token"), "t")
+    bad = fixes.join(counts, "word", "left_semi")
+    pieces = tokens.groupBy("t").agg(F.lit(1)).select("t", _core(F.col("t")).alias("word"))  # each way of writing is looked at once
+    bad = _maybe_broadcast(cut(pieces.join(bad, "word").select("t", "fixed")))
     none = F.lit(None).cast("string").alias("tail")
-    chars = tokens.join(bad, "word").select("pdf_id", "page", "line_no", "token", F.lit("char").alias("kind"), F.col("fixed").alias("word"), none)
+    chars = tokens.join(bad, "t").select("pdf_id", "page", "line_no", "token", F.lit("char").alias("kind"), F.col("fixed").alias("word"), none)
     chars = chars.join(tails.select("pdf_id", "page", "line_no", "token"), ["pdf_id", "page", "line_no", "token"], "left_anti")  # half a word is no misread word
     drops = parsed.where("kind = 'drop'").select("pdf_id", "page", "line_no", "token", "kind", F.lit("").alias("word"), none)
     return drops.unionByName(joins).unionByName(tails).unionByName(chars)
