@@ -27,13 +27,27 @@ _SHIFT = np.uint64(64 - 22)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&(?:nbsp|amp|lt|gt|quot|#\d+);")
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of letters and digits, lower-case, of the canonical form, without tags and entities."""
-    if not text.isascii():
-        text = canonical(text) if _segment().search(text) else text
+#: ASCII letters in lower case and digits as they are, everything else blank.
+_ASCII = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+
+
+def word_bytes(text: str) -> bytes:
+    """The words of :func:`words_of`, a blank before, between and behind them."""
     if "<" in text or "&" in text:
         text = _TAG.sub(" ", text)
-    return _WORD.findall(text.lower().replace("̇", ""))
+    if text.isascii():
+        words = text.encode().translate(_ASCII).split()
+        return b" " + b" ".join(words) + b" " if words else b"  "
+    text = canonical(text) if _segment().search(text) else text
+    text = _TAG.sub(" ", text) if "<" in text or "&" in text else text  # marks in other widths
+    if text.isascii():
+        return b" " + b" ".join(text.encode().translate(_ASCII).split()) + b" "
+    return f" {' '.join(_WORD.findall(text.lower().replace(chr(0x307), '')))} ".encode()
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits, lower-case, of the canonical form, without tags and entities."""
+    return word_bytes(text).decode().split()
 
 
 def _grams(data: bytes, q: int) -> np.ndarray:
@@ -147,7 +161,7 @@ def _within(p: bytes, t: bytes, k: int) -> bool:
 
 def leaks(text: str, ix: Index, edits: int = 0) -> list[int]:
     """Positions in ``ix.ids`` of the items that ``text`` contains."""
-    doc = (" " + " ".join(words_of(text)) + " ").encode()
+    doc = word_bytes(text)
     g = _grams(doc, ix.q)
     if not len(g) or not ix.ids:
         return []

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -102,32 +102,20 @@ def _segment() -> re.Pattern:
     return re.compile(f"[^{bad}]?[{bad}]+")
 
 
-def canonical(text: str) -> str:
-    """The canonical form of one text; see :func:`canonical_text`."""
+@lru_cache(maxsize=50_000)
+def _fixed(segment: str) -> str:
     one = tables()[0]
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", segment.translate(one)).translate(one))
 
-    @cache
-    def fix(seg: str) -> str:
-        return unicodedata.normalize("NFC", unicodedata.normalize("NFD", seg.translate(one)).translate(one))
 
-    return _segment().sub(lambda m: fix(m[0]), text)
+def canonical(text: str) -> str:
+    """The canonical form of one text; see :func:`canonical_text`."""
+    return _segment().sub(lambda m: _fixed(m[0]), text)
 
 
 @F.pandas_udf(T.StringType())
 def _canonical_batch(s: pd.Series) -> pd.Series:
-    one = tables()[0]
-    seen: dict[str, str] = {}
-
-    def fix(m: re.Match) -> str:
-        k = m[0]
-        if (v := seen.get(k)) is None:
-            v = unicodedata.normalize("NFC", unicodedata.normalize("NFD", k.translate(one)).translate(one))
-            if len(seen) < 50_000:
-                seen[k] = v
-        return v
-
-    pattern = _segment()
-    return s.map(lambda t: None if t is None else pattern.sub(fix, t))
+    return s.map(lambda t: None if t is None else canonical(t))
 
 
 def is_unstable(text: Column) -> Column:
