@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.lookalike import _segment, canonical
+from loomdoc.llm.lookalike import canonical
 
 STEP, LONGEST = 8, 24  # bytes of a machine word, and of the longest q-gram
 _WORD = re.compile(r"[^\W_]+")
@@ -38,7 +38,7 @@ def word_bytes(text: str) -> bytes:
     if text.isascii():
         words = text.encode().translate(_ASCII).split()
         return b" " + b" ".join(words) + b" " if words else b"  "
-    text = canonical(text) if _segment().search(text) else text
+    text = canonical(text)
     text = _TAG.sub(" ", text) if "<" in text or "&" in text else text  # marks in other widths
     if text.isascii():
         return b" " + b" ".join(text.encode().translate(_ASCII).split()) + b" "

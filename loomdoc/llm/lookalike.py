@@ -97,20 +97,30 @@ def _ranges(codes: list[int]) -> Iterator[str]:
 
 
 @cache
-def _segment() -> re.Pattern:
-    bad = tables()[1]
-    return re.compile(f"[^{bad}]?[{bad}]+")
+def unstable() -> frozenset[str]:
+    """The characters of the class of :func:`tables`: those that may change, by themselves or with their neighbours."""
+    return frozenset(re.findall(f"[{tables()[1]}]", "".join(map(chr, range(0x80, 0x110000)))))
 
 
-@lru_cache(maxsize=50_000)
-def _fixed(segment: str) -> str:
+#: A stretch beyond ASCII with the character before it, which it may combine with; no mark reaches further.
+_STRETCH = re.compile(r"[\x00-\x7F]?[^\x00-\x7F]+")
+
+
+def _normal(segment: str) -> str:
+    if unstable().isdisjoint(segment):
+        return segment
     one = tables()[0]
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", segment.translate(one)).translate(one))
 
 
+_kept = lru_cache(maxsize=50_000)(_normal)
+
+
 def canonical(text: str) -> str:
     """The canonical form of one text; see :func:`canonical_text`."""
-    return _segment().sub(lambda m: _fixed(m[0]), text)
+    if text.isascii() or unstable().isdisjoint(text):
+        return text
+    return _STRETCH.sub(lambda m: _kept(m[0]) if len(m[0]) < 64 else _normal(m[0]), text)
 
 
 @F.pandas_udf(T.StringType())
