@@ -7,4 +7,4 @@ the Structured Streaming variants.  The optional subpackage ``llm`` adds text-co
 is never imported from here.
 """
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -292,3 +292,24 @@ def test_plans_keep_out_of_python(spark, sf):
     for name in ("markdown_to_plain", "p1_found", "p4_found", "run_merge", "overlap_assign"):
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "MapInPandas" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomdoc.cli import main, picked
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/notes-of-may.org").write_text("#+TITLE: T\n* H\n*b*")
+    (tmp_path / "in/rows-of-may.csv").write_text("a,b\n1,2\n")
+    out = tmp_path / "out"
+    assert main(["convert", str(tmp_path / "in"), "-o", str(out), "--fetched-at", "now"], spark) == 0
+    assert (out / "notes-of-may.md").read_text().endswith("\n\n# H\n**b**") and sorted(p.name for p in out.glob("*.md")) == ["notes-of-may.md", "rows-of-may.md"]
+    assert main(["convert", str(tmp_path / "in"), "--tool", "org", "--json", "--fields", "frontmatter.title,converter,none"], spark) == 0
+    assert json.loads(capsys.readouterr().out) == {"frontmatter": {"title": "T"}, "converter": "org", "none": None}
+    assert picked('{"a": 1}', None) == '{"a": 1}'
+    one_, two = str(tmp_path / "cat"), str(tmp_path / "cat2")
+    assert main(["speaker", "add", "Al", "--catalog", one_, "--out", two, "--at", "2024-01-01T00:00:00Z"], spark) == 0
+    assert main(["speaker", "list", "--catalog", two], spark) == 0
+    assert capsys.readouterr().out.split("\n")[2].split() == ["Al", "0", "0", "-"]
+    assert main(["speaker", "remove", "Bo", "--catalog", two, "--out", one_], spark) == 1 and "not found" in capsys.readouterr().err
+    assert main(["deps"]) == main(["completion", "bash"]) == main(["models", "--json"]) == 0 and main(["front", '{"title": "a: b"}']) == 0
+    assert capsys.readouterr().out.endswith('---\ntitle: "a: b"\n---\n')
