@@ -177,3 +177,10 @@ def pack(df: DataFrame, key: str, text: str, vocabulary: str, *, capacity: int =
     out = out.mapInPandas(place, f"k {kind}, piece_no int, from_token int, n_tokens int, bucket int, container_id long")
     limits = F.element_at(F.lit(bounds), F.col("bucket") + 1)
     return out.withColumn("bucket", limits.cast("int")).withColumnRenamed("k", key)
+
+
+def fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """``bucket, containers, pieces, tokens, share``: of the containers whose longest piece is of that bucket, how full they are."""
+    per = packed.groupBy("container_id").agg(F.max("bucket").alias("bucket"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
+    out = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("pieces"), F.sum("t").alias("tokens"))
+    return out.withColumn("share", F.round(F.col("tokens") / (F.col("containers") * capacity), 4))

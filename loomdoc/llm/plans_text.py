@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomdoc.llm.leakage import leaked_items
 from loomdoc.llm.lookalike import lookalike_classes, lookalike_pairs
 from loomdoc.llm.newmail import new_lines
-from loomdoc.llm.packing import pack
+from loomdoc.llm.packing import fill, pack
 from loomdoc.llm.turns import speaker_turns
 from loomdoc.session import table
 
@@ -50,6 +50,11 @@ def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", VOCABULARY, capacity=2048)
 
 
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers of each bucket are."""
+    return fill(p8_pack(spark, sf))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items").select("item_id", "passage")
     return leaked_items(docs, "doc_id", "text", items, "item_id", "passage", n_words=12)
@@ -61,7 +66,7 @@ def p9_edits(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(docs, "doc_id", "text", items, "item_id", "passage", n_words=12, edits=1)
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_turns": p6_turns, "p8_pack": p8_pack, "p9_found": p9_found, "p9_edits": p9_edits, "p10_found": p10_found, "p10_classes": p10_classes}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_turns": p6_turns, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_edits": p9_edits, "p10_found": p10_found, "p10_classes": p10_classes}
 SQL: dict[str, str] = {}
 
 

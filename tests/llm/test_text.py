@@ -308,4 +308,8 @@ def test_pack_round_trip(spark):
             assert sum(b for _, b in spans) == n and [a for a, _ in spans] == [128 * i for i in range(len(spans))]
             assert len(spans) == 1 or n > 128
     assert set(per) == {k for k, t in rows if k is not None and t}
+    from loomdoc.llm.packing import fill
+
+    told = fill(spark.createDataFrame(out), 128).collect()
+    assert sum(r.containers for r in told) == len(size) and sum(r.tokens for r in told) == sum(size.values()) and all(0 < r.share <= 1 for r in told)
     assert pack(df.limit(0).withColumnRenamed("piece_no", "k"), "k", "t", VOCABULARY).count() == 0
