@@ -58,6 +58,12 @@ def group_counts(groups: DataFrame, members: DataFrame) -> DataFrame:
     return groups.join(members, groups["id"] == members["group_id"], "left").groupBy(groups["name"]).agg(F.count("speaker_id").alias("member_count"))
 
 
+def group_members(groups: DataFrame, members: DataFrame, speakers: DataFrame) -> DataFrame:
+    """``group_name, member``: the speakers of every group."""
+    m = members.join(speakers.select(F.col("id").alias("speaker_id"), F.col("name").alias("member")), "speaker_id")
+    return m.join(groups.select(F.col("id").alias("group_id"), F.col("name").alias("group_name")), "group_id").select("group_name", "member")
+
+
 def resolve_names(tokens: DataFrame, groups: DataFrame, members: DataFrame, speakers: DataFrame) -> DataFrame:
     """``pos, name``: comma-separated names, ``@group`` replaced by its members in name order, each name once where it first stands."""
     t = tokens.select(F.posexplode(F.split("names", ",")).alias("p", "tok")).select("p", F.trim("tok").alias("tok")).where("tok != ''")

@@ -38,7 +38,7 @@ def aligned_turns(spark, sf):
     who = e.select("user_id", "event_id", (F.col("t") + 600).alias("s"), (F.col("t") + 4200).alias("z"), (F.col("event_id") % 3).cast("int").alias("label"))
     a = sequence.overlap_assign(e, who, "user_id", "event_id", "t", "e", "event_id", "s", "z", "label", bucket=3600.0)
     s = e.select("user_id", "event_id", "t", "event_type").join(a, ["user_id", "event_id"])
-    runs = sequence.merge_runs(s, ["user_id"], ["t", "event_id"], "label", firsts={"first_event": "event_id"}, texts={"text": ("event_type", " ")})
+    runs = sequence.merge_runs(s, ["user_id"], ["t", "event_id"], "label", shard=F.floor(F.col("t") / 86_400), firsts={"first_event": "event_id"}, texts={"text": ("event_type", " ")})
     return runs.select("user_id", "label", "first_event", "text", "n_rows")
 
 

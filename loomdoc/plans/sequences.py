@@ -140,9 +140,11 @@ def group_member_counts(spark, sf):
 
 
 def group_members(spark, sf):
-    s = table(spark, sf, "supplier").select("s_nationkey", "s_name")
-    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    return n.join(s, n["n_nationkey"] == s["s_nationkey"]).groupBy("n_name").agg(F.array_join(F.sort_array(F.collect_list("s_name")), ",").alias("members"))
+    """Suppliers of each nation by name, as pairs: a group may have any number of members."""
+    g = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    m = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("group_id"), F.col("s_suppkey").alias("speaker_id"))
+    return catalog.group_members(g, m, s)
 
 
 def correlated_count(spark, sf):
@@ -231,7 +233,7 @@ SELECT vec_id, CAST(label AS INT) AS label, distance, CASE WHEN distance <= 0.15
 SELECT id AS vec_id, speaker_id, m.name, enrollment_id, distance, CASE WHEN distance <= 0.15 THEN 'high' WHEN distance <= 0.3 THEN 'medium' ELSE 'none' END AS confidence FROM speakers LEFT JOIN m ON vec_id = id""",
     "gallery_prune": "SELECT speaker_id, enrollment_id FROM (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY created_at DESC NULLS LAST, enrollment_id) AS r FROM (SELECT DISTINCT enrollment_id, speaker_id, created_at FROM enrollments WHERE enrollment_id IS NOT NULL AND speaker_id IS NOT NULL)) WHERE r <= 20",
     "group_member_counts": "SELECT n_name AS name, count(c_custkey) AS member_count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 GROUP BY n_name",
-    "group_members": "SELECT n_name, string_agg(s_name, ',' ORDER BY s_name) AS members FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name",
+    "group_members": "SELECT n_name AS group_name, s_name AS member FROM nation JOIN supplier ON s_nationkey = n_nationkey",
     "correlated_count": "SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers FROM nation",
     "next_unknown": "SELECT 'Unknown_' || (coalesce(max(CASE WHEN regexp_matches(name, '^Unknown_\\d+$') THEN CAST(substr(name, 9) AS INT) END), -1) + 1) AS name FROM speakers",
     "speakers_by_name": "SELECT id, name, coalesce(substr(last_seen_at, 1, 10), '-') AS last_seen FROM speakers",

@@ -28,6 +28,18 @@ def test_cells(spark):
     assert one(spark, text.blob_cell(F.lit(b"\x00\x01"))) == "[BLOB: 2 bytes]"
 
 
+def test_plain_text_chains(spark):
+    """Literal results of each chain, whatever SQL is made of it."""
+    plain = lambda t, chain: one(spark, text.apply(F.lit(t), chain))
+    assert plain("# T\n\n```py\ncode\n```\n**b** and _i_ \n\n\n\n***x***", text.MARKDOWN_PLAIN) == "T\n\ncode\nb and i \n\nx"
+    assert plain("## A\n![alt](u) [t](v)\n`c`", text.TEX_PLAIN) == "A\nalt t\n`c`"
+    assert plain("### A\n~~gone~~ `c` **b** *i*\n```sql\nq\n```", text.ORG_PLAIN) == "A\ngone c b i\nq"
+    assert plain("## `t`\n\n| a | b |\nx `y`", text.DB_PLAIN) == "t\n\n a | b \nx y"
+    assert plain("<p class='x'>a <b>c</b></p>", text.TAGS) == "a c"
+    assert plain("{\\i1}a{\\i0} <b>c</b>{\\an8}<font>", text.SUBTITLE_MARKDOWN) == "*a* **c**"
+    assert plain("[[u][t]] [[v]]", text.ORG_LINKS) == "[t](u) <v>"
+
+
 def test_paths_and_dates(spark):
     assert one(spark, meta.detect_converter(F.lit("https://youtu.be/dQw4w9WgXcQ"))) == "yt"
     assert one(spark, meta.detect_converter(F.lit("a/b/c.Tar.SRT"))) == "sub"
